@@ -7,11 +7,21 @@ from pyspark.sql import DataFrame, SparkSession
 from . import sql
 from .common import table
 from .exact_dedup import exact_dedup
+from .packing import pack
+from .sharding import balanced_shards
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup}
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balanced_shards(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op4_packing, op5_sharding)}
 ORACLES = {k: v for k, v in sql.ORACLES.items() if k in QUERIES}
