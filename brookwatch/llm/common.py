@@ -119,3 +119,54 @@ def partitions_for(df: DataFrame, mb: float = 24.0) -> int:
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return max(least, min(200_000, -(-size // int(mb * 1e6))))
+
+
+def text_key(column: str = "text") -> Column:
+    """A key of a whole text; what depends on the text alone is worked out once for all its copies."""
+    return F.unhex(F.md5(text_of(column).cast("binary")))
+
+
+def bit_filter(hashes: DataFrame, bits: int = 1 << 25) -> np.ndarray:
+    """Packed bits set at hash % bits for the long column h: a fixed size, whatever the input."""
+    slots = hashes.select(F.pmod("h", F.lit(bits)).alias("slot"))
+
+    def block(batches):
+        seen = np.zeros(bits, bool)
+        for b in batches:
+            seen[b["slot"].to_numpy()] = True
+        packed = np.packbits(seen).reshape(-1, 1 << 12)
+        rows = np.flatnonzero(packed.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(rows.astype(np.int32)), pa.array([packed[i].tobytes() for i in rows], pa.binary())], ["block", "bits"])
+
+    def any_of(t: pa.Table) -> pa.Table:
+        out = np.zeros(1 << 12, np.uint8)
+        for b in t["bits"]:
+            out |= np.frombuffer(b.as_py(), np.uint8)
+        return pa.table([t["block"][:1], pa.array([out.tobytes()], pa.binary())], ["block", "bits"])
+
+    kinds = "block int, bits binary"
+    packed = np.zeros((bits >> 15, 1 << 12), np.uint8)
+    for row in slots.mapInArrow(block, kinds).groupBy("block").applyInArrow(any_of, kinds).toLocalIterator():
+        packed[row["block"]] = np.frombuffer(bytes(row["bits"]), np.uint8)
+    return packed.ravel()
+
+
+def in_filter(packed: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = np.mod(hashes.view(np.int64), np.int64(len(packed) * 8))
+    return (packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
+
+
+def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+    """(id, component) of every node of edges (a, b): least-label propagation with pointer jumping, checkpointed each round."""
+    both = checkpoint(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = checkpoint(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("c")).select(F.col("a").alias("id"), "c"))
+    for _ in range(rounds):
+        near = both.join(labels.select(F.col("id").alias("b"), "c"), "b").groupBy("a").agg(F.min("c").alias("n"))
+        low = labels.join(near, F.col("id") == F.col("a"), "left").select("id", F.col("c").alias("was"), F.least("c", "n").alias("c"))
+        jump = labels.select(F.col("id").alias("c"), F.col("c").alias("j"))
+        new = checkpoint(low.join(jump, "c", "left").select("id", "was", F.least("c", "j").alias("c")))
+        changed = new.filter("was <> c").limit(1).count()
+        labels = new.select("id", "c")
+        if not changed:
+            return labels.select("id", F.col("c").alias("component"))
+    raise RuntimeError("labels did not settle")
