@@ -61,13 +61,17 @@ class Plan:
 
 def _knapsack(value: np.ndarray, size: np.ndarray, room: int) -> tuple[float, np.ndarray]:
     """The most valuable multiset of classes within room, by dynamic programming over room."""
+    # Sizes ascend; a class worth no more than a smaller one is never taken.
+    kept = np.flatnonzero(value > np.maximum.accumulate(np.concatenate([[0.0], value[:-1]])))
+    worth, sizes = value[kept], size[kept]
     best, took = np.zeros(room + 1), np.full(room + 1, -1)
-    for r in range(int(size.min()), room + 1):
-        fits = size <= r
-        gain = np.where(fits, best[r - np.where(fits, size, r)] + value, -1.0)
+    for r, k in enumerate(np.searchsorted(sizes, np.arange(room + 1), side="right")):
+        if not k:
+            continue
+        gain = best[r - sizes[:k]] + worth[:k]
         i = int(gain.argmax())
         if gain[i] > best[r - 1] + 1e-12:
-            best[r], took[r] = gain[i], i
+            best[r], took[r] = gain[i], kept[i]
         else:
             best[r] = best[r - 1]
     pattern, r = np.zeros(len(size), np.int64), room
@@ -80,29 +84,35 @@ def _knapsack(value: np.ndarray, size: np.ndarray, room: int) -> tuple[float, np
     return float(best[room]), pattern
 
 
-def column_generation(size: np.ndarray, demand: np.ndarray, room: int, rounds: int = 2000, gap: float = 5e-4) -> tuple[np.ndarray, np.ndarray]:
+def _pivot(inverse: np.ndarray, column: int, direction: np.ndarray) -> np.ndarray:
+    row = inverse[column] / direction[column]
+    out = inverse - np.outer(direction, row)
+    out[column] = row
+    return out
+
+
+def column_generation(size: np.ndarray, demand: np.ndarray, room: int, rounds: int = 3000, gap: float = 2e-3) -> tuple[np.ndarray, np.ndarray]:
     """Basic patterns (a column each) and their fractional use: the revised simplex method on the master program.
 
-    Started from one-class patterns; a pattern enters while the knapsack finds one of reduced cost below -gap.
+    Started from one-class patterns; a pattern enters while the knapsack finds one of reduced cost below -gap,
+    so the program's value is within that share of the least.  Demands are set apart by a little, against
+    degenerate pivots.
     """
     m = len(size)
+    demand = demand + 1e-3 * (1 + np.arange(m) * 0.6180339887 % 1)
     basis = np.diag((room // size).astype(float))
     inverse = np.diag(1.0 / np.diag(basis))
-    for step in range(rounds):
+    for _ in range(rounds):
         duals = inverse.sum(axis=0)  # costs are all 1
         value, pattern = _knapsack(np.maximum(duals, 0), size, room)
         if value <= 1 + gap:
             break
-        use, direction = inverse @ demand, inverse @ pattern
+        use, direction = np.einsum("ij,j->i", inverse, demand), np.einsum("ij,j->i", inverse, pattern.astype(float))
         ok = direction > 1e-9
         leaving = int(np.where(ok, use / np.where(ok, direction, 1), np.inf).argmin())
         basis[:, leaving] = pattern
-        pivot = inverse[leaving] / direction[leaving]
-        inverse -= np.outer(direction, pivot)
-        inverse[leaving] = pivot
-        if step % 100 == 99:
-            inverse = np.linalg.inv(basis)
-    return basis.astype(np.int64), np.maximum(np.linalg.inv(basis) @ demand, 0)
+        inverse = _pivot(inverse, leaving, direction)
+    return basis.astype(np.int64), np.maximum(np.einsum("ij,j->i", inverse, demand), 0)
 
 
 def make_plan(histogram: dict[int, int], capacity: int = CAPACITY, width: int = WIDTH) -> Plan:
