@@ -3,8 +3,8 @@
 Models of toxic and of ordinary text are counted from labelled training rows.  Both discount their
 bigrams and back off to their own continuation counts, and from there to counts shared by both
 classes, so a rare expression is not held for toxic because one class lacks it.  A text's
-log-likelihood ratio is normalised by its length in three ways (per word, per square root of words,
-and in the most toxic run of words); a logistic curve over these, fitted to rows scored by models
+log-likelihood ratio is normalised by its length (per word, in the most toxic run of words, and as the sum
+of its strongly toxic words, with and without the square root of the length); a logistic curve over these, fitted to rows scored by models
 that leave out their fold, gives the score.
 
 Training rows are a sample bounded at `max_words` expected words a class, so the model has a fixed bound;
@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 from .common import arrow_map, checkpoint, fold_of, mix64, word_hashes
 
 WORD = re.compile(r"[^\W\d_]+")
-MAX_WORDS, DISCOUNT, RUN = 400_000, 0.75, 12
+#: A discount of two documents, as an expression in one or two labelled documents says little about its class.
+MAX_WORDS, DISCOUNT, RUN, STRONG = 400_000, 2.0, 12, 1.5
+ALONE = np.uint64(1)
 
 
 def tokens(text: str | None) -> np.ndarray:
@@ -51,28 +53,31 @@ class _Map:
 
 
 class KneserNey:
-    """Both classes' bigram models; built from distinct (before, word) pairs and their counts for each class."""
+    """Both classes' bigram models, from the documents of each class that hold a pair (before, word); before ALONE marks words by themselves."""
 
     def __init__(self, before: np.ndarray, word: np.ndarray, counts: np.ndarray, d: float = DISCOUNT):
         keep = counts.any(axis=1)
         before, word, counts = before[keep], word[keep], counts[keep].astype(float)
+        alone = before == ALONE
+        w, one = word[alone], counts[alone]
+        order = np.argsort(w)
+        w, one = w[order], one[order]
+        before, word, counts = before[~alone], word[~alone], counts[~alone]
         pair = mix64(before * np.uint64(0x9E3779B97F4A7C15) + word)
-        w, at_w = np.unique(word, return_inverse=True)
+        at_w = np.searchsorted(w, word)
         v, at_v = np.unique(before, return_inverse=True)
-        shared = np.bincount(at_w, minlength=len(w)).astype(float)  # distinct predecessors in either class
-        self.rest = d * len(w) / max(1.0, shared.sum()) / (len(w) + 1)
-        base = np.maximum(shared - d, 0) / max(1.0, shared.sum()) + self.rest
-        uni, lam, big, self.back = [], [], [], []
+        # Shared backoff: distinct predecessors in either class.
+        shared = np.bincount(at_w, minlength=len(w)) + 0.5
+        base = shared / max(1.0, shared.sum())
+        uni, lam, big = [], [], []
         for c in (0, 1):
-            n = counts[:, c]
-            follow = np.bincount(at_w, n, len(w))
-            total = max(1.0, follow.sum())
-            back = d * (follow > 0).sum() / total
-            self.back.append(back)
-            uni.append(np.maximum(follow - d, 0) / total + back * base)
+            cut = np.minimum(one[:, c], d)
+            total = max(1.0, one[:, c].sum())
+            uni.append((one[:, c] - cut) / total + max(cut.sum() / total, 1e-6) * base)
+            n, gone = counts[:, c], np.minimum(counts[:, c], d)
             of = np.bincount(at_v, n, len(v))
-            lam.append(np.where(of > 0, d * np.bincount(at_v, n > 0, len(v)) / np.maximum(of, 1), 1.0))
-            big.append(np.maximum(n - d, 0) / np.maximum(of[at_v], 1))
+            lam.append(np.where(of > 0, np.bincount(at_v, gone, len(v)) / np.maximum(of, 1), 1.0))
+            big.append((n - gone) / np.maximum(of[at_v], 1))
         self.uni, self.lam, self.big = _Map(w, np.stack(uni, 1), -1.0), _Map(v, np.stack(lam, 1), 1.0), _Map(pair, np.stack(big, 1), 0.0)
 
     def ratios(self, h: np.ndarray) -> np.ndarray:
@@ -81,17 +86,17 @@ class KneserNey:
             return np.zeros(0)
         before, pair = bigrams(h)
         u = self.uni(h)
-        u = np.where(u < 0, np.array(self.back)[None, :] * self.rest, u)
-        p = self.big(pair) + self.lam(before) * u
-        return np.where(self.uni(h)[:, 0] < 0, 0.0, np.log(p[:, 1]) - np.log(p[:, 0]))
+        p = self.big(pair) + self.lam(before) * np.abs(u)
+        return np.where(u[:, 0] < 0, 0.0, np.log(p[:, 1]) - np.log(p[:, 0]))
 
 
 def normalised(r: np.ndarray) -> list[float]:
     if not len(r):
-        return [0.0, 0.0, 0.0]
+        return [0.0, 0.0, 0.0, 0.0]
     total = np.concatenate([[0.0], np.cumsum(r)])
     k = min(RUN, len(r))
-    return [float(r.mean()), float(r.sum() / np.sqrt(len(r))), float((total[k:] - total[:-k]).max() / RUN)]
+    strong = np.maximum(r - STRONG, 0).sum()
+    return [float(r.mean()), float(strong / np.sqrt(len(r))), float((total[k:] - total[:-k]).max() / RUN), float(np.log1p(strong))]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -127,10 +132,9 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", th
         out = {"fold": [], "y": [], "before": [], "word": []}
         for y, fold, t in zip(c["y"], c["fold"], c["text"]):
             h = tokens(t)
-            out["fold"] += [fold] * len(h)
-            out["y"] += [y] * len(h)
-            out["before"] += bigrams(h)[0].view(np.int64).tolist()
-            out["word"] += h.view(np.int64).tolist()
+            both = np.unique(np.stack([np.concatenate([bigrams(h)[0], np.full(len(h), ALONE)]), np.concatenate([h, h])], 1), axis=0).view(np.int64)
+            for name, v in zip(out, ([fold] * len(both), [y] * len(both), both[:, 0].tolist(), both[:, 1].tolist())):
+                out[name] += v
         return out
 
     counted = arrow_map(sample, pairs, "fold int, y int, before long, word long", 64).groupBy("before", "word", "fold", "y").agg(F.count(F.lit(1)).alias("n")).toPandas()
@@ -151,7 +155,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", th
     w[-1] += np.log(prior / (1 - prior)) - np.log(y.mean() / (1 - y.mean())) if 0 < y.mean() < 1 else 0.0
 
     def score(c):
-        f = np.array([normalised(whole.value.ratios(tokens(t))) for t in c["text"]]).reshape(-1, 3)
+        f = np.array([normalised(whole.value.ratios(tokens(t))) for t in c["text"]]).reshape(-1, 4)
         z = np.hstack([(f - mean) / sd, np.ones((len(f), 1))]) @ w
         return {"doc_id": c["doc_id"], "score": 1 / (1 + np.exp(-np.clip(z, -30, 30)))}
 
