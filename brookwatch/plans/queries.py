@@ -1,4 +1,136 @@
 """Registered queries over the driver's tables and their independent SQL."""
 
-QUERIES = {}
-ORACLES = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from brookwatch.functions import sketch
+from brookwatch.operators import windows as W
+from brookwatch.sources.packets import dotted, event_packets
+
+
+def _packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return event_packets(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def packet_projection(spark, sf_dir):
+    return _packets(spark, sf_dir).select("node_id", "src_ip", "byte_len", "label")
+
+
+def window_traffic(spark, sf_dir):
+    return W.traffic(_packets(spark, sf_dir)).withColumn("window_start", F.unix_timestamp("window_start"))
+
+
+def window_features(spark, sf_dir):
+    return W.features(W.traffic(_packets(spark, sf_dir))).select("node_id", F.unix_timestamp("window_start").alias("window_start"), "sources", "previous", F.round("ratio", 6).alias("ratio"), F.round("bytes_per_packet", 4).alias("bytes_per_packet"))
+
+
+def _scored(spark, sf_dir):
+    return W.z_scores(W.traffic(_packets(spark, sf_dir)), threshold=1.5)
+
+
+def zscore_alerts(spark, sf_dir):
+    return _scored(spark, sf_dir).select("node_id", F.unix_timestamp("window_start").alias("window_start"), "sources", F.round("z", 4).alias("z"), "alert")
+
+
+def ground_truth(spark, sf_dir):
+    return W.ground_truth(_packets(spark, sf_dir)).withColumn("window_start", F.unix_timestamp("window_start"))
+
+
+def node_correlation(spark, sf_dir):
+    return W.correlate(_scored(spark, sf_dir)).select(F.unix_timestamp("window_start").alias("window_start"), "total", "under_attack", F.round("max_z", 4).alias("max_z"), "activated")
+
+
+def threshold_confusion(spark, sf_dir):
+    packets = _packets(spark, sf_dir)
+    alerts = W.traffic(packets.withColumn("node_id", F.lit("all"))).select("window_start", (F.col("sources") > 13).alias("alert"))
+    return W.confusion(W.ground_truth(packets).join(alerts, "window_start", "left").withColumnRenamed("is_attack", "truth")).select("tp", "fp", "fn", "tn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+
+
+def attack_classes(spark, sf_dir):
+    f = W.features(W.traffic(_packets(spark, sf_dir)))
+    rows = W.classify(f.select("node_id", "window_start", (F.col("ratio") * 2).alias("card_spike"), F.col("ratio").alias("rate_spike"), "bytes_per_packet"))
+    return rows.groupBy("attack_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("confidence"), 4).alias("confidence"))
+
+
+def fsm_states(spark, sf_dir):
+    rows = W.state_machine(_scored(spark, sf_dir), "z", threshold=0.4, confirm=2, recover=3)
+    return rows.select("node_id", F.unix_timestamp("window_start").alias("window_start"), F.round("score", 4).alias("score"), "state")
+
+
+def exact_vs_estimate_error(spark, sf_dir):
+    packets = _packets(spark, sf_dir).withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+    exact = packets.groupBy("day").agg(F.countDistinct("src_ip").alias("exact"))
+    est = sketch.estimates(sketch.registers(packets, ["day"], "src_ip"), ["day"])
+    return exact.join(est, "day").select("day", "exact", "estimate", F.round(F.abs(F.col("estimate") - F.col("exact")) / F.col("exact") * 100, 4).alias("error_pct"))
+
+
+def sketch_union(spark, sf_dir):
+    """The union of the nodes' sketches against the sum of their estimates."""
+    regs = sketch.registers(_packets(spark, sf_dir), ["node_id"], "src_ip")
+    total = sketch.estimates(regs, ["node_id"]).agg(F.sum("estimate").alias("sum_of_nodes"))
+    return sketch.estimates(sketch.merge(regs, []), []).select(F.col("estimate").alias("union_estimate"), "n_registers").crossJoin(total)  # one row each
+
+
+def order_key_sketch(spark, sf_dir):
+    keys = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_returnflag", F.col("l_orderkey").cast("string").alias("k"))
+    return sketch.estimates(sketch.registers(keys, ["l_returnflag"], "k"), ["l_returnflag"])
+
+
+def attack_sequences(spark, sf_dir):
+    on = W.edges(W.correlate(_scored(spark, sf_dir)), "activated")
+    return on.select(F.unix_timestamp("window_start").alias("window_start"), "was", "activated")
+
+
+QUERIES = {f.__name__: f for f in (packet_projection, window_traffic, window_features, zscore_alerts, ground_truth, node_correlation, threshold_confusion, attack_classes, fsm_states, exact_vs_estimate_error, sketch_union, order_key_sketch, attack_sequences)}
+
+_P = """WITH RECURSIVE p AS (SELECT ts, 'node-' || (event_id % 4) AS node_id, '10.' || ((user_id >> 16) & 255) || '.' || ((user_id >> 8) & 255) || '.' || (user_id & 255) AS src_ip,
+ greatest(64, CAST(floor(value * 10) AS BIGINT)) AS byte_len, CASE WHEN event_type = 'error' THEN 'attack' ELSE 'normal' END AS label, CAST(floor(epoch(ts) / 3600) AS BIGINT) * 3600 AS window_start FROM events WHERE user_id IS NOT NULL),
+w AS (SELECT node_id, window_start, count(*) AS packets, CAST(sum(byte_len) AS BIGINT) AS bytes, count(DISTINCT src_ip) AS sources FROM p GROUP BY ALL),
+f AS (SELECT *, lag(sources, 1, 0) OVER (PARTITION BY node_id ORDER BY window_start) AS previous, bytes / packets AS bytes_per_packet FROM w),
+r AS (SELECT *, CASE WHEN previous = 0 THEN 1.0 ELSE sources / previous END AS ratio FROM f),
+h AS (SELECT node_id, window_start, sources, count(*) OVER o AS n, avg(sources) OVER o AS mean, stddev_pop(sources) OVER o AS sd FROM w WINDOW o AS (PARTITION BY node_id ORDER BY window_start ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)),
+z AS (SELECT node_id, window_start, sources, CASE WHEN n < 5 THEN 0.0 WHEN sd < 1e-9 THEN CASE WHEN sources > mean THEN 5.0 ELSE 0.0 END ELSE (sources - mean) / sd END AS z FROM h),
+g AS (SELECT window_start, count(*) FILTER (WHERE label = 'attack') AS attacks, count(*) FILTER (WHERE label <> 'attack') AS normals FROM p GROUP BY ALL),
+t AS (SELECT *, CAST(attacks > normals // 2 AS INTEGER) AS is_attack FROM g),
+c AS (SELECT window_start, count(*) AS total, count(*) FILTER (WHERE z > 1.5) AS under_attack, max(z) AS max_z FROM z GROUP BY ALL)
+"""
+
+
+def _hll(source: str, keys: str) -> str:
+    by = f"{keys}," if keys else ""
+    return f"""b AS (SELECT {by} ('0x' || substr(sha256(v), 1, 16))::UBIGINT AS h FROM ({source})),
+i AS (SELECT {by} h >> 50 AS idx, h & 1125899906842623 AS low FROM b),
+k AS (SELECT {by} idx, max(CASE WHEN low = 0 THEN 51 ELSE 51 - length(bin(low)) END) AS rho FROM i GROUP BY ALL),
+s AS (SELECT {by} count(*) AS n_registers, sum(pow(2.0, -rho)) + (16384 - count(*)) AS s FROM k {"GROUP BY " + keys if keys else ""}),
+e AS (SELECT {by} n_registers, CAST(round(CASE WHEN n_registers < 16384 AND 16384 * ln(16384 / (16384 - n_registers)) <= 11500 THEN 16384 * ln(16384 / (16384 - n_registers)) ELSE 0.7213 / (1 + 1.079 / 16384) * 16384 * 16384 / s END) AS BIGINT) AS estimate FROM s)
+"""
+
+
+ORACLES = {
+    "packet_projection": _P + "SELECT node_id, src_ip, byte_len, label FROM p",
+    "window_traffic": _P + "SELECT * FROM w",
+    "window_features": _P + "SELECT node_id, window_start, sources, previous, round(ratio, 6) AS ratio, round(bytes_per_packet, 4) AS bytes_per_packet FROM r",
+    "zscore_alerts": _P + "SELECT node_id, window_start, sources, round(z, 4) AS z, z > 1.5 AS alert FROM z",
+    "ground_truth": _P + "SELECT * FROM t",
+    "node_correlation": _P + "SELECT window_start, total, under_attack, round(max_z, 4) AS max_z, under_attack / total >= 0.5 AS activated FROM c",
+    "threshold_confusion": _P + """, a AS (SELECT window_start, count(DISTINCT src_ip) > 13 AS alert FROM p GROUP BY ALL),
+q AS (SELECT count(*) FILTER (WHERE is_attack = 1 AND alert) AS tp, count(*) FILTER (WHERE is_attack = 0 AND alert) AS fp, count(*) FILTER (WHERE is_attack = 1 AND NOT alert) AS fn, count(*) FILTER (WHERE is_attack = 0 AND NOT alert) AS tn FROM t JOIN a USING (window_start))
+SELECT tp, fp, fn, tn, round(CASE WHEN tp + fp = 0 THEN 0.0 ELSE tp / (tp + fp) END, 6) AS precision, round(CASE WHEN tp + fn = 0 THEN 0.0 ELSE tp / (tp + fn) END, 6) AS recall, round(CASE WHEN tp + fp + fn = 0 THEN 0.0 ELSE 2 * tp / (2 * tp + fp + fn) END, 6) AS f1 FROM q""",
+    "attack_classes": _P + """, x AS (SELECT 2 * ratio AS c, ratio AS q, bytes_per_packet AS b FROM r),
+y AS (SELECT c, q, CAST(c > 5 AS INT) + CAST(q > 5 AS INT) + CAST(b > 0 AND b < 100 AS INT) AS syn, CAST(c > 5 AS INT) + CAST(q > 5 AS INT) + CAST(b BETWEEN 100 AND 500 AS INT) AS udp,
+ CAST(c > 2 AND c <= 10 AS INT) + CAST(q > 3 AS INT) + CAST(b > 500 AS INT) AS http, CAST(c > 2 AND c <= 10 AS INT) + CAST(q > 0.5 AND q <= 3 AS INT) + CAST(b > 0 AND b < 80 AS INT) AS scan FROM x),
+v AS (SELECT *, greatest(syn, udp, http, scan) AS best, c < 2 AND q < 2 AS calm FROM y)
+SELECT CASE WHEN calm THEN 'NONE' WHEN best < 1 THEN 'UNKNOWN' WHEN syn = best THEN 'SYN_FLOOD' WHEN udp = best THEN 'UDP_FLOOD' WHEN http = best THEN 'HTTP_FLOOD' ELSE 'PORT_SCAN' END AS attack_type, count(*) AS n, round(sum(CASE WHEN calm THEN 0.0 ELSE best / 3.0 END), 4) AS confidence FROM v GROUP BY 1""",
+    "fsm_states": _P + """, o AS (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY window_start) AS i FROM z),
+m AS (SELECT node_id, i, window_start, z, 0 AS state, CASE WHEN z > 0.4 THEN 1 ELSE 0 END AS n FROM o WHERE i = 1
+ UNION ALL SELECT o.node_id, o.i, o.window_start, o.z,
+  CASE WHEN m.state = 0 THEN CASE WHEN o.z > 0.4 AND m.n + 1 >= 2 THEN 1 ELSE 0 END WHEN o.z > 0.4 THEN 1 WHEN m.state = 1 THEN 2 WHEN m.n + 1 >= 3 THEN 0 ELSE 2 END,
+  CASE WHEN m.state = 0 THEN CASE WHEN o.z > 0.4 AND m.n + 1 < 2 THEN m.n + 1 ELSE 0 END WHEN o.z > 0.4 THEN 0 WHEN m.state = 1 THEN 1 WHEN m.n + 1 >= 3 THEN 0 ELSE m.n + 1 END
+  FROM m JOIN o ON o.node_id = m.node_id AND o.i = m.i + 1)
+SELECT node_id, window_start, round(z, 4) AS score, state FROM m""",
+    "exact_vs_estimate_error": _P + ", " + _hll("SELECT strftime(ts, '%Y-%m-%d') AS day, src_ip AS v FROM p", "day") + ", x AS (SELECT strftime(ts, '%Y-%m-%d') AS day, count(DISTINCT src_ip) AS exact FROM p GROUP BY ALL) SELECT day, exact, estimate, round(abs(estimate - exact) / exact * 100, 4) AS error_pct FROM x JOIN e USING (day)",
+    "order_key_sketch": "WITH " + _hll("SELECT l_returnflag, CAST(l_orderkey AS VARCHAR) AS v FROM lineitem", "l_returnflag") + "SELECT * FROM e",
+    "attack_sequences": _P + ", d AS (SELECT window_start, under_attack / total >= 0.5 AS activated FROM c), u AS (SELECT *, lag(activated, 1, false) OVER (ORDER BY window_start) AS was FROM d) SELECT window_start, was, activated FROM u WHERE was <> activated",
+}
