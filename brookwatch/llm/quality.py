@@ -90,7 +90,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", t
     train = checkpoint(stats.join(marked, "doc_id").withColumn("fold", fold_of(4).cast("int")).filter("fold <> 2"))
     sums = train.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("y"), F.lit(0.5)).alias("y"), *[g(F.col("f")[i]).alias(f"{k}{i}") for i in range(FEATURES) for k, g in (("m", F.avg), ("s", F.stddev_pop))]).first()
     held = (fold_of(4) == 2).alias("held_out")
-    if not 0 < sums["y"] < 1:
+    if not sums["n"] or not 0 < sums["y"] < 1:
         return stats.select("doc_id", held, F.lit(float(sums["y"])).alias("score"), F.lit(int(sums["y"] >= threshold)).alias("predicted"))
     cosines = Cosines(*(np.array([sums[f"{k}{i}"] for i in range(FEATURES)]) for k in "ms"))
     m = cosines.width + 1
