@@ -9,6 +9,7 @@ import corpus_pipeline
 
 from . import sql
 from .common import checkpoint, table, text_key
+from .context_tree import context_tree_scores
 from .decontaminate import contaminated
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
@@ -28,6 +29,10 @@ def op2_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_tree_scores(table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
@@ -59,6 +64,6 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_span_dedup, op4_packing, op5_sharding, op6_line_dedup, op7_decontamination, op8_toxicity, op9_near_dedup, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_span_dedup, op3_context_tree, op4_packing, op5_sharding, op6_line_dedup, op7_decontamination, op8_toxicity, op9_near_dedup, op10_quality)}
 QUERIES["pipeline"] = corpus_pipeline.run
 ORACLES = {k: v for k, v in sql.ORACLES.items() if k in QUERIES}
