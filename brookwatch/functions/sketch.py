@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,3 +35,36 @@ def estimates(sketches: DataFrame, keys: list[str], p: int = 14) -> DataFrame:
     raw = F.lit(alpha * m * m) / (F.col("_s") + zeros)
     linear = F.when(zeros > 0, F.lit(float(m)) * (F.lit(math.log(m)) - F.log(zeros.cast("double"))))
     return sums.select(*keys, "n_registers", F.round(F.when(linear <= LC_THRESHOLD[p], linear).otherwise(raw)).cast("long").alias("estimate"))
+
+
+def classic_estimates(sketches: DataFrame, keys: list[str], p: int = 14) -> DataFrame:
+    """(keys..., estimate) of the first HyperLogLog: linear counting while the raw estimate is at most 2.5 m and registers are empty."""
+    m = 1 << p
+    alpha = {4: 0.673, 5: 0.697, 6: 0.709}.get(p, 0.7213 / (1 + 1.079 / m))
+    sums = sketches.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.sum(F.pow(F.lit(2.0), -F.col("rho"))).alias("_s"))
+    zeros = m - F.col("_n")
+    raw = F.lit(alpha * m * m) / (F.col("_s") + zeros)
+    linear = F.lit(float(m)) * F.log(F.lit(float(m)) / F.nullif(zeros, F.lit(0)))
+    return sums.select(*keys, F.round(F.when((raw <= 2.5 * m) & (zeros > 0), linear).otherwise(raw)).cast("long").alias("estimate"))
+
+
+def sparse_estimates(rows: DataFrame, keys: list[str], value: str, p: int = 25) -> DataFrame:
+    """(keys..., n_slots, estimate) of a sparse sketch: linear counting over 2**p slots, rounded down."""
+    m = float(1 << p)
+    slot = F.substring(F.lpad(F.conv(F.substring(F.sha2(F.col(value).cast("binary"), 256), 1, 16), 16, 2), 64, "0"), 1, p)
+    n = rows.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.countDistinct(slot).alias("n_slots"))
+    return n.select(*keys, "n_slots", F.floor(F.lit(m) * F.log(F.lit(m) / (F.lit(m) - F.col("n_slots")))).alias("estimate"))
+
+
+def pack_registers(rho: list[int]) -> bytes:
+    """Registers of six bits, the first in the high bits: the dense wire form."""
+    bits = np.unpackbits(np.asarray(rho, np.uint8)[:, None], axis=1)[:, 2:]
+    return np.packbits(bits.ravel()).tobytes()
+
+
+def unpack_registers(data: bytes, p: int = 14) -> list[int]:
+    m = 1 << p
+    if len(data) != (6 * m + 7) // 8:
+        raise ValueError(f"a dense sketch of p={p} has {(6 * m + 7) // 8} bytes, not {len(data)}")
+    bits = np.unpackbits(np.frombuffer(data, np.uint8))[: 6 * m].reshape(m, 6)
+    return (bits @ (1 << np.arange(5, -1, -1))).tolist()

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brookwatch.functions import sketch
+from brookwatch.operators import online, reports
 from brookwatch.operators import windows as W
 from brookwatch.sources.packets import dotted, event_packets
 
@@ -83,7 +84,49 @@ def attack_sequences(spark, sf_dir):
     return on.select(F.unix_timestamp("window_start").alias("window_start"), "was", "activated")
 
 
-QUERIES = {f.__name__: f for f in (packet_projection, window_traffic, window_features, zscore_alerts, ground_truth, node_correlation, threshold_confusion, attack_classes, fsm_states, exact_vs_estimate_error, sketch_union, order_key_sketch, attack_sequences)}
+def ewma_alerts(spark, sf_dir):
+    rows = online.ewma_alerts(W.traffic(_packets(spark, sf_dir)).select("node_id", "window_start", "sources"), deviation=0.5)
+    return rows.select("node_id", F.unix_timestamp("window_start").alias("window_start"), "sources", F.round("ewma", 6).alias("ewma"), "alert")
+
+
+def ensemble_scores(spark, sf_dir):
+    rows = online.ensemble_scores(W.features(W.traffic(_packets(spark, sf_dir))))
+    return rows.select("node_id", F.unix_timestamp("window_start").alias("window_start"), "loda", "hst", "z", "residual", "score", "alert")
+
+
+def rate_limited(spark, sf_dir):
+    rows = _packets(spark, sf_dir).select("node_id", F.unix_micros("ts").cast("double").alias("seconds"), "src_ip").withColumn("seconds", F.col("seconds") / 1e6)
+    return online.rate_limited(rows, rate=0.001, per_source=3, decay=86400.0)
+
+
+def gap_filled_windows(spark, sf_dir):
+    rows = reports.filled(W.traffic(_packets(spark, sf_dir)))
+    return rows.select("node_id", F.unix_timestamp("window_start").alias("window_start"), "packets", "bytes", "sources")
+
+
+def recent_spread(spark, sf_dir):
+    rows = reports.recent_spread(W.traffic(_packets(spark, sf_dir)))
+    return rows.select("node_id", F.unix_timestamp("window_start").alias("window_start"), F.round("recent_mean", 6).alias("recent_mean"), F.round("recent_variance", 6).alias("recent_variance"))
+
+
+def attack_runs(spark, sf_dir):
+    rows = reports.attack_runs(_scored(spark, sf_dir).withColumn("high", F.col("z") > 0.4), "high")
+    return rows.select("node_id", F.unix_timestamp("first_window").alias("first_window"), F.unix_timestamp("last_window").alias("last_window"), "windows")
+
+
+def sources_curve(spark, sf_dir):
+    return reports.latency_curve(W.traffic(_packets(spark, sf_dir)), "node_id", "sources").withColumn("share", F.round("share", 6))
+
+
+def classic_estimate(spark, sf_dir):
+    return sketch.classic_estimates(sketch.registers(_packets(spark, sf_dir), ["node_id"], "src_ip"), ["node_id"])
+
+
+def sparse_estimate(spark, sf_dir):
+    return sketch.sparse_estimates(_packets(spark, sf_dir), ["node_id"], "src_ip")
+
+
+QUERIES = {f.__name__: f for f in (ewma_alerts, ensemble_scores, rate_limited, gap_filled_windows, recent_spread, attack_runs, sources_curve, classic_estimate, sparse_estimate, packet_projection, window_traffic, window_features, zscore_alerts, ground_truth, node_correlation, threshold_confusion, attack_classes, fsm_states, exact_vs_estimate_error, sketch_union, order_key_sketch, attack_sequences)}
 
 _P = """WITH RECURSIVE p AS (SELECT ts, 'node-' || (event_id % 4) AS node_id, '10.' || ((user_id >> 16) & 255) || '.' || ((user_id >> 8) & 255) || '.' || (user_id & 255) AS src_ip,
  greatest(64, CAST(floor(value * 10) AS BIGINT)) AS byte_len, CASE WHEN event_type = 'error' THEN 'attack' ELSE 'normal' END AS label, CAST(floor(epoch(ts) / 3600) AS BIGINT) * 3600 AS window_start FROM events WHERE user_id IS NOT NULL),
@@ -134,3 +177,19 @@ SELECT node_id, window_start, round(z, 4) AS score, state FROM m""",
     "order_key_sketch": "WITH " + _hll("SELECT l_returnflag, CAST(l_orderkey AS VARCHAR) AS v FROM lineitem", "l_returnflag") + "SELECT * FROM e",
     "attack_sequences": _P + ", d AS (SELECT window_start, under_attack / total >= 0.5 AS activated FROM c), u AS (SELECT *, lag(activated, 1, false) OVER (ORDER BY window_start) AS was FROM d) SELECT window_start, was, activated FROM u WHERE was <> activated",
 }
+
+ORACLES["ewma_alerts"] = _P + """, o AS (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY window_start) AS i FROM w),
+m AS (SELECT node_id, i, window_start, sources, CAST(sources AS DOUBLE) AS ewma, false AS alert FROM o WHERE i = 1
+ UNION ALL SELECT o.node_id, o.i, o.window_start, o.sources, 0.2 * o.sources + 0.8 * m.ewma, o.i > 5 AND m.ewma <> 0 AND o.sources > m.ewma * 1.5 FROM m JOIN o ON o.node_id = m.node_id AND o.i = m.i + 1)
+SELECT node_id, window_start, sources, round(ewma, 6) AS ewma, alert FROM m"""
+ORACLES["gap_filled_windows"] = _P + """, s AS (SELECT node_id, unnest(range(min(window_start), max(window_start) + 3600, 3600)) AS window_start FROM w GROUP BY node_id)
+SELECT node_id, window_start, coalesce(packets, 0) AS packets, coalesce(bytes, 0) AS bytes, coalesce(sources, 0) AS sources FROM s LEFT JOIN w USING (node_id, window_start)"""
+ORACLES["recent_spread"] = _P + """SELECT node_id, window_start, round(avg(sources) OVER k, 6) AS recent_mean, round(var_pop(sources) OVER k, 6) AS recent_variance
+FROM w WINDOW k AS (PARTITION BY node_id ORDER BY window_start ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)"""
+ORACLES["attack_runs"] = _P + """, n AS (SELECT node_id, window_start, z > 0.4 AS high, row_number() OVER (PARTITION BY node_id ORDER BY window_start) - row_number() OVER (PARTITION BY node_id, z > 0.4 ORDER BY window_start) AS run FROM z)
+SELECT node_id, min(window_start) AS first_window, max(window_start) AS last_window, count(*) AS windows FROM n WHERE high GROUP BY node_id, run"""
+ORACLES["sources_curve"] = _P + """SELECT DISTINCT node_id, sources, round(cume_dist() OVER (PARTITION BY node_id ORDER BY sources), 6) AS share FROM w"""
+ORACLES["classic_estimate"] = _P + ", " + _hll("SELECT node_id, src_ip AS v FROM p", "node_id") + """SELECT node_id, CAST(round(CASE WHEN r <= 40960 AND n_registers < 16384 THEN 16384 * ln(16384 / (16384 - n_registers)) ELSE r END) AS BIGINT) AS estimate
+FROM (SELECT *, 0.7213 / (1 + 1.079 / 16384) * 16384 * 16384 / s AS r FROM s)"""
+ORACLES["sparse_estimate"] = _P + """, y AS (SELECT node_id, count(DISTINCT ('0x' || substr(sha256(src_ip), 1, 16))::UBIGINT >> 39) AS n_slots FROM p GROUP BY node_id)
+SELECT node_id, n_slots, CAST(floor(33554432 * ln(33554432 / (33554432.0 - n_slots))) AS BIGINT) AS estimate FROM y"""
