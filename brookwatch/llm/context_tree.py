@@ -17,6 +17,8 @@ and are scored as often as they occur.  Without training rows every decision has
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,7 +28,8 @@ from .common import fold_of, stored, words
 
 DEPTH, TOP = 5, 3
 END = b"\n"
-BLOCK_BYTES = 16 << 20
+#: A block keeps only its distinct keys and words; its text passes through in pieces.
+BLOCK_BYTES, PIECE_BYTES = 64 << 20, 4 << 20
 #: Rows that a streaming task gathers before it works out the subtrees that are complete.
 CHUNK = 200_000
 LN10 = np.log(10.0)
@@ -167,41 +170,63 @@ def _pack(depth: int, block_bytes: int):
         size = len(next(iter(given.values())))
         return pa.RecordBatch.from_arrays([given[k] if k in given else pa.nulls(size, t) for k, t in kinds.items()], list(kinds))
 
-    def flush(block, ids, held, streams):
-        yield rows(block=pa.array([block]), ids=pa.array([ids], kinds["ids"]), sizes=pa.array([[len(s) for s in streams]], kinds["sizes"]), data=pa.array([zstandard.compress(b"".join(streams), 3)], pa.binary()))
-        learn, other = ([s for s, h in zip(streams, held) if h == w] for w in (False, True))
-        gram, n = np.unique(keys(learn, depth), return_counts=True) if learn else (np.zeros(0, np.int64),) * 2
-        if other:
-            more = np.setdiff1d(np.unique(keys(other, depth)), gram, assume_unique=True)
-            gram, n = np.concatenate([gram, more]), np.concatenate([n, np.zeros(len(more), np.int64)])
-        for at in range(0, len(gram), 100_000):
-            g = pa.array(gram[at : at + 100_000])
-            yield rows(block=pa.array(np.full(len(g), block)), gram=g, n=pa.array(n[at : at + 100_000]))
-        count: dict[bytes, int] = {}
-        for s, h in zip(streams, held):
-            for w in s.split():
-                count[w] = count.get(w, 0) + (not h)
-        count[END] = len(learn)
-        w, c = list(count), list(count.values())
-        for at in range(0, len(w), 50_000):
-            part = pa.array(w[at : at + 50_000], pa.binary())
-            yield rows(block=pa.array(np.full(len(part), block)), word=part, n=pa.array(c[at : at + 50_000], pa.int64()))
+    def merge(kept, gram, n):
+        """Sums two tables of ascending keys and counts."""
+        both, count = np.concatenate([kept[0], gram]), np.concatenate([kept[1], n])
+        order = np.argsort(both, kind="stable")
+        both, count = both[order], count[order]
+        first = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]])) if len(both) else np.zeros(0, np.int64)
+        return both[first], np.add.reduceat(count, first) if len(first) else count
 
     def run(batches):
         from pyspark import TaskContext
 
-        block, gathered, size = TaskContext.get().partitionId() << 32, ([], [], []), 0
+        none = np.zeros(0, np.int64)
+        block, size = TaskContext.get().partitionId() << 32, 0
+        piece, room, grams, learnt, other = ([], [], []), 0, (none, none), Counter(), set()
+
+        def cut(ids, held, streams):
+            nonlocal grams
+            for out in (False, True):
+                part = [s for s, h in zip(streams, held) if h == out]
+                if part:
+                    gram, n = np.unique(keys(part, depth), return_counts=True)
+                    grams = merge(grams, gram, n * 0 if out else n)
+            return rows(block=pa.array([block]), ids=pa.array([ids], kinds["ids"]), sizes=pa.array([[len(s) for s in streams]], kinds["sizes"]), data=pa.array([zstandard.compress(b"".join(streams), 3)], pa.binary()))
+
+        def flush():
+            for w in other:
+                learnt[w] += 0
+            learnt[END] += 0
+            for name, of, kind in (("gram", grams, pa.int64()), ("word", (list(learnt), list(learnt.values())), pa.binary())):
+                for at in range(0, len(of[0]), 50_000):
+                    part = pa.array(of[0][at : at + 50_000], kind)
+                    yield rows(**{"block": pa.array(np.full(len(part), block)), name: part, "n": pa.array(of[1][at : at + 50_000], pa.int64())})
+
         for b in batches:
             for i, h, t in zip(b["doc_id"], b["held_out"], b["text"]):
-                s = stream(t.as_py())
-                for to, x in zip(gathered, (i.as_py(), h.as_py(), s)):
+                s, h = stream(t.as_py()), h.as_py()
+                for to, x in zip(piece, (i.as_py(), h, s)):
                     to.append(x)
-                size += len(s)
+                if h:
+                    other.update(s.split())
+                else:
+                    learnt.update(s.split())
+                    learnt[END] += 1
+                size, room = size + len(s), room + len(s)
+                if room >= min(PIECE_BYTES, block_bytes):
+                    yield cut(*piece)
+                    piece, room = ([], [], []), 0
                 if size >= block_bytes:
-                    yield from flush(block, *gathered)
-                    block, gathered, size = block + 1, ([], [], []), 0
+                    if room:
+                        yield cut(*piece)
+                    yield from flush()
+                    block, size = block + 1, 0
+                    piece, room, grams, learnt, other = ([], [], []), 0, (none, none), Counter(), set()
+        if room:
+            yield cut(*piece)
         if size:
-            yield from flush(block, *gathered)
+            yield from flush()
 
     return run
 
@@ -280,20 +305,23 @@ def context_tree_scores(docs: DataFrame, modulus: int = 10, depth: int = DEPTH,
         count = dict(zip(of_word["word"].to_pylist(), of_word["value"].to_pylist()))
         out = {name: [] for name in ("doc_id", "n_tokens", "n_known", "base_score", "score", "bytes")}
         for ids, sizes, data in zip(*(texts[c].to_pylist() for c in ("ids", "sizes", "data"))):
-            data, at, group, room = zstandard.decompress(data), 0, [], 0
-            for k, (i, size) in enumerate(zip(ids, sizes)):
-                s = data[at : at + size]
-                at += size
-                c = np.array([count[w] for w in s.split()] + [count[END]])
-                for name, x in zip(out, (i, len(c), int((c > 0).sum()), float(np.log10((c + 0.1) / (total + 0.1 * (distinct + 1))).sum()))):
-                    out[name].append(x)
-                out["bytes"].append(size)
-                group.append(s)
-                room += size
-                if room > 1 << 20 or k == len(ids) - 1:
-                    p = value[np.searchsorted(known, keys(group, depth))]
-                    out["score"] += np.add.reduceat(p, np.cumsum([0] + [len(g) for g in group[:-1]])).tolist()
-                    group, room = [], 0
+            data, ends = zstandard.decompress(data), np.cumsum(sizes)
+            streams = [data[e - n : e] for e, n in zip(ends.tolist(), sizes)]
+            tokens, n_tokens = [], []
+            for s in streams:
+                w = s.split()
+                tokens += w
+                tokens.append(END)
+                n_tokens.append(len(w) + 1)
+            c = np.fromiter(map(count.__getitem__, tokens), float, len(tokens))
+            first = np.cumsum([0, *n_tokens[:-1]])
+            p = value[np.searchsorted(known, keys(streams, depth))]
+            out["doc_id"] += ids
+            out["n_tokens"] += n_tokens
+            out["n_known"] += np.add.reduceat((c > 0).astype(np.int64), first).tolist()
+            out["base_score"] += np.add.reduceat(np.log10((c + 0.1) / (total + 0.1 * (distinct + 1))), first).tolist()
+            out["score"] += np.add.reduceat(p, ends - sizes).tolist()
+            out["bytes"] += sizes
         return pa.table([pa.array(v, t) for v, t in zip(out.values(), (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()))], list(out))
 
     texts = packed.filter("data IS NOT NULL").select(F.col("block").alias("home"), "ids", "sizes", "data")
