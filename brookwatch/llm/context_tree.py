@@ -77,6 +77,21 @@ def keys(streams: list[bytes], depth: int = DEPTH) -> np.ndarray:
     return out[own]
 
 
+def _sums(streams: list[bytes], known: np.ndarray, value: np.ndarray, depth: int) -> list[float]:
+    """The sum of the values of each text's keys; keys are sorted with their text's number below, so each is looked up once."""
+    out: list[float] = []
+    room = np.uint64(64 - 8 * (depth + 1))
+    for at in range(0, len(streams), 1 << int(room)):
+        part = streams[at : at + (1 << int(room))]
+        text = np.repeat(np.arange(len(part), dtype=np.uint64), [len(s) for s in part])
+        both = np.sort(keys(part, depth).view(np.uint64) << room | text)
+        k = (both >> room).view(np.int64)
+        first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        found = np.repeat(value[np.searchsorted(known, k[first])], np.diff(np.append(first, len(k))))
+        out += np.bincount((both & ((np.uint64(1) << room) - np.uint64(1))).astype(np.int64), found, len(part)).tolist()
+    return out
+
+
 def _groups(k: np.ndarray, j: int) -> tuple[np.ndarray, np.ndarray]:
     """(index of each row's group, first row of each group) for decision j; k ascends."""
     g = k >> (8 - j)
@@ -315,12 +330,11 @@ def context_tree_scores(docs: DataFrame, modulus: int = 10, depth: int = DEPTH,
                 n_tokens.append(len(w) + 1)
             c = np.fromiter(map(count.__getitem__, tokens), float, len(tokens))
             first = np.cumsum([0, *n_tokens[:-1]])
-            p = value[np.searchsorted(known, keys(streams, depth))]
             out["doc_id"] += ids
             out["n_tokens"] += n_tokens
             out["n_known"] += np.add.reduceat((c > 0).astype(np.int64), first).tolist()
             out["base_score"] += np.add.reduceat(np.log10((c + 0.1) / (total + 0.1 * (distinct + 1))), first).tolist()
-            out["score"] += np.add.reduceat(p, ends - sizes).tolist()
+            out["score"] += _sums(streams, known, value, depth)
             out["bytes"] += sizes
         return pa.table([pa.array(v, t) for v, t in zip(out.values(), (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()))], list(out))
 
