@@ -81,6 +81,15 @@ def test_span_dedup(spark, docs, empty):
     assert span_dedup(docs).count() == 11 and span_dedup(empty).count() == 0
 
 
+def test_span_dedup_of_few_long_sentences(spark):
+    one = " ".join(f"a{i}" for i in range(60)) + "."
+    two = " ".join(f"b{i}" for i in range(30)) + ". " + " ".join(f"c{i}" for i in range(30)) + "."
+    for passage, gone in ((one, [1]), (two, [1, 2])):
+        rows = spark.createDataFrame([(i, f"Own start {i} here. {passage} Own end {i} here.") for i in (1, 2)], "doc_id long, text string")
+        out = {r.doc_id: r for r in span_dedup(rows).collect()}
+        assert out[1].removed == [] and out[2].removed == gone and out[2].text == "Own start 2 here. Own end 2 here."
+
+
 def test_decontamination(spark, docs, empty):
     item = " ".join(f"q{i}" for i in range(20))
     edited = item.replace("q7", "other").replace("q13 ", "")
