@@ -90,6 +90,15 @@ def test_span_dedup_of_few_long_sentences(spark):
         assert out[1].removed == [] and out[2].removed == gone and out[2].text == "Own start 2 here. Own end 2 here."
 
 
+def test_span_dedup_of_short_sentences(spark):
+    lines = "\n".join(f"d{i} e{i} f{i}" for i in range(20)) + "\n"
+    shout = " ".join(f"G{i}!!" for i in range(60)) + "\n"
+    rows = spark.createDataFrame([(i, f"own {i} start\n{lines}own {i} end") for i in (1, 2)] + [(3, shout * 2), (4, "\nx y. " * 5)], "doc_id long, text string")
+    out = {r.doc_id: r for r in span_dedup(rows).collect()}
+    assert out[1].removed == [] and out[2].removed == list(range(1, 21)) and out[2].text == "own 2 start\nown 2 end"
+    assert out[3].removed == list(range(60, 120)) and out[3].text == shout and out[4].removed == []
+
+
 def test_decontamination(spark, docs, empty):
     item = " ".join(f"q{i}" for i in range(20))
     edited = item.replace("q7", "other").replace("q13 ", "")
