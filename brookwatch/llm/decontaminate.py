@@ -1,8 +1,7 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of words.
 
 Training texts emit only word n-grams that a fixed-size filter of the benchmark's n-grams lets
-through.  An item's seeds are the n-grams that are no more frequent in the corpus than their
-neighbours.  Text and item meet if they share `min_seeds` distinct seeds, and the item is then aligned with
+through.  All n-grams of an item are its seeds, whatever other copies the corpus holds.  Text and item meet if they share `min_seeds` distinct seeds, and the item is then aligned with
 the whole text.  A text contains an item if the alignment's score is `share` of a perfect one.
 Items shorter than n words make one n-gram of all their words.  Null and empty texts contain nothing,
 and so do null and empty items.  Work is done once for each distinct text.
@@ -13,7 +12,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, bit_filter, checkpoint, in_filter, mix64, stored, text_key, text_of, word_hashes
@@ -70,17 +69,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 4, min_seeds: i
     items = stored(benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("item")).filter("item IS NOT NULL"))
 
     def item_grams(c):
-        out = {"item_id": [], "pos": [], "h": [], "need": [], "size": []}
+        out = {"item_id": [], "h": [], "need": [], "size": []}
         for i, t in zip(c["item_id"], c["item"]):
             h = tokens(t)
             size = min(n, len(h))
-            g = grams(h, size) if size else []
-            for pos, x in enumerate(g):
-                for k, v in zip(out, (i, pos, int(x), min(min_seeds, len(g)), size)):
+            g = np.unique(grams(h, size)) if size else []
+            for x in g:
+                for k, v in zip(out, (i, int(x), min(min_seeds, len(g)), size)):
                     out[k].append(v)
         return out
 
-    wanted = checkpoint(arrow_map(items, item_grams, "item_id long, pos int, h long, need int, size int"))
+    wanted = checkpoint(arrow_map(items, item_grams, "item_id long, h long, need int, size int"))
     sizes = sorted(r["size"] for r in wanted.select("size").distinct().collect())  # at most n
     packed = docs.sparkSession.sparkContext.broadcast(bit_filter(wanted.select("h")))
     texts = docs.select(text_key(text_col).alias("key"), text_of(text_col).alias("text"))
@@ -97,10 +96,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 4, min_seeds: i
         return {"key": key, "h": out}
 
     hits = checkpoint(arrow_map(texts, text_grams, "key binary, h long").distinct())
-    often = hits.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
-    beside = Window.partitionBy("item_id").orderBy("pos").rowsBetween(-1, 1)
-    # Items are passages, so an item's n-grams fit a task.
-    seeds = wanted.join(often, "h").withColumn("least", F.min("df").over(beside)).filter("df = least")
+    seeds = wanted.join(hits.select("h").distinct(), "h")
     held = seeds.groupBy("item_id").agg(F.countDistinct("h").alias("seeds"))
     seeds = checkpoint(seeds.groupBy("h", "item_id").agg(F.min("need").alias("need")).join(held, "item_id"))
     pairs = checkpoint(hits.join(seeds, "h").groupBy("key", "item_id").agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("need", "seeds")).alias("need")).filter("shared >= need").select("key", "item_id"))

@@ -110,6 +110,16 @@ def test_decontamination(spark, docs, empty):
     assert contaminated(docs, bench).count() == 0 and contaminated(empty, bench).count() == 0
 
 
+@pytest.mark.parametrize("copies", [0, 1, 5])
+def test_decontamination_of_edited_copies_beside_exact_ones(spark, copies):
+    words = [f"q{i}" for i in range(30)]
+    bench = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    edited = [" ".join(f"new{i}" if i % 6 == k else w for i, w in enumerate(words)) for k in (0, 5)]
+    texts = [*edited, *(f"copy {c} of it " + " ".join(words) for c in range(copies))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert contaminated(rows, bench).select("key").distinct().count() == len(texts)
+
+
 def test_isotonic():
     assert isotonic(np.array([0.0, 1, 2]), np.array([0.0, 2, 0]), np.array([1.0, 2, 2]))[1].tolist() == [0.0, 0.5]
 
