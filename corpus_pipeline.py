@@ -48,7 +48,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality", quality), ("line_dedup", lines), ("near_dedup", near), ("decontamination", decontaminated), ("packing", packed)]
-#: Learned models and alignment have no SQL; the stages are tested against brute force.
+#: Learned models and alignment have no SQL; the stages are not yet compared with brute force.
 ORACLE_SQL = None
 
 
