@@ -1,7 +1,7 @@
 """Helpers shared by the training-data operators.
 
-Columns: operators select what they need first, so extra columns, whatever their
-names, never reach a join.  A null text counts as empty everywhere.
+Operators select what they need first, or name their own columns with free_name(), so extra columns, whatever
+their names, neither clash nor reach a shuffle that has no need of them.  A null text counts as empty everywhere.
 """
 
 from __future__ import annotations
@@ -24,31 +24,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share; one of our own only on a local master where none is set."""
     sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if named is None:
-        named = sc.getCheckpointDir()
-    if named is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="brookwatch-checkpoint-")
-        sc.setCheckpointDir(named)
-    elif sc.getCheckpointDir() is None:
+    if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named)
     return named
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def stored(df: DataFrame) -> DataFrame:
-    """As checkpoint(), as compressed Parquet: for tables with wide rows."""
+    """Cuts the lineage: writes df as Parquet in the shared folder and reads it again, so its size is known anew."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes stored tables that nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+checkpoint = stored
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, with underscores before it until no column of df has it, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def text_of(column: str = "text") -> Column:
@@ -113,14 +126,6 @@ def arrow_map(df: DataFrame, rows, schema: str, slice_rows: int = 512) -> DataFr
     return df.mapInArrow(run, schema)
 
 
-def partitions_for(df: DataFrame, mb: float = 24.0) -> int:
-    """Partitions so that each holds about mb of the input files; found from the files' sizes, without a job."""
-    spark = df.sparkSession
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, min(200_000, -(-size // int(mb * 1e6))))
-
-
 def text_key(column: str = "text") -> Column:
     """A key of a whole text; what depends on the text alone is worked out once for all its copies."""
     return F.unhex(F.md5(text_of(column).cast("binary")))
@@ -156,17 +161,60 @@ def in_filter(packed: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(id, component) of every node of edges (a, b): least-label propagation with pointer jumping, checkpointed each round."""
-    both = checkpoint(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = checkpoint(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("c")).select(F.col("a").alias("id"), "c"))
-    for _ in range(rounds):
-        near = both.join(labels.select(F.col("id").alias("b"), "c"), "b").groupBy("a").agg(F.min("c").alias("n"))
-        low = labels.join(near, F.col("id") == F.col("a"), "left").select("id", F.col("c").alias("was"), F.least("c", "n").alias("c"))
-        jump = labels.select(F.col("id").alias("c"), F.col("c").alias("j"))
-        new = checkpoint(low.join(jump, "c", "left").select("id", "was", F.least("c", "j").alias("c")))
-        changed = new.filter("was <> c").limit(1).count()
-        labels = new.select("id", "c")
-        if not changed:
-            return labels.select("id", F.col("c").alias("component"))
-    raise RuntimeError("labels did not settle")
+def narrowed(df: DataFrame, column: str, keys: DataFrame, bits_per_key: int = 16, most_bits: int = 1 << 30) -> DataFrame:
+    """Rows of df whose column is in keys (one stored column of that name).
+
+    A bitmap of the keys' hashes, sized by their count and never above most_bits (128 MB), is broadcast first, so only
+    wanted rows and a few others are shuffled; the semi-join that follows is exact.
+    """
+    block = 1 << 15  # bits of one bitmap of bitmap_construct_agg
+    bits = block
+    while bits < min(most_bits, keys.count() * bits_per_key):
+        bits *= 2
+    names = [free_name(df, c) for c in ("slot", "bucket", "bitmap")]
+    slot, bucket, bitmap = names
+
+    def at(c: str) -> Column:
+        return F.pmod(F.xxhash64(c), F.lit(bits)) + 1
+
+    blocks = keys.select(at(column).alias(slot)).groupBy(F.bitmap_bucket_number(slot).alias(bucket)).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias(bitmap))
+    position = F.bitmap_bit_position(slot)
+    octet = F.conv(F.hex(F.substring(F.col(bitmap), F.shiftright(position, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    rows = df.withColumn(slot, at(column)).withColumn(bucket, F.bitmap_bucket_number(slot)).join(F.broadcast(stored(blocks)), bucket)
+    rows = rows.filter(F.getbit(octet, F.pmod(position, F.lit(8)).cast("int")) == 1).select(*df.columns)
+    return rows.join(keys, column, "left_semi")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(id, component) of every node of the edges (a, b): the smallest id that it reaches.
+
+    Each round points every node at its least neighbour, follows the pointers to their roots by doubling, and
+    contracts the edges to edges between roots.  No two roots are neighbours, so a round leaves at most half of the
+    nodes: logarithmically many rounds, each with logarithmically many doublings, whatever the graph's diameter.
+    Every step is a written table, so sizes are known anew and lost executors cost one step.
+    """
+
+    def clean(a: Column, b: Column, of: DataFrame) -> DataFrame:
+        return stored(of.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).filter("a < b").distinct())
+
+    ends = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
+    nodes = stored(ends.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    labels = nodes.select("id", F.col("id").alias("component"))
+    edge, held = clean(F.col("a"), F.col("b"), ends), nodes
+    while not edge.isEmpty():
+        both = edge.unionByName(edge.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        tree = stored(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.least("a", "b").alias("to")))
+        while True:
+            step = tree.select(F.col("id").alias("to"), F.col("to").alias("next"))
+            new = stored(tree.join(step, "to").select("id", F.col("next").alias("to"), (F.col("next") != F.col("to")).alias("moved")))
+            dropped(tree)
+            tree = new
+            if tree.filter("moved").isEmpty():
+                break
+        roots = [tree.select(F.col("id").alias(c), F.col("to").alias(f"r_{c}")) for c in ("a", "b")]
+        shorter = clean(F.col("r_a"), F.col("r_b"), edge.join(roots[0], "a").join(roots[1], "b"))
+        follow = tree.select(F.col("id").alias("component"), F.col("to").alias("root"))
+        named = stored(labels.join(follow, "component", "left").select("id", F.coalesce("root", "component").alias("component")))
+        dropped(edge, tree, held)
+        edge, labels, held = shorter, named, named
+    return labels

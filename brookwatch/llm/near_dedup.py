@@ -1,17 +1,21 @@
 """Near-duplicate detection by SetSketch registers.
 
-1. A pass over the texts gives every document's set of shingle hashes; equal sets become one class.
-2. A class's SetSketch has a register for each hash function: the exponentially spaced, truncated
-   minimum floor(1 - log_b(min)) of its shingles' exponential values.  Registers of a union are maxima.
-3. Bands of registers are hashed into buckets.  A bucket first links its members to its first one (a
-   star, so a group of copies costs one row for each member); after these links are confirmed, members
-   in different components of one bucket meet too, but for pairs inside its largest component.
-4. Pairs pass if their Jaccard similarity, estimated jointly from all registers by likelihood with
-   the known set sizes, may reach the threshold; then full sets are compared.
-5. Components come from least-label propagation.
-
-Null and empty texts have an empty set and are linked with nothing.  Rows with one id share their
-component.  Ties go to the smallest id.
+1. One pass over the texts gives every document the hash and size of its shingle set and the set's SetSketch: for
+   each hash function the exponentially spaced, truncated minimum floor(1 - log_b(min)) of its shingles' exponential
+   values, two bytes each.  Registers of a union are maxima.  Equal sets become one class; sets are not stored.
+2. Bands of registers are hashed into buckets.  A bucket first links its members to its least one (a star, so a
+   group of copies costs one row for each member).  After these links are confirmed, members of different components
+   of one bucket meet too, but for pairs inside its largest component.  Where such pairs would be more than `WIDE`
+   in a bucket, its members meet by exact prefix filtering instead: two sets of the wanted similarity share one of
+   their n - ceil(t n) + 1 rarest shingles, which long common passages do not hold.
+3. Pairs pass if their Jaccard similarity, estimated jointly from all registers by likelihood with the known set
+   sizes, may reach the threshold; then full sets, made again from the candidates' texts alone, are compared.
+4. Components come from contraction rounds.
+
+Null and empty texts have an empty set and are linked with nothing.  Rows with one id are one document, so all their
+texts share a component; repeated rows change nothing.  A row with a null id takes the component of its text (null
+if no row with an id has that set) and is kept if that is null.  Ties go to the smallest id.  Only the two named
+columns are read, so other columns cannot clash.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,12 +24,14 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, checkpoint, components, mix64, shingle_hashes, stored, words
+from .common import arrow_map, components, dropped, mix64, narrowed, shingle_hashes, stored, words
 
 BANDS, ROWS = 28, 5  # at similarity 0.8 all bands miss with probability (1 - 0.8^5)^28 = 1.5e-5
 BASE, RATE, TOP = 1.001, 20.0, 65534
 #: Pairs are dropped before the full comparison if the threshold is exp(this) times less likely than the best estimate.
 DOUBT = 12.0
+#: Pairs of different components in one bucket beyond which its members meet by rare shingles.  Changes speed only.
+WIDE = 1024
 
 
 def _functions(m: int) -> tuple[np.ndarray, np.ndarray]:
@@ -37,10 +43,10 @@ def registers(hashes: np.ndarray, m: int = BANDS * ROWS) -> np.ndarray:
     """SetSketch registers of a set of 64-bit hashes."""
     times, plus = _functions(m)
     least = np.full(m, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(hashes), 4096):
-        least = np.minimum(least, (hashes[at : at + 4096, None] * times + plus).min(axis=0))
+    for at in range(0, len(hashes), 512):
+        least = np.minimum(least, (hashes[at : at + 512, None] * times + plus).min(axis=0))
     value = -np.log1p(-np.minimum((least.astype(np.float64) + 0.5) / 2.0**64, 1 - 2.0**-53)) / RATE
-    return np.clip(np.floor(1 - np.log(value) / np.log(BASE)), 0, TOP + 1).astype("<u4")
+    return np.clip(np.floor(1 - np.log(value) / np.log(BASE)), 0, TOP + 1).astype("<u2")
 
 
 def likely(above: np.ndarray, below: np.ndarray, m: int, n_a: np.ndarray, n_b: np.ndarray, threshold: float, doubt: float = DOUBT) -> np.ndarray:
@@ -59,38 +65,48 @@ def likely(above: np.ndarray, below: np.ndarray, m: int, n_a: np.ndarray, n_b: n
     return ll[:, grid[0] >= threshold - 1e-9].max(axis=1) >= ll.max(axis=1) - doubt
 
 
-def _sets(shingle: int):
+def _sketches(shingle: int):
     import xxhash
 
     def rows(c):
         sets = [shingle_hashes(words(t), shingle) for t in c["text"]]
-        return {"doc_id": c["doc_id"], "n": [len(s) for s in sets], "cls": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], "shingles": [s.astype("<u8").tobytes() for s in sets]}
+        return {
+            "doc_id": c["doc_id"],
+            "n": [len(s) for s in sets],
+            "cls": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets],
+            "regs": [registers(s).tobytes() if len(s) else None for s in sets],
+        }
 
     return rows
 
 
-def _sketch(c):
-    sketches = [registers(np.frombuffer(s, "<u8")) for s in c["shingles"]]
-    return {"id": c["id"], "n": c["n"], "regs": [s.tobytes() for s in sketches]}
+def _sets(shingle: int):
+    def rows(c):
+        return {"id": c["id"], "shingles": [shingle_hashes(words(t), shingle).astype("<u8").tobytes() for t in c["text"]]}
+
+    return rows
+
 
+def _exploded(c):
+    sets = [np.frombuffer(s, "<i8") for s in c["shingles"]]
+    return {"id": np.repeat(np.array(c["id"], np.int64), [len(s) for s in sets]), "bucket": np.concatenate(sets)} if sets else None
 
-def _band(c):
-    import xxhash
 
-    ids, buckets, ns = [], [], []
-    for i, n, r in zip(c["id"], c["n"], c["regs"]):
-        for band in range(BANDS):
-            ids.append(i)
-            ns.append(n)
-            buckets.append(xxhash.xxh3_64_intdigest(r[band * ROWS * 4 : (band + 1) * ROWS * 4], seed=band) - (1 << 63))
-    return {"id": ids, "n": ns, "bucket": buckets}
+def _band(c):
+    if not c["id"]:
+        return None
+    regs = np.frombuffer(b"".join(c["regs"]), "<u2").reshape(len(c["id"]), BANDS, ROWS).astype(np.uint64)
+    bucket = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), regs.shape[:2])
+    for r in range(ROWS):
+        bucket = mix64(bucket * np.uint64(0x9E3779B97F4A7C15) + regs[:, :, r])
+    return {"id": np.repeat(np.array(c["id"], np.int64), BANDS), "n": np.repeat(np.array(c["n"], np.int64), BANDS), "bucket": bucket.ravel().view(np.int64)}
 
 
 def _possible(threshold: float):
     def rows(c):
         if not c["a"]:
             return None
-        x, y = (np.frombuffer(b"".join(c[k]), "<u4").reshape(len(c["a"]), -1) for k in ("regs_a", "regs_b"))
+        x, y = (np.frombuffer(b"".join(c[k]), "<u2").reshape(len(c["a"]), -1) for k in ("regs_a", "regs_b"))
         n_a, n_b = np.array(c["n_a"], float), np.array(c["n_b"], float)
         keep = likely((x > y).sum(1), (x < y).sum(1), x.shape[1], n_a, n_b, threshold)
         return {k: [v for v, ok in zip(c[k], keep) if ok] for k in ("a", "b")}
@@ -115,52 +131,83 @@ def _confirmed(percent: int):
 def _with(pairs: DataFrame, side: str, table: DataFrame, columns: dict[str, str], share: int = 128) -> DataFrame:
     """Joins columns of table (id, ...) to one side of pairs; a hub's row is repeated once for each `share` of its pairs."""
     other = "b" if side == "a" else "a"
-    copies = pairs.groupBy(side).agg(F.ceil(F.count(F.lit(1)) / share).cast("int").alias("copies"))
+    copies = stored(pairs.groupBy(side).agg(F.ceil(F.count(F.lit(1)) / share).cast("int").alias("copies")).filter("copies > 1"))
     table = table.select(F.col("id").alias(side), *[F.col(k).alias(v) for k, v in columns.items()])
-    table = table.join(copies, side).select("*", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt")).drop("copies")
-    salted = pairs.join(copies, side).withColumn("salt", F.pmod(F.xxhash64(other), F.col("copies")).cast("int")).drop("copies")
+    n = F.coalesce("copies", F.lit(1))
+    table = table.join(copies, side, "left").select("*", F.explode(F.sequence(F.lit(0), n - 1)).alias("salt")).drop("copies")
+    salted = pairs.join(copies, side, "left").withColumn("salt", F.pmod(F.xxhash64(other), n).cast("int")).drop("copies")
     return salted.join(table, [side, "salt"]).drop("salt")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _met(groups: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows (bucket, id, n) of buckets with several components: adds comp, the bucket's largest and its count of pairs to compare."""
+    comp = groups.join(found, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    sizes = comp.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("k"))
+    mixed = sizes.groupBy("bucket").agg(F.max_by("comp", F.struct("k", "comp")).alias("largest"), F.sum("k").alias("k"), F.max("k").alias("top"), F.count(F.lit(1)).alias("comps"))
+    mixed = mixed.filter("comps > 1").select("bucket", "largest", (F.col("k") * (F.col("k") - F.col("top"))).alias("cost"))
+    return comp.join(mixed, "bucket")
+
+
+def _cross(met: DataFrame) -> DataFrame:
+    """Pairs of one bucket from different components, each once."""
+    left, right = (met.select("bucket", F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.col("comp").alias(f"c_{s}"), "largest") for s in ("a", "b"))
+    return left.filter("c_a <> largest").join(right.drop("largest"), "bucket").filter("c_a <> c_b AND (a < b OR c_b = largest)").select("a", "b", "n_a", "n_b")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", wide: int = WIDE) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs."""
-    rows = arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), _sets(shingle), "doc_id long, n long, cls binary, shingles binary")
-    sets = stored(rows)
-    member = sets.select("doc_id", "n", "cls")
-    # One row for each distinct set: the least id first, then its shingles by a join, so big values never meet in one group.
-    classes = checkpoint(member.filter("n > 0 AND doc_id IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("id"), F.first("n").alias("n")))
-    full = sets.withColumnRenamed("doc_id", "id").join(classes.select("cls", "id"), ["cls", "id"]).select("id", "n", "shingles", "cls")
-    full = stored(full.dropDuplicates(["id", "cls"]).select(F.xxhash64("cls", "id").alias("node"), "id", "n", "shingles"))
-    # A repeated id may have several texts, so nodes of the graph are numbered by set and id.
-    nodes = full.select(F.col("node").alias("id"), "n", "shingles")
-    sketches = stored(arrow_map(nodes, _sketch, "id long, n long, regs binary"))
-    bands = arrow_map(sketches, _band, "id long, n long, bucket long")
-    hubs = bands.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("hub"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    member = stored(arrow_map(rows, _sketches(shingle), "doc_id long, n long, cls binary, regs binary", 128))
+    named = member.filter("n > 0 AND doc_id IS NOT NULL")
+    nodes = stored(named.groupBy("cls").agg(F.min(F.struct("doc_id", "n", "regs")).alias("m")).select("cls", F.col("m.doc_id").alias("id"), "m.n", "m.regs"))
+    bands = arrow_map(nodes.select("id", "n", "regs"), _band, "id long, n long, bucket long")
+    hubs = stored(bands.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("hub"), F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k"))
     inside = stored(bands.join(hubs, "bucket"))
     fits = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
 
+    def sets(ids: DataFrame) -> DataFrame:
+        """(id, shingles) of the ids in the stored column id, made from the texts."""
+        texts = narrowed(rows.withColumnRenamed("doc_id", "id"), "id", ids).distinct()
+        return stored(arrow_map(texts, _sets(shingle), "id long, shingles binary", 128))
+
     def confirm(pairs: DataFrame) -> DataFrame:
-        pairs = checkpoint(pairs.filter(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        seen = _with(_with(pairs, "a", sketches, {"regs": "regs_a", "n": "n_a"}), "b", sketches, {"regs": "regs_b", "n": "n_b"})
-        pairs = checkpoint(arrow_map(seen, _possible(percent / 100), "a long, b long"))
-        whole = _with(_with(pairs, "a", nodes, {"shingles": "s_a"}), "b", nodes, {"shingles": "s_b"})
-        return checkpoint(arrow_map(whole, _confirmed(percent), "a long, b long", 64))
+        pairs = stored(pairs.filter(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct())
+        seen = _with(_with(pairs, "a", nodes, {"regs": "regs_a", "n": "n_a"}), "b", nodes, {"regs": "regs_b", "n": "n_b"})
+        likely_pairs = stored(arrow_map(seen, _possible(percent / 100), "a long, b long").distinct())
+        full = sets(stored(likely_pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
+        whole = _with(_with(likely_pairs, "a", full, {"shingles": "s_a"}), "b", full, {"shingles": "s_b"})
+        links = stored(arrow_map(whole, _confirmed(percent), "a long, b long", 64))
+        dropped(pairs, likely_pairs, full)
+        return links
+
+    def by_rare_shingles(ids: DataFrame) -> DataFrame:
+        """(bucket, id, n) with the rarest shingles of each id as buckets."""
+        all_of = stored(arrow_map(sets(ids), _exploded, "id long, bucket long", 128))
+        counts = all_of.groupBy("bucket").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+        last = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+        # Ranks run within an id, whose rows are bounded by its text; shingles of one document stay uncounted but ranked.
+        order = Window.partitionBy("id").orderBy(F.coalesce("df", F.lit(1)), "bucket")
+        whole = Window.partitionBy("id")
+        ranked = all_of.join(counts, "bucket", "left").withColumn("n", F.count(F.lit(1)).over(whole)).withColumn("rank", F.row_number().over(order))
+        return stored(ranked.filter((F.col("rank") <= last) & F.col("df").isNotNull()).select("bucket", "id", "n"))
 
     star = confirm(inside.filter("id <> hub.id").select(F.col("id").alias("a"), F.col("hub.id").alias("b"), F.col("n").alias("n_a"), F.col("hub.n").alias("n_b")))
     found = components(star).select("id", F.col("component").alias("comp"))
-    comp = inside.select("bucket", "id", "n").join(found, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    sizes = comp.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("k"))
-    mixed = sizes.groupBy("bucket").agg(F.max_by("comp", F.struct("k", "comp")).alias("largest"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
-    mixed = stored(comp.join(mixed, "bucket"))
-    left, right = (mixed.select("bucket", F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.col("comp").alias(f"c_{s}"), "largest") for s in ("a", "b"))
-    cross = left.filter("c_a <> largest").join(right.drop("largest"), "bucket").filter("c_a <> c_b AND (a < b OR c_b = largest)")
-    edges = star.unionByName(confirm(cross.select("a", "b", "n_a", "n_b")))
-    same = classes.select("id", F.xxhash64("cls", "id").alias("node"))
-    repeated = same.withColumn("first", F.min("node").over(Window.partitionBy("id"))).filter("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
-    linked = components(edges.unionByName(repeated))
-    least = linked.withColumnRenamed("id", "node").join(same.withColumnRenamed("id", "doc"), "node").groupBy("component").agg(F.min("doc").alias("least"))
-    named = linked.join(least, "component").select(F.col("id").alias("node"), "least")
-    by_class = classes.select("cls", "id", F.xxhash64("cls", "id").alias("node")).join(named, "node", "left").select("cls", F.coalesce("least", "id").alias("least"))
-    out = member.join(checkpoint(by_class), "cls", "left")
+    met = stored(_met(inside.select("bucket", "id", "n"), found))
+    dropped(inside, hubs)
+    pairs = _cross(met.filter(F.col("cost") <= wide))
+    many = stored(met.filter(F.col("cost") > wide).select("id").distinct())
+    if not many.isEmpty():
+        pairs = pairs.unionByName(_cross(_met(by_rare_shingles(many), found)))
+    # A repeated id may stand in several classes; they are one document.
+    of_class = nodes.select("cls", F.col("id").alias("node"))
+    ids = named.select("doc_id", "cls").join(of_class, "cls").select("doc_id", "node")
+    several = ids.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a < z").select("doc_id", "a")
+    same = ids.join(stored(several), "doc_id").filter("a <> node").select("a", F.col("node").alias("b")).distinct()
+    edges = star.unionByName(confirm(pairs)).unionByName(same)
+    linked = components(edges).select(F.col("id").alias("node"), "component")
+    by_class = stored(of_class.join(linked, "node", "left").select("cls", F.coalesce("component", "node").alias("least")))
+    out = member.select("doc_id", "n", "cls").join(by_class, "cls", "left")
     component = F.coalesce("least", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    kept = F.coalesce(component == F.col("doc_id"), F.col("least").isNull())
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), kept.alias("kept"))
