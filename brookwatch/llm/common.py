@@ -40,7 +40,7 @@ def stored(df: DataFrame) -> DataFrame:
     """Cuts the lineage: writes df as Parquet in the shared folder and reads it again, so its size is known anew."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out

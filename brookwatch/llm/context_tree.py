@@ -3,16 +3,23 @@
 A text is its lower-cased words joined by a space and closed by a line feed.  Every byte is eight binary
 decisions; each decision has a context tree over the `depth` bytes before it.  A node estimates its
 decision by Krichevsky-Trofimov from the training rows' counts, and the trees' weights, the
-posterior shares of "this node" against "its children", come from the same counts, bottom up.  A byte's
-probability mixes the estimates of all depths down to the deepest context seen in training.
+posterior shares of "this node" against "its children", come from the same counts, bottom up.
+
+The model's definition, where it departs from the textbook: a tree is `depth` bytes deep (5, 4 to 6 offered), and a
+byte's probability mixes the estimates of all depths from the root down to the deepest context seen in training.
+That deepest node's own estimate ends the mix; the textbook would mix in 1/2 for contexts never seen, which
+costs code length and adds no knowledge.
 
 The input is read once, in blocks of a bounded size.  A block sends its distinct (context, byte) keys and
 words with counts and gets back one number for each, so nothing that grows with the corpus reaches
-the driver or a broadcast: subtrees below three bytes of context are worked out in order by streaming tasks, and
-only the top of the trees (at most 65,536 contexts of 255 decisions) passes through the driver.
+the driver or a broadcast.  Subtrees below three bytes of context are worked out in order by streaming tasks, which
+write their keys as chunks of whole subtrees; only the top of the trees (at most 65,536 contexts of 255 decisions)
+passes through the driver.  Chunks are then mixed with the top, and answers travel as one compressed blob for
+each block and batch.  A task holds one chunk, or one block's answers and one piece of its texts.
 
 Null and empty texts consist of the end alone.  A null doc_id has the fold of empty text.  Repeated rows count
-and are scored as often as they occur.  Without training rows every decision has probability 1/2.
+and are scored as often as they occur.  Without training rows every decision has probability 1/2.  Only the two
+named columns are read, so other columns cannot clash.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,9 +36,9 @@ from .common import fold_of, stored, words
 DEPTH, TOP = 5, 3
 END = b"\n"
 #: A block keeps only its distinct keys and words; its text passes through in pieces.
-BLOCK_BYTES, PIECE_BYTES = 64 << 20, 4 << 20
-#: Rows that a streaming task gathers before it works out the subtrees that are complete.
-CHUNK = 200_000
+BLOCK_BYTES, PIECE_BYTES = 32 << 20, 1 << 20
+#: Rows that a streaming task gathers before it works out the subtrees that are complete, and rows mixed at a time.
+CHUNK, PART = 200_000, 50_000
 LN10 = np.log(10.0)
 
 _K = np.arange(1, 1 << 16, dtype=float)
@@ -92,6 +99,13 @@ def _sums(streams: list[bytes], known: np.ndarray, value: np.ndarray, depth: int
     return out
 
 
+def _whole_contexts(k: np.ndarray, shift: int) -> list[tuple[int, int]]:
+    """Cuts ascending keys into runs [start, end) of about `PART` keys that end where a context, k >> shift, ends."""
+    starts = np.flatnonzero(np.concatenate([[True], (k[1:] >> shift) != (k[:-1] >> shift)]))
+    cuts = np.unique(starts[np.searchsorted(starts, np.arange(0, starts[-1] + 1, PART))]) if len(k) else starts
+    return list(zip(cuts.tolist(), [*cuts[1:].tolist(), len(k)]))
+
+
 def _groups(k: np.ndarray, j: int) -> tuple[np.ndarray, np.ndarray]:
     """(index of each row's group, first row of each group) for decision j; k ascends."""
     g = k >> (8 - j)
@@ -207,7 +221,7 @@ def _pack(depth: int, block_bytes: int):
                 if part:
                     gram, n = np.unique(keys(part, depth), return_counts=True)
                     grams = merge(grams, gram, n * 0 if out else n)
-            return rows(block=pa.array([block]), ids=pa.array([ids], kinds["ids"]), sizes=pa.array([[len(s) for s in streams]], kinds["sizes"]), data=pa.array([zstandard.compress(b"".join(streams), 3)], pa.binary()))
+            return rows(block=pa.array([block]), ids=pa.array([ids], kinds["ids"]), sizes=pa.array([[len(s) for s in streams]], kinds["sizes"]), data=pa.array([zstandard.compress(b"".join(streams), 6)], pa.binary()))
 
         def flush():
             for w in other:
@@ -246,15 +260,37 @@ def _pack(depth: int, block_bytes: int):
     return run
 
 
-def _solve(depth: int, top: int):
-    """Streams keys in order, a chunk of whole subtrees at a time: rows of (gram, q) and of (node, zeros, ones, total)."""
-    kinds = [pa.int64(), pa.binary(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
+def _squeeze(*arrays: np.ndarray) -> bytes:
+    """Arrays of one length as one blob: the first, ascending int64, as gaps; the others as they are."""
+    import zstandard
+
+    first = np.diff(arrays[0], prepend=np.int64(0))
+    planes = [np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes() for x in (first, *arrays[1:])]
+    return zstandard.compress(b"".join(planes), 1)
+
+
+def _expand(blob: bytes, *kinds: type) -> list[np.ndarray]:
+    import zstandard
+
+    raw = np.frombuffer(zstandard.decompress(blob), np.uint8)
+    widths = [np.dtype(k).itemsize for k in (np.int64, *kinds)]
+    n, out, at = len(raw) // sum(widths), [], 0
+    for k, w in zip((np.int64, *kinds), widths):
+        out.append(np.ascontiguousarray(raw[at : at + n * w].reshape(w, n).T).view(k).ravel())
+        at += n * w
+    return [np.cumsum(out[0]), *out[1:]]
+
+
+def _chunks(depth: int, top: int):
+    """Streams keys in order, a chunk of whole subtrees at a time: a row (chunk) and the rows (node, zeros, ones, total)."""
+    names = ["chunk", "node", "zeros", "ones", "total"]
 
     def solved(k, n):
-        q, (node, zeros, ones, total) = subtrees(k, n, depth, top)
-        for given in ((pa.array(k), pa.FixedSizeBinaryArray.from_buffers(pa.binary(32), len(k), [None, pa.py_buffer(np.ascontiguousarray(q))]).cast(pa.binary()), *[None] * 4), (None, None, *map(pa.array, (node, zeros, ones, total)))):
-            size = max(len(g) for g in given if g is not None)
-            yield pa.RecordBatch.from_arrays([pa.nulls(size, t) if g is None else g for g, t in zip(given, kinds)], ["gram", "q", "node", "zeros", "ones", "total"])
+        _, (node, zeros, ones, total) = subtrees(k, n, depth, top)
+        yield pa.RecordBatch.from_arrays([pa.array([_squeeze(k, n.astype(np.int64))], pa.binary()), pa.nulls(1, pa.int64()), *(pa.nulls(1, pa.float64()) for _ in range(3))], names)
+        for at in range(0, len(node), 50_000):
+            part = [pa.array(x[at : at + 50_000]) for x in (node, zeros, ones, total)]
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(part[0]), pa.binary()), *part], names)
 
     def run(batches):
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -278,6 +314,36 @@ def _solve(depth: int, top: int):
     return run
 
 
+def _replies(batches):
+    """Rows in order of (block, gram), or (block, word): one blob for each block's run of rows in a batch."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        block = b["block"].to_numpy()
+        edges = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), b.num_rows]
+        grams, blobs = [], []
+        for lo, hi in zip(edges, edges[1:]):
+            part = b.slice(lo, hi - lo)
+            grams.append("gram" in b.schema.names)
+            blobs.append(_squeeze(part["gram"].to_numpy(), part["value"].to_numpy().astype(np.float32)) if grams[-1] else _words_blob(part["word"].to_pylist(), part["value"].to_numpy()))
+        yield pa.RecordBatch.from_arrays([pa.array(block[edges[:-1]]), pa.array(grams), pa.array(blobs, pa.binary())], ["block", "grams", "blob"])
+
+
+def _words_blob(words_: list[bytes], n: np.ndarray) -> bytes:
+    """Words hold no white space but for the end's line feed, so a space parts them."""
+    import zstandard
+
+    return zstandard.compress(len(words_).to_bytes(8, "little") + n.astype("<i8").tobytes() + b" ".join(words_), 1)
+
+
+def _words_of(blob: bytes) -> tuple[list[bytes], list[int]]:
+    import zstandard
+
+    raw = zstandard.decompress(blob)
+    n = int.from_bytes(raw[:8], "little")
+    return raw[8 + 8 * n :].split(b" "), np.frombuffer(raw[8 : 8 + 8 * n], "<i8").tolist()
+
+
 def context_tree_scores(docs: DataFrame, modulus: int = 10, depth: int = DEPTH, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For every row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 of the
     text's probability) and bits_per_byte (its code length); rows of fold 0 of `modulus` never train."""
@@ -291,33 +357,41 @@ def context_tree_scores(docs: DataFrame, modulus: int = 10, depth: int = DEPTH,
 
     context = F.shiftright("gram", 8 * (depth - TOP + 1))
     merged = grams.groupBy("gram").agg(F.sum("n").alias("n")).repartition(context).sortWithinPartitions("gram")
-    solved = stored(merged.mapInArrow(_solve(depth, TOP), "gram long, q binary, node long, zeros double, ones double, total double"))
+    chunks = stored(merged.mapInArrow(_chunks(depth, TOP), "chunk binary, node long, zeros double, ones double, total double"))
     # Nodes at TOP bytes of context, summed to those at TOP - 1: at most 65,536 contexts of 255 decisions.
     parent = F.shiftleft(F.shiftright("node", 16), 8).bitwiseOR(F.col("node").bitwiseAND(F.lit(255).cast("long")))
-    first = solved.filter("node IS NOT NULL").groupBy(parent.alias("node")).agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "total")]).toPandas().sort_values("node")
+    first = chunks.filter("node IS NOT NULL").groupBy(parent.alias("node")).agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "total")]).toArrow().sort_by("node")
     trees = spark.sparkContext.broadcast(Top(*(first[c].to_numpy() for c in ("node", "zeros", "ones", "total")), TOP - 1))
 
     def mix(batches):
         for b in batches:
-            if b.num_rows:
-                q = np.frombuffer(b"".join(b["q"].to_pylist()), np.float32).reshape(-1, 8)
-                yield pa.RecordBatch.from_arrays([b["gram"], pa.array(trees.value.mix(b["gram"].to_numpy(), q, depth).astype(np.float32).astype(float))], ["gram", "value"])
-
-    value = solved.filter("gram IS NOT NULL").select("gram", "q").mapInArrow(mix, "gram long, value double")
+            for blob in b["chunk"]:
+                k, n = _expand(blob.as_py(), np.int64)
+                for lo, hi in _whole_contexts(k, 8 * (depth - TOP + 1)):
+                    q, _ = subtrees(k[lo:hi], n[lo:hi], depth, TOP)
+                    value = trees.value.mix(k[lo:hi], q, depth).astype(np.float32)
+                    yield pa.RecordBatch.from_arrays([pa.array(k[lo:hi]), pa.array(value)], ["gram", "value"])
+
+    value = chunks.filter("chunk IS NOT NULL").select("chunk").mapInArrow(mix, "gram long, value float")
     counts = terms.groupBy("word").agg(F.sum("n").alias("value"))
     sums = counts.agg(F.coalesce(F.sum("value"), F.lit(0)).alias("n"), F.count_if(F.col("value") > 0).alias("v")).first()
     total, distinct = int(sums["n"]), int(sums["v"])
-    replies = grams.join(value, "gram").select("block", "gram", F.lit(None).cast("binary").alias("word"), "value").unionByName(
-        terms.join(counts, "word").select("block", F.lit(None).cast("long").alias("gram"), "word", F.col("value").cast("double").alias("value")))
+    of_grams = grams.select("block", "gram").join(value, "gram").sortWithinPartitions("block", "gram").select("block", "gram", "value")
+    of_words = terms.select("block", "word").join(counts, "word").sortWithinPartitions("block").select("block", "word", "value")
+    replies = of_grams.mapInArrow(_replies, "block long, grams boolean, blob binary").unionByName(of_words.mapInArrow(_replies, "block long, grams boolean, blob binary"))
 
     def score(texts: pa.Table, given: pa.Table) -> pa.Table:
         import zstandard
 
-        is_gram = given["gram"].is_valid()
-        of_gram, of_word = given.filter(is_gram), given.filter(given["word"].is_valid())
-        order = np.argsort(of_gram["gram"].to_numpy())
-        known, value = of_gram["gram"].to_numpy()[order], of_gram["value"].to_numpy()[order]
-        count = dict(zip(of_word["word"].to_pylist(), of_word["value"].to_pylist()))
+        of_gram, count = [], {}
+        for is_gram, blob in zip(given["grams"].to_pylist(), given["blob"]):
+            if is_gram:
+                of_gram.append(_expand(blob.as_py(), np.float32))
+            else:
+                count.update(zip(*_words_of(blob.as_py())))
+        known, value = (np.concatenate(x) for x in zip(*of_gram))
+        order = np.argsort(known)
+        known, value = known[order], value[order]
         out = {name: [] for name in ("doc_id", "n_tokens", "n_known", "base_score", "score", "bytes")}
         for ids, sizes, data in zip(*(texts[c].to_pylist() for c in ("ids", "sizes", "data"))):
             data, ends = zstandard.decompress(data), np.cumsum(sizes)
