@@ -1,15 +1,23 @@
 """Toxicity by class-conditional Kneser-Ney bigram models.
 
-Models of toxic and of ordinary text are counted from labelled training rows.  Both discount their
-bigrams and back off to their own continuation counts, and from there to counts shared by both
-classes, so a rare expression is not held for toxic because one class lacks it.  A text's
-log-likelihood ratio is normalised by its length (per word, in the most toxic run of words, and as the sum
-of its strongly toxic words, with and without the square root of the length); a logistic curve over these, fitted to rows scored by models
-that leave out their fold, gives the score.
-
-Training rows are a sample bounded at `max_words` expected words a class, so the model has a fixed bound;
-every row is scored whole.  Null and empty texts are texts of no words.  Without training labels of
-both classes every score is the share of label 1 (0 without labels).
+Models of toxic and of ordinary text are counted from labelled training rows.  A class's bigram probability is
+discounted and backs off to the class's own continuation counts (how many distinct words go before a word), and these,
+discounted again, to continuation counts shared by both classes, so a rare expression is not held for toxic because
+one class lacks it.  A pair counts once for each document that holds it.  What is compared is the two models'
+log-likelihood of a text, word by word; since a toxic text is mostly ordinary words, the ratio is summed up length-normalised
+in four ways: per word, in the most toxic run of words, and as the sum of its strongly toxic words over the
+square root of the length and as a logarithm.  A logistic curve over these, fitted to rows scored by
+models that leave out their fold, makes the score a probability.
+
+The models are fitted on a sample of at most about `max_bytes` of labelled text a class, drawn by a hash of the id, so
+they have a fixed bound; every row is scored whole.  Counts are made in Spark; the driver gets only the words, predecessors
+and pairs of which the discount leaves something.
+
+Null and empty texts are texts of no words; the ratio of a word that the discount takes whole in both classes is 0.  Repeated rows are scored as often as they
+occur and count as often in training.  An id with several labels trains with each of them; labels that are null or
+neither 0 nor 1 are passed over.  A null id has the fold of empty text and no label.  Equal scores need no order.  Only the
+named columns are read, so other columns cannot clash.  Without training labels of both classes every score is the share
+of label 1 (0 without labels); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,15 +25,18 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, checkpoint, fold_of, mix64, word_hashes
+from .common import arrow_map, fold_of, mix64, narrowed, stored, word_hashes
 
 WORD = re.compile(r"[^\W\d_]+")
 #: A discount of two documents, as an expression in one or two labelled documents says little about its class.
-MAX_WORDS, DISCOUNT, RUN, STRONG = 400_000, 2.0, 12, 1.5
-ALONE = np.uint64(1)
+DISCOUNT, RUN, STRONG = 2.0, 12, 1.5
+#: Bytes of training text a class: about 4 million words, so at most 1.3 million entries of three documents or more.
+MAX_BYTES = 24 << 20
+FOLDS = (0, 1, 3)
 
 
 def tokens(text: str | None) -> np.ndarray:
@@ -52,33 +63,63 @@ class _Map:
         return np.where((self.keys[at] == k)[:, None], self.values[at], self.default)
 
 
+def _hashes(column: pa.ChunkedArray) -> np.ndarray:
+    return column.to_numpy().astype(np.int64).view(np.uint64)
+
+
+def _tag(fold: int | None) -> str:
+    return "a" if fold is None else str(fold)
+
+
+def counted(pairs: DataFrame, d: float = DISCOUNT) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """From rows (fold, y, before, word), one for each document that holds the pair: tables of words, predecessors and
+    pairs that the discount leaves something of in a class, and a row of totals, for all folds and without each."""
+    cells = [(f, y) for f in FOLDS for y in (0, 1)]
+    pairs = pairs.groupBy("before", "word").agg(*[F.count_if((F.col("fold") == f) & (F.col("y") == y)).alias(f"k{f}{y}") for f, y in cells])
+    every = {y: sum((F.col(f"k{f}{y}") for f in FOLDS[1:]), F.col(f"k{FOLDS[0]}{y}")) for y in (0, 1)}
+    n = {(t, y): (every[y] if t is None else every[y] - F.col(f"k{t}{y}")) for t in (None, *FOLDS) for y in (0, 1)}
+    pairs = stored(pairs.select("before", "word", *[c.alias(f"n{_tag(t)}{y}") for (t, y), c in n.items()]))
+    col = {k: F.col(f"n{_tag(k[0])}{k[1]}") for k in n}
+    words = pairs.groupBy("word").agg(
+        *[F.count_if(c > 0).alias(f"c{_tag(t)}{y}") for (t, y), c in col.items()],
+        *[F.count_if((col[t, 0] > 0) | (col[t, 1] > 0)).alias(f"s{_tag(t)}") for t in (None, *FOLDS)],
+    )
+    words = stored(words)
+    totals = words.agg(
+        *[F.sum(f"c{_tag(t)}{y}").alias(f"c{_tag(t)}{y}") for t, y in col],
+        *[F.sum(F.least(F.col(f"c{_tag(t)}{y}"), F.lit(d))).alias(f"m{_tag(t)}{y}") for t, y in col],
+        *[F.sum(F.col(f"s{_tag(t)}") + F.when(F.col(f"s{_tag(t)}") > 0, 0.5).otherwise(0.0)).alias(f"s{_tag(t)}") for t in (None, *FOLDS)],
+    )
+    befores = pairs.groupBy("before").agg(
+        *[F.sum(c).alias(f"n{_tag(t)}{y}") for (t, y), c in col.items()],
+        *[F.sum(F.least(c, F.lit(d))).alias(f"g{_tag(t)}{y}") for (t, y), c in col.items()],
+    )
+    left = F.greatest(col[None, 0], col[None, 1]) > d
+    return words.filter((F.col("ca0") > d) | (F.col("ca1") > d)), befores.filter((F.col("na0") > F.col("ga0")) | (F.col("na1") > F.col("ga1"))), pairs.filter(left), totals
+
+
 class KneserNey:
-    """Both classes' bigram models, from the documents of each class that hold a pair (before, word); before ALONE marks words by themselves."""
-
-    def __init__(self, before: np.ndarray, word: np.ndarray, counts: np.ndarray, d: float = DISCOUNT):
-        keep = counts.any(axis=1)
-        before, word, counts = before[keep], word[keep], counts[keep].astype(float)
-        alone = before == ALONE
-        w, one = word[alone], counts[alone]
-        order = np.argsort(w)
-        w, one = w[order], one[order]
-        before, word, counts = before[~alone], word[~alone], counts[~alone]
-        pair = mix64(before * np.uint64(0x9E3779B97F4A7C15) + word)
-        at_w = np.searchsorted(w, word)
-        v, at_v = np.unique(before, return_inverse=True)
-        # Shared backoff: distinct predecessors in either class.
-        shared = np.bincount(at_w, minlength=len(w)) + 0.5
-        base = shared / max(1.0, shared.sum())
-        uni, lam, big = [], [], []
-        for c in (0, 1):
-            cut = np.minimum(one[:, c], d)
-            total = max(1.0, one[:, c].sum())
-            uni.append((one[:, c] - cut) / total + max(cut.sum() / total, 1e-6) * base)
-            n, gone = counts[:, c], np.minimum(counts[:, c], d)
-            of = np.bincount(at_v, n, len(v))
-            lam.append(np.where(of > 0, np.bincount(at_v, gone, len(v)) / np.maximum(of, 1), 1.0))
-            big.append((n - gone) / np.maximum(of[at_v], 1))
-        self.uni, self.lam, self.big = _Map(w, np.stack(uni, 1), -1.0), _Map(v, np.stack(lam, 1), 1.0), _Map(pair, np.stack(big, 1), 0.0)
+    """Both classes' bigram models from tables that `counted` makes; `without` leaves out a fold."""
+
+    def __init__(self, words: pa.Table, befores: pa.Table, pairs: pa.Table, totals: dict, without: int | None = None, d: float = DISCOUNT):
+        def of(t: pa.Table, name: str) -> np.ndarray:
+            return np.stack([t[f"{name}{_tag(without)}{y}"].to_numpy().astype(float) for y in (0, 1)], 1)
+
+        def sums(name: str) -> np.ndarray:
+            return np.array([float(totals[f"{name}{_tag(without)}{y}"] or 0) for y in (0, 1)])
+
+        follows, shared = of(words, "c"), words[f"s{_tag(without)}"].to_numpy() + 0.5
+        total = np.maximum(1.0, sums("c"))
+        base = shared / max(1.0, float(totals[f"s{_tag(without)}"] or 0))
+        uni = (follows - np.minimum(follows, d)) / total + np.maximum(sums("m") / total, 1e-6) * base[:, None]
+        n, gone = of(befores, "n"), of(befores, "g")
+        lam = np.where(n > 0, gone / np.maximum(n, 1), 1.0)
+        v, at = np.unique(_hashes(befores["before"]), return_index=True)
+        pair = of(pairs, "n")
+        seen = n[at][np.searchsorted(v, _hashes(pairs["before"]))]
+        high = (pair - np.minimum(pair, d)) / np.maximum(seen, 1)
+        self.uni, self.lam = _Map(_hashes(words["word"]), uni, -1.0), _Map(v, lam[at], 1.0)
+        self.big = _Map(mix64(_hashes(pairs["before"]) * np.uint64(0x9E3779B97F4A7C15) + _hashes(pairs["word"])), high, 0.0)
 
     def ratios(self, h: np.ndarray) -> np.ndarray:
         """Each word's log-likelihood ratio, toxic against ordinary; unknown words have none."""
@@ -111,39 +152,36 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: float = 0.3, max_words: int = MAX_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: float = 0.3, max_bytes: int = MAX_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of docs; rows of fold 2 of 4 never train."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     held = (fold_of(4) == 2).alias("held_out")
     marked = labels.filter(F.col(label).isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).filter(fold_of(4) != 2)
-    known = rows.join(marked, "doc_id").select("doc_id", "y", fold_of(4).cast("int").alias("fold"), "text")
-    size = F.size(F.split("text", r"\s+"))
-    totals = {r["y"]: r for r in known.groupBy("y").agg(F.sum(F.coalesce(size, F.lit(0))).alias("w"), F.count(F.lit(1)).alias("n")).collect()}
+    size = F.octet_length(F.coalesce("text", F.lit(""))) + 1
+    known = stored(rows.select("doc_id", size.alias("size")).join(marked, "doc_id").select("doc_id", "y", "size"))
+    totals = {r["y"]: r for r in known.groupBy("y").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()}
     if len(totals) < 2:
         flat = float(next(iter(totals), 0))
         return rows.select("doc_id", held, F.lit(flat).alias("score"), F.lit(int(flat >= threshold)).alias("predicted"))
     prior = totals[1]["n"] / (totals[0]["n"] + totals[1]["n"])
-    share = {y: min(1.0, max_words / max(1, r["w"])) for y, r in totals.items()}
+    share = {y: min(1.0, max_bytes / r["size"]) for y, r in totals.items()}
     draw = F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1 << 20)) / (1 << 20)
-    sample = checkpoint(known.filter(draw < F.when(F.col("y") == 1, share[1]).otherwise(share[0])))
+    drawn = stored(known.filter(draw < F.when(F.col("y") == 1, share[1]).otherwise(share[0])).select("doc_id", "y", fold_of(4).cast("int").alias("fold")).distinct())
+    sample = stored(narrowed(rows, "doc_id", drawn).join(drawn, "doc_id"))
 
     def pairs(c):
-        out = {"fold": [], "y": [], "before": [], "word": []}
-        for y, fold, t in zip(c["y"], c["fold"], c["text"]):
-            h = tokens(t)
-            both = np.unique(np.stack([np.concatenate([bigrams(h)[0], np.full(len(h), ALONE)]), np.concatenate([h, h])], 1), axis=0).view(np.int64)
-            for name, v in zip(out, ([fold] * len(both), [y] * len(both), both[:, 0].tolist(), both[:, 1].tolist())):
-                out[name] += v
-        return out
-
-    counted = arrow_map(sample, pairs, "fold int, y int, before long, word long", 64).groupBy("before", "word", "fold", "y").agg(F.count(F.lit(1)).alias("n")).toPandas()
-    key, at = np.unique(counted[["before", "word"]].to_numpy(), axis=0, return_inverse=True)
-    counts = np.zeros((len(key), 4, 2))
-    np.add.at(counts, (at.ravel(), counted["fold"].to_numpy(int), counted["y"].to_numpy(int)), counted["n"].to_numpy(float))
-    before, word = (np.ascontiguousarray(key[:, i]).astype(np.int64).view(np.uint64) for i in (0, 1))
-    whole = spark.sparkContext.broadcast(KneserNey(before, word, counts.sum(axis=1)))
-    without = spark.sparkContext.broadcast({f: KneserNey(before, word, counts.sum(axis=1) - counts[:, f]) for f in (0, 1, 3)})
+        found = [np.unique(np.stack([bigrams(h)[0], h], 1), axis=0).view(np.int64) for h in map(tokens, c["text"])]
+        if not found:
+            return None
+        sizes, both = [len(x) for x in found], np.concatenate(found)
+        return {"fold": np.repeat(c["fold"], sizes), "y": np.repeat(c["y"], sizes), "before": both[:, 0], "word": both[:, 1]}
+
+    *tables, sums = counted(arrow_map(sample, pairs, "fold int, y int, before long, word long", 64))
+    tables, sums = [t.toArrow() for t in tables], sums.first().asDict()  # bounded with the sample
+    whole = spark.sparkContext.broadcast(KneserNey(*tables, sums))
+    without = spark.sparkContext.broadcast({f: KneserNey(*tables, sums, f) for f in FOLDS})
+    del tables
 
     def out_of_fold(c):
         return {"y": c["y"], "f": [normalised(without.value[k].ratios(tokens(t))) for k, t in zip(c["fold"], c["text"])]}
