@@ -3,11 +3,14 @@
 1. One pass over the texts gives every document the hash and size of its shingle set and the set's SetSketch: for
    each hash function the exponentially spaced, truncated minimum floor(1 - log_b(min)) of its shingles' exponential
    values, two bytes each.  Registers of a union are maxima.  Equal sets become one class; sets are not stored.
-2. Bands of registers are hashed into buckets.  A bucket first links its members to its least one (a star, so a
-   group of copies costs one row for each member).  After these links are confirmed, members of different components
-   of one bucket meet too, but for pairs inside its largest component.  Where such pairs would be more than `WIDE`
-   in a bucket, its members meet by exact prefix filtering instead: two sets of the wanted similarity share one of
-   their n - ceil(t n) + 1 rarest shingles, which long common passages do not hold.
+2. Bands of registers are hashed into buckets.  A bucket first links its members to its hub, the member that shares
+   its buckets with most others (a star, so a group of copies costs one row for each member).  After these links are
+   confirmed, members of different components of one bucket meet too, but for pairs inside its largest component.
+   Where such pairs would be more than `WIDE` in a bucket, an exact prefix filter around the hub B takes their place.
+   With D(x) the shingles that x and B do not share, two sets x and y have |x ^ y| = |D(x) ^ D(y)|, and similarity t or
+   more means |x ^ y| <= c (|x| + |y|) with c = (1 - t) / (1 + t).  If y has no link to B, |D(y)| > c (|y| + |B|), so
+   x and y must share more than (|D(x)| + c (|B| - |x|)) / 2 elements of D(x), and thus one of the others, the rarest
+   of D(x), which are edits of x's own.  (If both have links to B they are in one component already.)
 3. Pairs pass if their Jaccard similarity, estimated jointly from all registers by likelihood with the known set
    sizes, may reach the threshold; then full sets, made again from the candidates' texts alone, are compared.
 4. Components come from contraction rounds.
@@ -30,8 +33,8 @@ BANDS, ROWS = 28, 5  # at similarity 0.8 all bands miss with probability (1 - 0.
 BASE, RATE, TOP = 1.001, 20.0, 65534
 #: Pairs are dropped before the full comparison if the threshold is exp(this) times less likely than the best estimate.
 DOUBT = 12.0
-#: Pairs of different components in one bucket beyond which its members meet by rare shingles.  Changes speed only.
-WIDE = 1024
+#: Pairs of different components in one bucket beyond which its members meet by their rarest differences from the hub.  Changes speed only.
+WIDE = 256
 
 
 def _functions(m: int) -> tuple[np.ndarray, np.ndarray]:
@@ -87,9 +90,21 @@ def _sets(shingle: int):
     return rows
 
 
-def _exploded(c):
-    sets = [np.frombuffer(s, "<i8") for s in c["shingles"]]
-    return {"id": np.repeat(np.array(c["id"], np.int64), [len(s) for s in sets]), "bucket": np.concatenate(sets)} if sets else None
+def _differences(percent: int):
+    """For pairs (hub a, member b): a row for each shingle of b's difference from a; keep is how many of the rarest suffice."""
+
+    def rows(c):
+        out = {k: [] for k in ("a", "b", "comp", "n", "h", "far", "keep")}
+        for a, b, comp, x, y in zip(c["a"], c["b"], c["comp"], c["s_a"], c["s_b"]):
+            x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+            d = np.setxor1d(x, y, assume_unique=True).view(np.int64)
+            far = (100 + percent) * len(d) > (100 - percent) * (len(x) + len(y))
+            shared = ((100 + percent) * len(d) + (100 - percent) * (len(x) - len(y))) // (2 * (100 + percent)) + 1
+            for k, v in zip(out, (a, b, comp, len(y), d, far, len(d) - shared + 1)):
+                out[k].append(v if k == "h" else np.full(len(d), v))
+        return {k: np.concatenate(v) for k, v in out.items()} if out["a"] else None
+
+    return rows
 
 
 def _band(c):
@@ -140,7 +155,7 @@ def _with(pairs: DataFrame, side: str, table: DataFrame, columns: dict[str, str]
 
 
 def _met(groups: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows (bucket, id, n) of buckets with several components: adds comp, the bucket's largest and its count of pairs to compare."""
+    """The rows (bucket, id, n, ...) of buckets with several components: adds comp, the bucket's largest and its count of pairs to compare."""
     comp = groups.join(found, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     sizes = comp.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("k"))
     mixed = sizes.groupBy("bucket").agg(F.max_by("comp", F.struct("k", "comp")).alias("largest"), F.sum("k").alias("k"), F.max("k").alias("top"), F.count(F.lit(1)).alias("comps"))
@@ -161,8 +176,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     named = member.filter("n > 0 AND doc_id IS NOT NULL")
     nodes = stored(named.groupBy("cls").agg(F.min(F.struct("doc_id", "n", "regs")).alias("m")).select("cls", F.col("m.doc_id").alias("id"), "m.n", "m.regs"))
     bands = arrow_map(nodes.select("id", "n", "regs"), _band, "id long, n long, bucket long")
-    hubs = stored(bands.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("hub"), F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k"))
-    inside = stored(bands.join(hubs, "bucket"))
+    sizes = stored(bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).filter("k > 1"))
+    shared = stored(bands.join(sizes, "bucket"))
+    central = shared.groupBy("id").agg(F.sum("k").alias("central"))
+    hubs = shared.join(stored(central), "id").groupBy("bucket").agg(F.max(F.struct("central", (-F.col("id")).alias("low"), "n")).alias("m"))
+    hubs = stored(hubs.select("bucket", (-F.col("m.low")).alias("hub"), F.col("m.n").alias("n_hub")))
+    inside = stored(shared.select("bucket", "id", "n").join(hubs, "bucket"))
+    dropped(sizes, shared, hubs)
     fits = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
 
     def sets(ids: DataFrame) -> DataFrame:
@@ -180,25 +200,29 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
         dropped(pairs, likely_pairs, full)
         return links
 
-    def by_rare_shingles(ids: DataFrame) -> DataFrame:
-        """(bucket, id, n) with the rarest shingles of each id as buckets."""
-        all_of = stored(arrow_map(sets(ids), _exploded, "id long, bucket long", 128))
-        counts = all_of.groupBy("bucket").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-        last = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-        # Ranks run within an id, whose rows are bounded by its text; shingles of one document stay uncounted but ranked.
-        order = Window.partitionBy("id").orderBy(F.coalesce("df", F.lit(1)), "bucket")
-        whole = Window.partitionBy("id")
-        ranked = all_of.join(counts, "bucket", "left").withColumn("n", F.count(F.lit(1)).over(whole)).withColumn("rank", F.row_number().over(order))
-        return stored(ranked.filter((F.col("rank") <= last) & F.col("df").isNotNull()).select("bucket", "id", "n"))
-
-    star = confirm(inside.filter("id <> hub.id").select(F.col("id").alias("a"), F.col("hub.id").alias("b"), F.col("n").alias("n_a"), F.col("hub.n").alias("n_b")))
+    def around_hubs(met: DataFrame) -> DataFrame:
+        """Pairs (a, b, n_a, n_b) of different components around one hub that share one of a's rarest differences from it."""
+        spokes = stored(met.filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"), "comp").distinct())
+        full = sets(stored(spokes.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
+        whole = _with(_with(spokes, "a", full, {"shingles": "s_a"}), "b", full, {"shingles": "s_b"})
+        diff = stored(arrow_map(whole, _differences(percent), "a long, b long, comp long, n long, h long, far boolean, keep long", 128))
+        dropped(spokes, full)
+        held = diff.groupBy("a", "h").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+        # Ranks run within one member of one hub, whose rows are bounded by two texts; what no other holds is ranked first.
+        rank = F.row_number().over(Window.partitionBy("a", "b").orderBy(F.coalesce("df", F.lit(1)), "h"))
+        rare = diff.filter("keep > 0").join(held, ["a", "h"], "left").withColumn("rank", rank).filter("rank <= keep AND df > 1")
+        left = rare.select("a", "h", F.col("b").alias("x"), F.col("comp").alias("c_x"), F.col("n").alias("n_a"))
+        right = diff.filter("far").select("a", "h", F.col("b").alias("y"), F.col("comp").alias("c_y"), F.col("n").alias("n_b"))
+        return left.join(right, ["a", "h"]).filter("c_x <> c_y").select(F.col("x").alias("a"), F.col("y").alias("b"), "n_a", "n_b")
+
+    star = confirm(inside.filter("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b"), F.col("n").alias("n_a"), F.col("n_hub").alias("n_b")))
     found = components(star).select("id", F.col("component").alias("comp"))
-    met = stored(_met(inside.select("bucket", "id", "n"), found))
-    dropped(inside, hubs)
+    met = stored(_met(inside.select("bucket", "id", "n", "hub"), found))
+    dropped(inside)
     pairs = _cross(met.filter(F.col("cost") <= wide))
-    many = stored(met.filter(F.col("cost") > wide).select("id").distinct())
+    many = met.filter(F.col("cost") > wide)
     if not many.isEmpty():
-        pairs = pairs.unionByName(_cross(_met(by_rare_shingles(many), found)))
+        pairs = pairs.unionByName(around_hubs(many))
     # A repeated id may stand in several classes; they are one document.
     of_class = nodes.select("cls", F.col("id").alias("node"))
     ids = named.select("doc_id", "cls").join(of_class, "cls").select("doc_id", "node")
