@@ -131,58 +131,60 @@ def text_key(column: str = "text") -> Column:
     return F.unhex(F.md5(text_of(column).cast("binary")))
 
 
-def bit_filter(hashes: DataFrame, bits: int = 1 << 25) -> np.ndarray:
-    """Packed bits set at hash % bits for the long column h: a fixed size, whatever the input."""
-    slots = hashes.select(F.pmod("h", F.lit(bits)).alias("slot"))
-
-    def block(batches):
-        seen = np.zeros(bits, bool)
-        for b in batches:
-            seen[b["slot"].to_numpy()] = True
-        packed = np.packbits(seen).reshape(-1, 1 << 12)
-        rows = np.flatnonzero(packed.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(rows.astype(np.int32)), pa.array([packed[i].tobytes() for i in rows], pa.binary())], ["block", "bits"])
-
-    def any_of(t: pa.Table) -> pa.Table:
-        out = np.zeros(1 << 12, np.uint8)
-        for b in t["bits"]:
-            out |= np.frombuffer(b.as_py(), np.uint8)
-        return pa.table([t["block"][:1], pa.array([out.tobytes()], pa.binary())], ["block", "bits"])
-
-    kinds = "block int, bits binary"
-    packed = np.zeros((bits >> 15, 1 << 12), np.uint8)
-    for row in slots.mapInArrow(block, kinds).groupBy("block").applyInArrow(any_of, kinds).toLocalIterator():
-        packed[row["block"]] = np.frombuffer(bytes(row["bits"]), np.uint8)
+BLOCK = 1 << 15  # bits of one bitmap of bitmap_construct_agg
+
+
+def _bits_for(keys: DataFrame, most_bits: int) -> int:
+    """A power of two of 16 bits a key or more, but never above most_bits."""
+    bits, n = BLOCK, keys.count()
+    while bits < min(most_bits, 16 * n):
+        bits *= 2
+    return bits
+
+
+def _bitmaps(slots: DataFrame) -> DataFrame:
+    """(bucket, bitmap) of the column slot, numbers from 1."""
+    return slots.groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bitmap"))
+
+
+def bit_filter(hashes: DataFrame, most_bits: int = 1 << 28) -> np.ndarray:
+    """Packed bits set at hash % bits for the stored long column h: sized by the count of hashes and never above 32 MB."""
+    bits = _bits_for(hashes, most_bits)
+    packed = np.zeros((bits // BLOCK, BLOCK // 8), np.uint8)
+    for row in _bitmaps(hashes.select((F.pmod("h", F.lit(bits)) + 1).alias("slot"))).toLocalIterator():
+        packed[row["bucket"] - 1] = np.frombuffer(bytes(row["bitmap"]), np.uint8)
     return packed.ravel()
 
 
 def in_filter(packed: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     at = np.mod(hashes.view(np.int64), np.int64(len(packed) * 8))
-    return (packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
+    return (packed[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
 
 
-def narrowed(df: DataFrame, column: str, keys: DataFrame, bits_per_key: int = 16, most_bits: int = 1 << 30) -> DataFrame:
-    """Rows of df whose column is in keys (one stored column of that name).
+def flagged(df: DataFrame, column: str, keys: DataFrame, flag: str, most_bits: int = 1 << 30) -> DataFrame:
+    """Adds a boolean: false where the column is surely not in keys (one stored column of that name), true else.
 
-    A bitmap of the keys' hashes, sized by their count and never above most_bits (128 MB), is broadcast first, so only
-    wanted rows and a few others are shuffled; the semi-join that follows is exact.
+    A bitmap of the keys' hashes, sized by their count and never above most_bits (128 MB), is broadcast.
     """
-    block = 1 << 15  # bits of one bitmap of bitmap_construct_agg
-    bits = block
-    while bits < min(most_bits, keys.count() * bits_per_key):
-        bits *= 2
-    names = [free_name(df, c) for c in ("slot", "bucket", "bitmap")]
-    slot, bucket, bitmap = names
+    bits = _bits_for(keys, most_bits)
+    slot, bucket, bitmap = (free_name(df, c) for c in ("slot", "bucket", "bitmap"))
 
     def at(c: str) -> Column:
         return F.pmod(F.xxhash64(c), F.lit(bits)) + 1
 
-    blocks = keys.select(at(column).alias(slot)).groupBy(F.bitmap_bucket_number(slot).alias(bucket)).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias(bitmap))
+    blocks = stored(_bitmaps(keys.select(at(column).alias("slot")))).select(F.col("bucket").alias(bucket), F.col("bitmap").alias(bitmap))
     position = F.bitmap_bit_position(slot)
     octet = F.conv(F.hex(F.substring(F.col(bitmap), F.shiftright(position, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    rows = df.withColumn(slot, at(column)).withColumn(bucket, F.bitmap_bucket_number(slot)).join(F.broadcast(stored(blocks)), bucket)
-    rows = rows.filter(F.getbit(octet, F.pmod(position, F.lit(8)).cast("int")) == 1).select(*df.columns)
-    return rows.join(keys, column, "left_semi")
+    rows = df.withColumn(slot, at(column)).withColumn(bucket, F.bitmap_bucket_number(slot)).join(F.broadcast(blocks), bucket, "left")
+    hit = F.coalesce(F.getbit(octet, F.pmod(position, F.lit(8)).cast("int")) == 1, F.lit(False))
+    return rows.select(*df.columns, hit.alias(flag))
+
+
+def narrowed(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """Rows of df whose column is in keys (a stored table with that column): only they and a few others are shuffled."""
+    flag = free_name(df, "flag")
+    keys = keys.select(column)
+    return flagged(df, column, keys, flag).filter(flag).drop(flag).join(keys, column, "left_semi")
 
 
 def components(edges: DataFrame) -> DataFrame:
