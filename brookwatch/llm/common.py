@@ -11,7 +11,6 @@ import uuid
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,11 +76,6 @@ def fold(doc_id, modulus: int) -> int:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % modulus
 
 
-def words(text: str | None) -> list[bytes]:
-    """Words [^\\x20\\x09-\\x0D]+ with A-Z in lower case.  bytes.lower() and bytes.split() are limited to ASCII."""
-    return text.encode().lower().split() if text else []
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64-bit values."""
     x = x ^ (x >> np.uint64(33))
@@ -91,17 +85,75 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def word_hashes(tokens: list[bytes]) -> np.ndarray:
-    if not tokens:
-        return np.zeros(0, np.uint64)
-    return pd.util.hash_array(np.array(tokens, dtype=object), categorize=len(tokens) > 64)
+def _table(characters: bytes) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[list(characters)] = True
+    return out
+
+
+SPACES = _table(b" \t\n\x0b\x0c\r")
+_LETTERS = b"abcdefghijklmnopqrstuvwxyz"
+#: Bytes that are no part of a word: ASCII without [a-z0-9_], and without [a-z].
+NO_WORD, NO_LETTER = (~_table(_LETTERS + more + bytes(range(128, 256))) for more in (b"0123456789_", b""))
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_CODE = mix64(np.arange(1, 257, dtype=np.uint64) * _BASE)
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    """The first powers of base, at least n + 1; the longest text's are kept."""
+    out = _POWERS.get(int(base))
+    if out is None or len(out) <= n:
+        out = np.full(max(n + 1, 1 << 16), base, np.uint64)
+        out[0] = 1
+        out = _POWERS[int(base)] = np.multiply.accumulate(out)
+    return out
+
+
+def range_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of values[start:end] for each pair, from one pass over the values."""
+    n = len(values)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(values * _powers(_BASE, n)[:n], out=total[1:])
+    return mix64((total[end] - total[start]) * _powers(_INVERSE, n)[start])
+
+
+def split(b: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of bytes that are not in the table apart."""
+    out = np.concatenate([[True], apart[b], [True]])
+    return np.flatnonzero(out[:-1] & ~out[1:]), np.flatnonzero(~out[:-1] & out[1:])
+
 
+def byte_hashes(b: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return range_hashes(_CODE[b], start, end)
 
-def shingle_hashes(tokens: list[bytes], n: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the n-word shingles; fewer words make one shingle."""
-    if not tokens:
+
+def space_words(text: str | None) -> np.ndarray:
+    """64-bit hashes of the words [^\\x20\\x09-\\x0D]+ with A-Z in lower case (bytes.lower() is limited to ASCII)."""
+    b = np.frombuffer(text.encode().lower() if text else b"", np.uint8)
+    return byte_hashes(b, *split(b, SPACES))
+
+
+def letter_words(text: str | None, digits: bool) -> np.ndarray:
+    """64-bit hashes of the lower-case words \\w+, or without digits and the underscore [^\\W\\d_]+."""
+    low = (text or "").lower()
+    if not low.isascii():
+        odd = {ord(c): " " for c in set(low) if ord(c) > 127 and not (c.isalnum() and (digits or not c.isdecimal()))}
+        low = low.translate(odd) if odd else low
+    b = np.frombuffer(low.encode(), np.uint8)
+    return byte_hashes(b, *split(b, NO_WORD if digits else NO_LETTER))
+
+
+def words(text: str | None) -> list[bytes]:
+    """Words [^\\x20\\x09-\\x0D]+ with A-Z in lower case.  bytes.lower() and bytes.split() are limited to ASCII."""
+    return text.encode().lower().split() if text else []
+
+
+def shingle_hashes(h: np.ndarray, n: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the n-word shingles of words given by their hashes; fewer words make one shingle."""
+    if not len(h):
         return np.zeros(0, np.uint64)
-    h = word_hashes(tokens)
     k = min(n, len(h))
     out = np.full(len(h) - k + 1, k, np.uint64)
     for i in range(k):
@@ -126,6 +178,27 @@ def arrow_map(df: DataFrame, rows, schema: str, slice_rows: int = 512) -> DataFr
     return df.mapInArrow(run, schema)
 
 
+#: Rows of a table that may be broadcast: some 20 MB of keys and small values.
+FEW = 200_000
+
+
+def joined(df: DataFrame, table: DataFrame, on, how: str = "inner") -> DataFrame:
+    """df joined with a stored table, which is broadcast if it has FEW rows, so df is not dealt by its hot keys; else
+    both are shuffled, and adaptive execution splits skewed partitions."""
+    return df.join(F.broadcast(table) if table.count() <= FEW else table, on, how)
+
+
+def looked_up(df: DataFrame, column: str, table: DataFrame) -> DataFrame:
+    """df left-joined with a stored table of unique keys; rows that surely find none are not shuffled."""
+    if table.count() <= FEW:
+        return df.join(F.broadcast(table), column, "left")
+    flag = free_name(df, "flag")
+    marked = flagged(df, column, table.select(column), flag)
+    found = marked.filter(flag).drop(flag).join(table, column, "left")
+    more = [F.lit(None).cast(f.dataType).alias(f.name) for f in table.schema if f.name != column]
+    return found.unionByName(marked.filter(~F.col(flag)).drop(flag).select("*", *more))
+
+
 def text_key(column: str = "text") -> Column:
     """A key of a whole text; what depends on the text alone is worked out once for all its copies."""
     return F.unhex(F.md5(text_of(column).cast("binary")))

@@ -8,8 +8,14 @@
 4. Partitions turn bitmaps into suspects.  Only suspects' texts are shuffled, one for each map task
    and distinct text thanks to partial aggregation, and grouped on the bytes themselves.
 
-A hot text costs an owner one entry for each partition, and the byte check one row for each map
-task.  Null texts count as empty and are copies of each other.  Ties go to the smallest doc_id.
+There is an owner for each `owner_prints` fingerprints, so gaps stay short and messages worth their coding however many
+partitions send.  A hot text costs an owner one entry for each partition, and the byte check one row for each map
+task.  Suspects are told by a bitmap sized by their count, then by an exact join.
+
+Null texts count as empty and are copies of each other.  Ties go to the smallest doc_id.  Rows with the keeper's id and
+an equal text are the kept document, so all of them stay; a row with a null id stays only if no row of its group has an
+id, and then keep_id is null.  Only the two named columns are read, so other columns cannot clash.  An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,10 +26,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, checkpoint, text_of
+from .common import SPACE, flagged, looked_up, stored, text_of
 
-#: Bits of the filter that spares most unsuspected texts the second shuffle: a fixed 4 MB, whatever the input.
-FILTER_BITS = 1 << 25
+#: Fingerprints of an owner: some tens of MB decoded.
+OWNER_PRINTS = 4_000_000
 
 
 def rice_encode(values: np.ndarray) -> tuple[int, bytes]:
@@ -98,65 +104,26 @@ def _suspect(prints: pa.Table, maps: pa.Table) -> pa.Table:
     return pa.table([pa.array(own[(flags > 0) | (count > 1)].view(np.int64))], ["fp"])
 
 
-def _bits(bits: int):
-    def run(batches):
-        seen = np.zeros(bits, bool)
-        for b in batches:
-            seen[_slots(b["fp"].to_numpy(), bits)] = True
-        yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.flatnonzero(seen) >> 15).astype(np.int32)),
-                                          pa.array([np.packbits(seen[i << 15 : (i + 1) << 15]).tobytes() for i in np.unique(np.flatnonzero(seen) >> 15)], pa.binary())], ["block", "bits"])
-
-    return run
-
-
-def _slots(fp: np.ndarray, bits: int) -> np.ndarray:
-    return (fp.view(np.uint64) % np.uint64(bits)).astype(np.int64)
-
-
-def _any(t: pa.Table) -> pa.Table:
-    out = None
-    for b in t["bits"]:
-        x = np.frombuffer(b.as_py(), np.uint8)
-        out = x if out is None else out | x
-    return pa.table([t["block"][:1], pa.array([out.tobytes()], pa.binary())], ["block", "bits"])
-
-
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", filter_bits: int = FILTER_BITS) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_prints: int = OWNER_PRINTS) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256) for every row of docs.
 
     Texts are equal when identical after every run of ASCII white space has become one space.
     """
-    spark = docs.sparkSession
     norm = docs.select(F.col(id_col).alias("doc_id"), F.regexp_replace(text_of(text_col), SPACE, " ").alias("norm"))
-    digest = F.unhex(F.sha2(F.col("norm").cast("binary"), 256))
-    prints = checkpoint(norm.select("doc_id", digest.alias("digest")).mapInArrow(_digests, "doc_id long, digest binary, part int"))
-    owners = max(1, prints.rdd.getNumPartitions())
+    norm = norm.withColumn("digest", F.unhex(F.sha2(F.col("norm").cast("binary"), 256)))
+    prints = stored(norm.select("doc_id", "digest").mapInArrow(_digests, "doc_id long, digest binary, part int"))
+    owners = max(1, -(-prints.count() // owner_prints))
     sent = prints.groupBy("part").applyInArrow(_send(owners), "part int, owner int, n int, k int, blob binary")
     answers = sent.groupBy("owner").applyInArrow(_answer, "part int, owner int, n int, dups binary")
-    suspects = checkpoint(prints.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(_suspect, "fp long").distinct())
-    # A fixed-size filter lets the texts of suspects, and few others, through; the exact join follows.
-    seen = np.zeros(filter_bits, bool)
-    blocks = suspects.mapInArrow(_bits(filter_bits), "block int, bits binary").groupBy("block").applyInArrow(_any, "block int, bits binary")
-    for row in blocks.toLocalIterator():
-        x = np.unpackbits(np.frombuffer(bytes(row["bits"]), np.uint8))
-        seen[row["block"] << 15 : (row["block"] << 15) + len(x)] = x
-    packed = spark.sparkContext.broadcast(np.packbits(seen))
-
-    def through(batches):
-        bits = packed.value
-        for b in batches:
-            fp = _fingerprints(b["digest"])
-            at = _slots(fp.view(np.int64), filter_bits)
-            keep = (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
-            out = pa.RecordBatch.from_arrays([b["doc_id"], b["norm"], b["digest"], pa.array(fp.view(np.int64))], ["doc_id", "norm", "digest", "fp"])
-            yield out.filter(pa.array(keep.astype(bool)))
-
-    texts = norm.select("doc_id", "norm", digest.alias("digest")).mapInArrow(through, "doc_id long, norm string, digest binary, fp long")
+    suspects = stored(prints.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(_suspect, "fp long").distinct())
+    fp = F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long")
+    texts = flagged(norm.withColumn("fp", fp), "fp", suspects, "maybe").filter("maybe")
     # One row for each map task and text before the shuffle, so a hot text is no hot key.
     checked = texts.groupBy("digest", "fp", "norm").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     checked = checked.join(suspects, "fp", "left_semi")
     groups = checked.groupBy("digest").agg(F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"), F.count(F.lit(1)).alias("texts"))
-    groups = checkpoint(groups.select("digest", "keep_id", F.when(F.col("texts") > 1, F.raise_error(F.lit("two texts share a SHA-256")).cast("long")).otherwise(F.col("group_size")).alias("group_size")))
-    joined = prints.select("doc_id", "digest").join(groups, "digest", "left")
-    keep = F.coalesce("keep_id", "doc_id")
-    return joined.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"), F.coalesce(keep == F.col("doc_id"), F.lit(True)).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    groups = stored(groups.select("digest", "keep_id", F.when(F.col("texts") > 1, F.raise_error(F.lit("two texts share a SHA-256")).cast("long")).otherwise(F.col("group_size")).alias("group_size")))
+    found = looked_up(prints.select("doc_id", "digest"), "digest", groups)
+    keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
+    kept = F.when(keep.isNull(), True).otherwise(F.coalesce(keep == F.col("doc_id"), F.lit(False)))
+    return found.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"), kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))

@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, components, dropped, mix64, narrowed, shingle_hashes, stored, words
+from .common import arrow_map, components, dropped, mix64, narrowed, shingle_hashes, space_words, stored
 
 BANDS, ROWS = 28, 5  # at similarity 0.8 all bands miss with probability (1 - 0.8^5)^28 = 1.5e-5
 BASE, RATE, TOP = 1.001, 20.0, 65534
@@ -72,7 +72,7 @@ def _sketches(shingle: int):
     import xxhash
 
     def rows(c):
-        sets = [shingle_hashes(words(t), shingle) for t in c["text"]]
+        sets = [shingle_hashes(space_words(t), shingle) for t in c["text"]]
         return {
             "doc_id": c["doc_id"],
             "n": [len(s) for s in sets],
@@ -85,7 +85,7 @@ def _sketches(shingle: int):
 
 def _sets(shingle: int):
     def rows(c):
-        return {"id": c["id"], "shingles": [shingle_hashes(words(t), shingle).astype("<u8").tobytes() for t in c["text"]]}
+        return {"id": c["id"], "shingles": [shingle_hashes(space_words(t), shingle).astype("<u8").tobytes() for t in c["text"]]}
 
     return rows
 

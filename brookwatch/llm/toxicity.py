@@ -22,16 +22,13 @@ of label 1 (0 without labels); an empty table gives an empty result.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, fold_of, mix64, narrowed, stored, word_hashes
+from .common import arrow_map, fold_of, letter_words, mix64, narrowed, stored
 
-WORD = re.compile(r"[^\W\d_]+")
 #: A discount of two documents, as an expression in one or two labelled documents says little about its class.
 DISCOUNT, RUN, STRONG = 2.0, 12, 1.5
 #: Bytes of training text a class: about 4 million words, so at most 1.3 million entries of three documents or more.
@@ -40,7 +37,8 @@ FOLDS = (0, 1, 3)
 
 
 def tokens(text: str | None) -> np.ndarray:
-    return word_hashes([w.encode() for w in WORD.findall((text or "").lower())])
+    """64-bit hashes of the lower-case words of letters."""
+    return letter_words(text, digits=False)
 
 
 def bigrams(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
