@@ -5,7 +5,15 @@ cutting-stock problem.  Their length histogram (a row for each class of lengths,
 grow with the input) goes to the driver, where a linear program over packing patterns is solved by
 column generation: a knapsack dynamic program prices new patterns against the duals.  Patterns are
 rounded down, what is left is packed best-fit-decreasing, and rests, ranked within their class by
-distributed counts, take the patterns' places.  An empty text is one end token.  Nothing is dropped.
+distributed counts, take the patterns' places.
+
+The program works on lengths rounded up to `width` tokens.  Items of at most `SHORT` tokens are classes by their exact length
+and stay out of it: they fill the room that the patterns leave, and then sequences of their own.
+
+An empty or null text is one end token.  Nothing is dropped.  Repeated rows, and rows with one id, are documents of their own, each
+with pieces from start 0; a null id stays null.  Which of two pieces of equal class takes which place is decided by their
+partitions and their order in these, and may differ between runs.  Only the two named columns are read, so other
+columns cannot clash.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,11 +29,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import stored
 
 CAPACITY = 2048
 #: Lengths are rounded up to this many tokens for the linear program; the rounding is the only padding it causes.
 WIDTH = 8
+#: Lengths up to this are classes by themselves.
+SHORT = 128
 END = 1
 ENDOFTEXT = "<|endoftext|>"
 
@@ -115,13 +125,32 @@ def column_generation(size: np.ndarray, demand: np.ndarray, room: int, rounds: i
     return basis.astype(np.int64), np.maximum(np.einsum("ij,j->i", inverse, demand), 0)
 
 
+def class_of(length: int, width: int) -> int:
+    return length if length <= SHORT else SHORT - (SHORT - length) // width
+
+
+def bound_of(c: int, width: int) -> int:
+    """The greatest length of class c."""
+    return c if c <= SHORT else SHORT + (c - SHORT) * width
+
+
 def make_plan(histogram: dict[int, int], capacity: int = CAPACITY, width: int = WIDTH) -> Plan:
-    """Places for every item of the histogram {class: count}; class c holds lengths up to c * width."""
+    """Places for every item of the histogram {class: count}."""
     classes = np.array(sorted(histogram), np.int64)
     left = np.array([histogram[c] for c in classes], np.int64)
-    room = capacity // width
+    tokens = np.array([min(capacity, bound_of(c, width)) for c in classes.tolist()], np.int64)
+    long = np.flatnonzero(classes > SHORT)
+    room, units = capacity // width, np.minimum(-(-tokens // width), capacity // width)
     used, rows, sequence = np.zeros(len(classes), np.int64), [], 0
 
+    def filled(pattern: np.ndarray, times: int, of: np.ndarray) -> np.ndarray:
+        """Adds the largest items of the classes `of` that fit and of which there are enough for all `times`."""
+        pattern, free = pattern.copy(), capacity - int(pattern @ tokens)
+        for c in of[::-1]:
+            take = int(min((left[c] - pattern[c] * times) // times, free // tokens[c]))
+            pattern[c], free = pattern[c] + take, free - take * int(tokens[c])
+        return pattern
+
     def place(pattern: np.ndarray, times: int) -> None:
         nonlocal sequence
         at = 0
@@ -133,18 +162,17 @@ def make_plan(histogram: dict[int, int], capacity: int = CAPACITY, width: int =
         left[:] = left - pattern * times
         sequence += times
 
-    if len(classes):
-        patterns, use = column_generation(classes, left.astype(float), room)
+    if len(long):
+        patterns, use = column_generation(units[long], left[long].astype(float), room)
         for j in np.argsort(-use, kind="stable"):
-            fit = [left[c] // patterns[c, j] for c in np.flatnonzero(patterns[:, j])]
+            pattern = np.zeros(len(classes), np.int64)
+            pattern[long] = patterns[:, j]
+            fit = [left[c] // pattern[c] for c in np.flatnonzero(pattern)]
             if times := int(min([int(use[j] + 1e-9), *fit])):
-                place(patterns[:, j], times)
-        while left.any():  # what rounding left: at most the patterns' own items, largest first into the best fit
-            pattern, free = np.zeros(len(classes), np.int64), room
-            for c in np.flatnonzero(left)[::-1]:
-                take = int(min(left[c], free // classes[c]))
-                pattern[c], free = take, free - take * int(classes[c])
-            place(pattern, int(min(left[c] // pattern[c] for c in np.flatnonzero(pattern))))
+                place(filled(pattern, times, np.flatnonzero(classes <= SHORT)), times)
+    while left.any():  # what rounding left, and short items: largest first into the best fit
+        pattern = filled(np.zeros(len(classes), np.int64), 1, np.arange(len(classes)))
+        place(pattern, int(min(left[c] // pattern[c] for c in np.flatnonzero(pattern))))
     return Plan(rows, sequence)
 
 
@@ -159,7 +187,7 @@ def _pieces(capacity: int, width: int):
                 ids = encode(text.as_py())
                 for start in range(0, len(ids), capacity):
                     piece = ids[start : start + capacity]
-                    c = -(-len(piece) // width)
+                    c = class_of(len(piece), width)
                     rank = ranks[c] = ranks.get(c, -1) + 1
                     out.append((doc, start, len(piece), zlib.crc32(piece.tobytes()), len(ids), c, part, rank))
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*out) if out else [()] * 8)], names)
@@ -171,7 +199,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset), a row for each piece."""
     spark = docs.sparkSession
     kinds = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, class long, part long, local long"
-    pieces = checkpoint(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_pieces(capacity, width), kinds))
+    pieces = stored(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_pieces(capacity, width), kinds))
     counts = pieces.groupBy("class", "part").agg(F.count(F.lit(1)).alias("n"))
     before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("class").orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n"))
     plan = make_plan({r["class"]: r["n"] for r in counts.groupBy("class").agg(F.sum("n").alias("n")).collect()}, capacity, width)

@@ -4,8 +4,12 @@ A pass over whole texts gives fixed document statistics.  Those of labelled trai
 standardised and mapped to cosines that approximate a Gaussian kernel; every partition sums its own
 normal equations, which are added up in two steps, so only matrices of a fixed size reach the driver.
 Scores from models that leave out a row's fold, on a grid of a fixed size, fit the isotonic curve.
-A null text is an empty one; empty texts get the score of their statistics.  Without training labels
-of both classes every score is the share of label 1 (0.5 without labels).
+
+A null text is an empty one; empty texts get the score of their statistics.  Repeated rows are scored as often as they
+occur.  An id with several labels or several texts trains with each pair of them; labels that are null or neither 0 nor 1 are
+passed over.  A null id has the fold of empty text and no label.  Equal scores need no order.  Only the named columns
+are read, so other columns cannot clash.  Without training labels of both classes every score is the share of label 1
+(0.5 without labels); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, checkpoint, fold_of
+from .common import arrow_map, fold_of, stored
 
 FEATURES, WIDTH, RIDGE, GRID = 16, 256, 1e-3, 2048
 LETTER = re.compile(r"[^\W\d_]")
@@ -85,9 +89,9 @@ def _sum_tables(t: pa.Table) -> pa.Table:
 def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of docs; rows of fold 2 of 4 never train."""
     spark = docs.sparkSession
-    stats = checkpoint(arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), _stats, "doc_id long, f array<double>"))
+    stats = stored(arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), _stats, "doc_id long, f array<double>"))
     marked = labels.filter(F.col(label).isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("double").alias("y"))
-    train = checkpoint(stats.join(marked, "doc_id").withColumn("fold", fold_of(4).cast("int")).filter("fold <> 2"))
+    train = stored(stats.join(marked, "doc_id").withColumn("fold", fold_of(4).cast("int")).filter("fold <> 2"))
     sums = train.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("y"), F.lit(0.5)).alias("y"), *[g(F.col("f")[i]).alias(f"{k}{i}") for i in range(FEATURES) for k, g in (("m", F.avg), ("s", F.stddev_pop))]).first()
     held = (fold_of(4) == 2).alias("held_out")
     if not sums["n"] or not 0 < sums["y"] < 1:

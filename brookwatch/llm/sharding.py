@@ -5,7 +5,13 @@ text are linked.  In each round a join gives every linked row its group's counts
 propose to move to the shard that holds most of their group and that the group has not filled alone.
 Moves between two shards are accepted in equal numbers both ways, rows without links making up the
 difference, so the law holds after every round.  Ranks are distributed counts; only the matrix of
-moves between shards (shards squared) reaches the driver.  A null text is an empty one.
+moves between shards (shards squared) reaches the driver.  Groups' proposals are looked up from a broadcast table of checked
+size, or by a join of linked rows alone, so a hot group is no hot key.
+
+A null text is an empty one: size 1, linked with other empty ones.  Repeated rows are rows of their own, each with its own slot,
+and linked as equal texts; which of two equal rows gets which slot is open, as nothing tells them apart.  A null id is ranked
+by its text's hash like any other.  Ties between shards go by a hash of group and shard, ties in rank by hashes of id and
+text.  Only the two named columns are read, so other columns cannot clash.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -13,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, text_of
+from .common import looked_up, stored, text_of
 
 
 def _ranked(df: DataFrame, keys: list[str], part: Column, order: list[Column], name: str) -> DataFrame:
@@ -61,14 +67,14 @@ def balanced_shards(docs: DataFrame, shards: int = 8, rounds: int = 4, id_col: s
         F.crc32(raw).alias("text_crc32"),
         F.unhex(F.md5(raw)).alias("gid"),
     )
-    rows = checkpoint(rows)
+    rows = stored(rows)
     parts = rows.rdd.getNumPartitions()
     part = F.pmod(F.xxhash64("doc_id"), F.lit(parts))
     order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("gid")]
-    sizes = rows.groupBy("gid").agg(F.count(F.lit(1)).alias("group_size")).filter("group_size > 1")
+    sizes = stored(rows.groupBy("gid").agg(F.count(F.lit(1)).alias("group_size")).filter("group_size > 1"))
     state = _ranked(rows.withColumn("_all", F.lit(0)), ["_all"], part, order, "deal").drop("_all")
-    state = state.join(sizes, "gid", "left").select("doc_id", "size", "text_crc32", "gid", F.coalesce("group_size", F.lit(1)).alias("group_size"), F.pmod(F.col("deal"), F.lit(shards)).cast("int").alias("shard"))
-    state = checkpoint(state)
+    state = looked_up(state, "gid", sizes).select("doc_id", "size", "text_crc32", "gid", F.coalesce("group_size", F.lit(1)).alias("group_size"), F.pmod(F.col("deal"), F.lit(shards)).cast("int").alias("shard"))
+    state = stored(state)
     quota = {r["shard"]: r["n"] for r in state.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
     full = _pick(F.col("shard"), list((k, F.lit(v)) for k, v in quota.items()), "long")
     for _ in range(rounds):
@@ -78,10 +84,10 @@ def balanced_shards(docs: DataFrame, shards: int = 8, rounds: int = 4, id_col: s
             F.max_by(F.when(F.col("open"), F.col("shard")), F.when(F.col("open"), F.struct("n", F.xxhash64("gid", "shard")))).alias("best"),
             F.collect_set(F.when(~F.col("open"), F.col("shard"))).alias("closed"),
         )
-        seen = state.join(best, "gid", "left")
+        seen = looked_up(state, "gid", stored(best))
         to = F.when(F.col("best").isNotNull() & (F.col("best") != F.col("shard")) & ~F.array_contains("closed", F.col("shard")), F.col("best")).otherwise(F.when(F.col("group_size") == 1, F.lit(-1)).otherwise(F.lit(-2)))
         seen = seen.withColumn("to", to.cast("int")).drop("best", "closed")
-        ranked = checkpoint(_ranked(seen, ["shard", "to"], part, order, "rank"))
+        ranked = stored(_ranked(seen, ["shard", "to"], part, order, "rank"))
         found = {(r["shard"], r["to"]): r["n"] for r in ranked.groupBy("shard", "to").agg(F.count(F.lit(1)).alias("n")).collect()}
         movers = {k: n for k, n in found.items() if k[1] >= 0}
         if not movers:
@@ -99,7 +105,7 @@ def balanced_shards(docs: DataFrame, shards: int = 8, rounds: int = 4, id_col: s
                         at += fill[i, j]
             moved = F.when(F.col("shard") == i, own).otherwise(moved)
         state = ranked.select("doc_id", "size", "text_crc32", "gid", "group_size", moved.cast("int").alias("shard"))
-        state = checkpoint(state)
+        state = stored(state)
         if not any(take.values()):
             break
     out = _ranked(state, ["shard"], part, order, "slot")
