@@ -6,11 +6,12 @@
 2. Bands of registers are hashed into buckets.  A bucket first links its members to its hub, the member that shares
    its buckets with most others (a star, so a group of copies costs one row for each member).  After these links are
    confirmed, members of different components of one bucket meet too, but for pairs inside its largest component.
-   Where such pairs would be more than `WIDE` in a bucket, an exact prefix filter around the hub B takes their place.
-   With D(x) the shingles that x and B do not share, two sets x and y have |x ^ y| = |D(x) ^ D(y)|, and similarity t or
-   more means |x ^ y| <= c (|x| + |y|) with c = (1 - t) / (1 + t).  If y has no link to B, |D(y)| > c (|y| + |B|), so
-   x and y must share more than (|D(x)| + c (|B| - |x|)) / 2 elements of D(x), and thus one of the others, the rarest
-   of D(x), which are edits of x's own.  (If both have links to B they are in one component already.)
+   Where such pairs would be more than `WIDE` in a bucket, an exact prefix filter around a pivot B, the most central
+   member of the hub's component, takes their place.  With D(x) the shingles that x and B do not share, two sets have
+   |x ^ y| = |D(x) ^ D(y)|, and similarity t or more means |x ^ y| <= c (|x| + |y|) with c = (1 - t) / (1 + t).  If y is
+   not that similar to B, |D(y)| > c (|y| + |B|), so x and y must share more than (|D(x)| + c (|B| - |x|)) / 2
+   elements: all but the rarest of those of D(x) that others have too may be left out of the join.  Members similar to
+   B are linked with it, and so in one component.
 3. Pairs pass if their Jaccard similarity, estimated jointly from all registers by likelihood with the known set
    sizes, may reach the threshold; then full sets, made again from the candidates' texts alone, are compared.
 4. Components come from contraction rounds.
@@ -27,13 +28,13 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, components, dropped, mix64, narrowed, shingle_hashes, space_words, stored
+from .common import arrow_map, components, dropped, joined, looked_up, mix64, narrowed, shingle_hashes, space_words, stored
 
 BANDS, ROWS = 28, 5  # at similarity 0.8 all bands miss with probability (1 - 0.8^5)^28 = 1.5e-5
 BASE, RATE, TOP = 1.001, 20.0, 65534
 #: Pairs are dropped before the full comparison if the threshold is exp(this) times less likely than the best estimate.
 DOUBT = 12.0
-#: Pairs of different components in one bucket beyond which its members meet by their rarest differences from the hub.  Changes speed only.
+#: Pairs of different components in one bucket beyond which its members meet by their rarest differences from a pivot.  Changes speed only.
 WIDE = 256
 
 
@@ -91,16 +92,16 @@ def _sets(shingle: int):
 
 
 def _differences(percent: int):
-    """For pairs (hub a, member b): a row for each shingle of b's difference from a; keep is how many of the rarest suffice."""
+    """For pairs (pivot a, member b): a row for each shingle of b's difference from a; need is how many must be shared."""
 
     def rows(c):
-        out = {k: [] for k in ("a", "b", "comp", "n", "h", "far", "keep")}
+        out = {k: [] for k in ("a", "b", "comp", "n", "h", "far", "need")}
         for a, b, comp, x, y in zip(c["a"], c["b"], c["comp"], c["s_a"], c["s_b"]):
             x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
             d = np.setxor1d(x, y, assume_unique=True).view(np.int64)
             far = (100 + percent) * len(d) > (100 - percent) * (len(x) + len(y))
-            shared = ((100 + percent) * len(d) + (100 - percent) * (len(x) - len(y))) // (2 * (100 + percent)) + 1
-            for k, v in zip(out, (a, b, comp, len(y), d, far, len(d) - shared + 1)):
+            need = ((100 + percent) * len(d) + (100 - percent) * (len(x) - len(y))) // (2 * (100 + percent)) + 1
+            for k, v in zip(out, (a, b, comp, len(y), d, far, need)):
                 out[k].append(v if k == "h" else np.full(len(d), v))
         return {k: np.concatenate(v) for k, v in out.items()} if out["a"] else None
 
@@ -179,7 +180,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     sizes = stored(bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).filter("k > 1"))
     shared = stored(bands.join(sizes, "bucket"))
     central = shared.groupBy("id").agg(F.sum("k").alias("central"))
-    hubs = shared.join(stored(central), "id").groupBy("bucket").agg(F.max(F.struct("central", (-F.col("id")).alias("low"), "n")).alias("m"))
+    central = stored(central)
+    hubs = shared.join(central, "id").groupBy("bucket").agg(F.max(F.struct("central", (-F.col("id")).alias("low"), "n")).alias("m"))
     hubs = stored(hubs.select("bucket", (-F.col("m.low")).alias("hub"), F.col("m.n").alias("n_hub")))
     inside = stored(shared.select("bucket", "id", "n").join(hubs, "bucket"))
     dropped(sizes, shared, hubs)
@@ -200,38 +202,46 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
         dropped(pairs, likely_pairs, full)
         return links
 
-    def around_hubs(met: DataFrame) -> DataFrame:
-        """Pairs (a, b, n_a, n_b) of different components around one hub that share one of a's rarest differences from it."""
-        spokes = stored(met.filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"), "comp").distinct())
+    def around_pivots(met: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Pairs (a, b, n_a, n_b) of different components around one pivot that share one of a's rarest differences from
+        it, and the links (a, b) with the pivots."""
+        best = F.max(F.struct("central", (-F.col("id")).alias("low"))).alias("m")
+        pivots = stored(central.join(found, "id").groupBy("comp").agg(best).select(F.col("comp").alias("home"), (-F.col("m.low")).alias("pivot")))
+        hub_of = found.select(F.col("id").alias("hub"), F.col("comp").alias("home"))
+        homes = stored(met.select("hub").distinct().join(hub_of, "hub").join(pivots, "home").select("hub", "pivot"))
+        placed = joined(met, homes, "hub", "left").select(F.coalesce("pivot", "hub").alias("a"), F.col("id").alias("b"), "comp")
+        spokes = stored(placed.filter("a <> b").distinct())
         full = sets(stored(spokes.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
         whole = _with(_with(spokes, "a", full, {"shingles": "s_a"}), "b", full, {"shingles": "s_b"})
-        diff = stored(arrow_map(whole, _differences(percent), "a long, b long, comp long, n long, h long, far boolean, keep long", 128))
+        diff = stored(arrow_map(whole, _differences(percent), "a long, b long, comp long, n long, h long, far boolean, need long", 128))
         dropped(spokes, full)
-        held = diff.groupBy("a", "h").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-        # Ranks run within one member of one hub, whose rows are bounded by two texts; what no other holds is ranked first.
-        rank = F.row_number().over(Window.partitionBy("a", "b").orderBy(F.coalesce("df", F.lit(1)), "h"))
-        rare = diff.filter("keep > 0").join(held, ["a", "h"], "left").withColumn("rank", rank).filter("rank <= keep AND df > 1")
-        left = rare.select("a", "h", F.col("b").alias("x"), F.col("comp").alias("c_x"), F.col("n").alias("n_a"))
+        held = stored(diff.groupBy("a", "h").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"))
+        # Ranks run within one member of one pivot, whose rows are bounded by two texts.
+        member = Window.partitionBy("a", "b")
+        ranked = diff.join(held, ["a", "h"]).withColumn("c", F.count(F.lit(1)).over(member)).withColumn("rank", F.row_number().over(member.orderBy("df", "h")))
+        left = ranked.filter("rank <= c - need + 1").select("a", "h", F.col("b").alias("x"), F.col("comp").alias("c_x"), F.col("n").alias("n_a"))
         right = diff.filter("far").select("a", "h", F.col("b").alias("y"), F.col("comp").alias("c_y"), F.col("n").alias("n_b"))
-        return left.join(right, ["a", "h"]).filter("c_x <> c_y").select(F.col("x").alias("a"), F.col("y").alias("b"), "n_a", "n_b")
+        pairs = left.join(right, ["a", "h"]).filter("c_x <> c_y").select(F.col("x").alias("a"), F.col("y").alias("b"), "n_a", "n_b")
+        return pairs, stored(diff.filter("NOT far").select("a", "b").distinct())
 
     star = confirm(inside.filter("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b"), F.col("n").alias("n_a"), F.col("n_hub").alias("n_b")))
     found = components(star).select("id", F.col("component").alias("comp"))
     met = stored(_met(inside.select("bucket", "id", "n", "hub"), found))
     dropped(inside)
-    pairs = _cross(met.filter(F.col("cost") <= wide))
+    pairs, links = _cross(met.filter(F.col("cost") <= wide)), star
     many = met.filter(F.col("cost") > wide)
     if not many.isEmpty():
-        pairs = pairs.unionByName(around_hubs(many))
+        more, near = around_pivots(many)
+        pairs, links = pairs.unionByName(more), star.unionByName(near)
     # A repeated id may stand in several classes; they are one document.
     of_class = nodes.select("cls", F.col("id").alias("node"))
     ids = named.select("doc_id", "cls").join(of_class, "cls").select("doc_id", "node")
     several = ids.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a < z").select("doc_id", "a")
     same = ids.join(stored(several), "doc_id").filter("a <> node").select("a", F.col("node").alias("b")).distinct()
-    edges = star.unionByName(confirm(pairs)).unionByName(same)
+    edges = links.unionByName(confirm(pairs)).unionByName(same)
     linked = components(edges).select(F.col("id").alias("node"), "component")
     by_class = stored(of_class.join(linked, "node", "left").select("cls", F.coalesce("component", "node").alias("least")))
-    out = member.select("doc_id", "n", "cls").join(by_class, "cls", "left")
+    out = looked_up(member.select("doc_id", "n", "cls"), "cls", by_class)
     component = F.coalesce("least", "doc_id")
     kept = F.coalesce(component == F.col("doc_id"), F.col("least").isNull())
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), kept.alias("kept"))
