@@ -135,3 +135,10 @@ def fnv1a_ipv4(ip: Column) -> Column:
     # FNV's offset and prime.  The product stays below 2^56.
     h = F.aggregate(octets, F.lit(2166136261).cast("long"), lambda a, o: low_bits(a.bitwiseXOR(o) * F.lit(16777619).cast("long"), 32))
     return F.when(is_ipv4(ip), h)
+
+
+def fnv1a_text(text: Column, row: int) -> Column:
+    """32-bit FNV-1a of a row's number (two bytes, low first) and an ASCII text."""
+    codes = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
+    start = F.array(F.lit(row & 255).cast("long"), F.lit(row >> 8).cast("long"))
+    return F.aggregate(F.concat(start, codes), F.lit(2166136261).cast("long"), lambda a, o: low_bits(a.bitwiseXOR(o) * F.lit(16777619).cast("long"), 32))

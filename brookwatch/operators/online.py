@@ -17,6 +17,9 @@ from pyspark.sql import DataFrame
 # Sizes of the detectors.
 DIMS, PROJECTIONS, BINS, TREES, LEVELS, SATURATED = 8, 40, 16, 5, 5, 65535
 CMS_ROWS, CMS_COLS = 4, 512
+#: A node's states, and their names.
+NORMAL, UNDER_ATTACK, RECOVERY = 0, 1, 2
+STATES = ("NORMAL", "UNDER_ATTACK", "RECOVERY")
 
 
 class Ewma:
@@ -167,29 +170,121 @@ class RateLimit:
     def __init__(self, rate: float = 1000.0, per_source: int = 50, decay: float = 5.0):
         self.rate = rate if rate > 0 else 1000.0
         self.limit, self.decay = (per_source if per_source > 0 else 50), decay
-        self.tokens, self.at, self.decayed = self.rate, None, None
+        self.tokens, self.at, self.decayed, self.dropped = self.rate, None, None, 0
         self.counts = np.zeros((CMS_ROWS, CMS_COLS), np.int64)
 
+    def reset(self, ts: float) -> None:
+        """Empties the counts and fills the bucket; what was dropped stays counted."""
+        self.counts[:] = 0
+        self.tokens, self.at = 2 * self.rate, ts
+
     def step(self, ts: float, columns: np.ndarray) -> tuple[bool, int]:
         """(allowed, the source's count; 0 where the bucket was empty)."""
         if self.at is None:
-            self.at = self.decayed = ts
+            self.at = ts
+        if self.decayed is None:
+            self.decayed = ts
         self.tokens, self.at = min(2 * self.rate, self.tokens + self.rate * max(0.0, ts - self.at)), max(ts, self.at)
         times = int((ts - self.decayed) // self.decay)
         if times > 0:
             self.counts >>= min(times, 16)
             self.decayed += times * self.decay
         if self.tokens < 1:
+            self.dropped += 1
             return False, 0
         cells = np.arange(CMS_ROWS), columns
         self.counts[cells] = np.minimum(self.counts[cells] + 1, SATURATED)
         count = int(self.counts[cells].min())
         if count > self.limit:
+            self.dropped += 1
             return False, count
         self.tokens -= 1
         return True, count
 
 
+class Gate:
+    """Mitigation: passes all while a node's state is normal, limits it under attack and in recovery, and starts afresh after."""
+
+    def __init__(self, rate: float = 1000.0, per_source: int = 50, decay: float = 5.0):
+        self.limit, self.active = RateLimit(rate, per_source, decay), False
+
+    def step(self, ts: float, state: int, columns: np.ndarray) -> tuple[bool, bool, int]:
+        """(allowed, active, dropped so far)."""
+        if state == NORMAL and self.active:
+            self.limit.reset(ts)
+        self.active = state in (UNDER_ATTACK, RECOVERY)
+        allowed = self.limit.step(ts, columns)[0] if self.active else True
+        return allowed, self.active, self.limit.dropped
+
+
+class StateMachine:
+    """Hysteresis over scores: `confirm` high ones in a row raise the state, `recover` low ones in a row clear it, a high
+    one in recovery raises it again.  A state may be forced before a score is seen."""
+
+    def __init__(self, threshold: float = 0.6, confirm: int = 3, recover: int = 5):
+        self.threshold = threshold if threshold > 0 else 0.6
+        self.confirm, self.recover = (confirm if confirm >= 1 else 3), (recover if recover >= 1 else 5)
+        self.state, self.run = NORMAL, 0
+
+    def force(self, state: int) -> None:
+        self.state, self.run = state, 0
+
+    def step(self, score: float) -> int:
+        high, now = score > self.threshold, self.state
+        if now == NORMAL:
+            self.run = self.run + 1 if high else 0
+            if self.run >= self.confirm:
+                self.force(UNDER_ATTACK)
+        elif high:
+            self.force(UNDER_ATTACK)
+        else:
+            self.run = 1 if now == UNDER_ATTACK else self.run + 1
+            self.state = RECOVERY
+            if now == RECOVERY and self.run >= self.recover:
+                self.force(NORMAL)
+        return self.state
+
+
+class DeviceDetector:
+    """A small device's detector in single precision: half an EWMA's excess, half a z-score over the last ten counts."""
+
+    def __init__(self, alpha: float = 0.2, deviation: float = 2.0, warmup: int = 5, sensitivity: float = 3.0, history: int = 10):
+        self.alpha, self.deviation, self.sensitivity = np.float32(alpha), np.float32(deviation), np.float32(sensitivity)
+        self.warmup, self.seen, self.base, self.history = warmup, 0, np.float32(0), deque(maxlen=history)
+
+    def step(self, count: float) -> float:
+        x, one, before = np.float32(count), np.float32(1), self.base
+        self.base = x if not self.seen else self.alpha * x + (one - self.alpha) * before
+        self.seen += 1
+        excess = z_part = np.float32(0)
+        if self.seen > self.warmup and before > 0 and x > before * (one + self.deviation):
+            excess = min(one, (x - before) / (before * self.deviation))
+        if len(self.history) >= 5:
+            past = np.array(self.history, np.float32)
+            mean = past.sum(dtype=np.float32) / np.float32(len(past))
+            sd = np.sqrt(max(np.float32(0), (past * past).sum(dtype=np.float32) / np.float32(len(past)) - mean * mean))
+            z = (x - mean) / sd if sd > 0 else (self.sensitivity + one if x > mean else np.float32(0))
+            if z > self.sensitivity:
+                z_part = min(one, z / (self.sensitivity * np.float32(2)))
+        self.history.append(x)
+        return float(np.float32(0.5) * excess + np.float32(0.5) * z_part)
+
+
+class Baseline:
+    """Running means of packets and of bytes a packet over the first `most` normal windows."""
+
+    def __init__(self, most: int = 50):
+        self.most, self.n, self.packets, self.bpp = most, 0, 0.0, 0.0
+
+    def step(self, packets: float, size: float, state: int) -> tuple[float, float]:
+        if state == NORMAL and self.n < self.most:
+            self.packets = (self.packets * self.n + packets) / (self.n + 1)
+            if packets > 0:
+                self.bpp = (self.bpp * self.n + size / packets) / (self.n + 1)
+            self.n += 1
+        return self.packets, self.bpp
+
+
 def _ewma(state: Ewma, c: dict) -> dict:
     before, now, alert = zip(*(state.step(float(x)) for x in c["sources"]))
     return {"baseline": before, "ewma": now, "alert": alert}
@@ -202,12 +297,52 @@ def _ensemble(state: Ensemble, c: dict) -> dict:
     return dict(zip(("loda", "hst", "z", "residual", "score", "alert"), zip(*made)))
 
 
+def _columns(sources: list[str]) -> np.ndarray:
+    """Each source's Count-Min column in each row; a batch's sources are hashed once."""
+    found, at = np.unique(np.array(sources, object), return_inverse=True)
+    return np.stack([fnv1a(found.tolist(), r) % CMS_COLS for r in range(CMS_ROWS)], 1).astype(np.int64)[at]
+
+
 def _limited(state: RateLimit, c: dict) -> dict:
-    columns = np.stack([fnv1a(c["src_ip"], r) % CMS_COLS for r in range(CMS_ROWS)], 1).astype(np.int64)
-    allowed, count = zip(*(state.step(t, k) for t, k in zip(c["seconds"], columns)))
+    allowed, count = zip(*(state.step(t, k) for t, k in zip(c["seconds"], _columns(c["src_ip"]))))
     return {"allowed": allowed, "count": count}
 
 
+def _gated(state: Gate, c: dict) -> dict:
+    made = (state.step(t, s, k) for t, s, k in zip(c["seconds"], c["state"], _columns(c["src_ip"])))
+    return dict(zip(("allowed", "active", "dropped"), zip(*made)))
+
+
+def _machine(state: StateMachine, c: dict) -> dict:
+    out = []
+    for score, forced in zip(c["score"], c.get("forced", [None] * len(c["score"]))):
+        if forced is not None:
+            state.force(forced)
+            out.append(forced)
+        else:
+            out.append(state.step(score))
+    return {"state": out}
+
+
+def _device(state: DeviceDetector, c: dict) -> dict:
+    return {"device_score": [state.step(float(x)) for x in c["sources"]]}
+
+
+def _baseline(state: Baseline, c: dict) -> dict:
+    made = [state.step(float(p), float(b), s) for p, b, s in zip(c["packets"], c["bytes"], c["state"])]
+    return dict(zip(("baseline_packets", "baseline_bpp"), zip(*made)))
+
+
+def _loda(state: Loda, c: dict) -> dict:
+    out, trained = [], []
+    for x in c["vector"]:
+        x = np.array(x, float)
+        state.update(x)
+        out.append(state.score(x))
+        trained.append(state.trained)
+    return {"score": out, "trained": trained}
+
+
 def fold(rows: DataFrame, key: str, order: list[str], start: Callable, step: Callable, made: str) -> DataFrame:
     """rows with the columns `made` that step(state, columns of a run of rows) gives; every key starts anew.
 
@@ -254,6 +389,31 @@ def rate_limited(packets: DataFrame, rate: float = 1000.0, per_source: int = 50,
     return fold(packets, "node_id", ["seconds", "src_ip"], lambda: RateLimit(rate, per_source, decay), _limited, "allowed boolean, count long")
 
 
+def mitigated(packets: DataFrame, rate: float = 1000.0, per_source: int = 50, decay: float = 5.0) -> DataFrame:
+    """Adds allowed, active and dropped (so far) to packets (node_id, seconds double, src_ip, state int) in order of time."""
+    return fold(packets, "node_id", ["seconds", "src_ip"], lambda: Gate(rate, per_source, decay), _gated, "allowed boolean, active boolean, dropped long")
+
+
+def states(scored: DataFrame, threshold: float = 0.6, confirm: int = 3, recover: int = 5) -> DataFrame:
+    """Adds state to (node_id, window_start, score) and, if given, the column forced (a state that a command sets, or null)."""
+    return fold(scored, "node_id", ["window_start"], lambda: StateMachine(threshold, confirm, recover), _machine, "state int")
+
+
+def device_scores(windows: DataFrame, **options) -> DataFrame:
+    """Adds device_score to (node_id, window_start, sources)."""
+    return fold(windows, "node_id", ["window_start"], lambda: DeviceDetector(**options), _device, "device_score double")
+
+
+def baselines(windows: DataFrame, most: int = 50) -> DataFrame:
+    """Adds baseline_packets and baseline_bpp to (node_id, window_start, packets, bytes, state): means up to each window."""
+    return fold(windows, "node_id", ["window_start"], lambda: Baseline(most), _baseline, "baseline_packets double, baseline_bpp double")
+
+
+def scored_by(rows: DataFrame, start: Callable) -> DataFrame:
+    """Adds score and trained of LODA or of half-space trees to (node_id, window_start, vector array<double>)."""
+    return fold(rows, "node_id", ["window_start"], start, _loda, "score double, trained boolean")
+
+
 def fold_stream(rows: DataFrame, key: str, order: str, start: Callable, step: Callable, made: str) -> DataFrame:
     """fold for a stream: each micro-batch's rows of a key in order, the state kept between batches."""
     from pyspark.sql.streaming.state import GroupStateTimeout
@@ -271,3 +431,16 @@ def fold_stream(rows: DataFrame, key: str, order: str, start: Callable, step: Ca
         yield rows.assign(**{k: list(v) for k, v in out.items()})
 
     return rows.groupBy(key).applyInPandasWithState(run, schema, "state binary", "append", GroupStateTimeout.NoTimeout)
+
+
+def count_min(packets: DataFrame, keys: list[str], value: str = "src_ip") -> DataFrame:
+    """(keys..., value, estimate): the Count-Min estimate of every source's packets without decay, by two aggregations."""
+    from pyspark.sql import functions as F
+
+    from brookwatch.functions.hashing import fnv1a_text
+
+    per_source = packets.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    cells = F.array(*[F.struct(F.lit(r).alias("row"), F.pmod(fnv1a_text(F.col(value), r), F.lit(CMS_COLS)).alias("col")) for r in range(CMS_ROWS)])
+    placed = per_source.select(*keys, value, "_n", F.explode(cells).alias("c")).select(*keys, value, "_n", "c.row", "c.col")
+    counts = placed.groupBy(*keys, "row", "col").agg(F.least(F.sum("_n"), F.lit(SATURATED)).alias("count"))
+    return placed.join(counts, [*keys, "row", "col"]).groupBy(*keys, value).agg(F.min("count").alias("estimate"))

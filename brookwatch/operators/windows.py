@@ -1,4 +1,4 @@
-"""Tumbling-window traffic, features and alerts."""
+"""Tumbling-window traffic, features, alerts and states."""
 
 from __future__ import annotations
 
@@ -23,12 +23,12 @@ def features(windows: DataFrame) -> DataFrame:
 
 
 def z_scores(windows: DataFrame, history: int = 20, threshold: float = 3.0, least: int = 5) -> DataFrame:
-    """(node_id, window_start, sources, z, alert) against the history before; without spread, any rise alerts."""
+    """(node_id, window_start, sources, n, mean, z, alert) against the history before; without spread, any rise alerts."""
     past = Window.partitionBy("node_id").orderBy("window_start").rowsBetween(-history, -1)
     out = windows.select("node_id", "window_start", "sources", F.count("sources").over(past).alias("n"), F.avg("sources").over(past).alias("mean"), F.stddev_pop("sources").over(past).alias("sd"))
     flat = F.when(F.col("sources") > F.col("mean"), 5.0).otherwise(0.0)
     z = F.when(F.col("n") < least, 0.0).when(F.col("sd") < 1e-9, flat).otherwise((F.col("sources") - F.col("mean")) / F.col("sd"))
-    return out.select("node_id", "window_start", "sources", z.alias("z"), (z > threshold).alias("alert"))
+    return out.select("node_id", "window_start", "sources", "n", "mean", z.alias("z"), (z > threshold).alias("alert"))
 
 
 def ground_truth(packets: DataFrame, width: str = "1 hour") -> DataFrame:
@@ -49,6 +49,26 @@ def confusion(predictions: DataFrame, truth: str = "truth", predicted: str = "al
     return c.select("*", share(tp, tp + fp).alias("precision"), share(tp, tp + fn).alias("recall"), share(2 * tp, 2 * tp + fp + fn).alias("f1"))
 
 
+def vector(features: DataFrame, populate: bool = False) -> DataFrame:
+    """Adds the detectors' vector of eight: sources, previous, ratio, packets, bytes, bytes per packet, residual, z-score.
+
+    The last two are 0, as they are when a window is scored, unless `populate` takes them from columns of these names.
+    """
+    last = [F.col("residual"), F.col("z")] if populate else [F.lit(0.0), F.lit(0.0)]
+    columns = [F.col(c) for c in ("sources", "previous", "ratio", "packets", "bytes", "bytes_per_packet")] + last
+    return features.withColumn("vector", F.array(*[c.cast("double") for c in columns]))
+
+
+def attack_features(rows: DataFrame) -> DataFrame:
+    """Adds card_spike, rate_spike and bytes_per_packet to (sources, previous, packets, bytes, baseline_packets): 1 where
+    there is nothing to compare with, 0 bytes without packets."""
+
+    def share(a: str, b: str, none: float) -> Column:
+        return F.when(F.col(b) > 0, F.col(a) / F.nullif(b, F.lit(0))).otherwise(F.lit(none))
+
+    return rows.withColumn("card_spike", share("sources", "previous", 1.0)).withColumn("rate_spike", share("packets", "baseline_packets", 1.0)).withColumn("bytes_per_packet", share("bytes", "packets", 0.0))
+
+
 def classify(rows: DataFrame) -> DataFrame:
     """attack_type and confidence from card_spike, rate_spike and bytes_per_packet: the share of three rules met, the first of equals."""
     card, rate, bpp = F.col("card_spike"), F.col("rate_spike"), F.col("bytes_per_packet")
@@ -68,30 +88,36 @@ def classify(rows: DataFrame) -> DataFrame:
     return rows.withColumn("attack_type", F.when(calm, "NONE").otherwise(name)).withColumn("confidence", F.when(calm, 0.0).otherwise(best / 3.0))
 
 
-def correlate(nodes: DataFrame) -> DataFrame:
-    """(window_start, total, under_attack, max_z, activated): the majority vote of the nodes that report a window."""
-    out = nodes.groupBy("window_start").agg(F.count(F.lit(1)).alias("total"), F.count_if("alert").alias("under_attack"), F.max("z").alias("max_z"))
-    return out.withColumn("activated", F.col("under_attack") / F.col("total") >= 0.5)
+def transitions(states: DataFrame) -> DataFrame:
+    """(node_id, window_start, was, state) where a node's state differs from the one before; every node starts at 0."""
+    was = F.lag("state", 1, 0).over(Window.partitionBy("node_id").orderBy("window_start"))
+    return states.select("node_id", "window_start", was.alias("was"), "state").filter("was <> state")
 
 
-def edges(states: DataFrame, state: str, keys: list[str] | None = None) -> DataFrame:
-    """Rows where the state differs from the row before; the first counts as a change from false."""
-    order = Window.partitionBy(*(keys or [])).orderBy("window_start")
-    return states.withColumn("was", F.lag(state, 1, False).over(order)).filter(F.col("was") != F.col(state))
+def latest(rows: DataFrame, n: int = 10, key: str = "node_id", order: str = "window_start") -> DataFrame:
+    """The last n rows of each key, with their place from the end as `back`."""
+    return rows.withColumn("back", F.row_number().over(Window.partitionBy(key).orderBy(F.col(order).desc()))).filter(F.col("back") <= n)
 
 
-def state_machine(scored: DataFrame, score: str, threshold: float = 0.6, confirm: int = 3, recover: int = 5) -> DataFrame:
-    """Adds state (0 normal, 1 under attack, 2 recovery) for each node: a hysteresis fold over its windows.
+def state_name(state: Column) -> Column:
+    """A state's name; UNKNOWN for numbers that are none."""
+    return F.coalesce(F.when(state == 0, "NORMAL").when(state == 1, "UNDER_ATTACK").when(state == 2, "RECOVERY"), F.lit("UNKNOWN"))
 
-    The fold runs in the JVM over one array for each node, the node's scores in order.
-    """
-    ordered = scored.groupBy("node_id").agg(F.array_sort(F.collect_list(F.struct("window_start", F.col(score).cast("double").alias("score")))).alias("_s"))
-    fold = f"""aggregate(_s, named_struct('state', 0, 'n', 0, 'out', cast(array() AS array<int>)), (a, x) -> CASE
-      WHEN a.state = 0 AND x.score > {threshold} AND a.n + 1 >= {confirm} THEN named_struct('state', 1, 'n', 0, 'out', array_append(a.out, 1))
-      WHEN a.state = 0 AND x.score > {threshold} THEN named_struct('state', 0, 'n', a.n + 1, 'out', array_append(a.out, 0))
-      WHEN a.state = 0 THEN named_struct('state', 0, 'n', 0, 'out', array_append(a.out, 0))
-      WHEN x.score > {threshold} THEN named_struct('state', 1, 'n', 0, 'out', array_append(a.out, 1))
-      WHEN a.state = 1 THEN named_struct('state', 2, 'n', 1, 'out', array_append(a.out, 2))
-      WHEN a.n + 1 >= {recover} THEN named_struct('state', 0, 'n', 0, 'out', array_append(a.out, 0))
-      ELSE named_struct('state', 2, 'n', a.n + 1, 'out', array_append(a.out, 2)) END, a -> a.out)"""
-    return ordered.select("node_id", F.explode(F.arrays_zip("_s", F.expr(fold).alias("state"))).alias("r")).select("node_id", "r._s.window_start", "r._s.score", "r.state")
+
+def relative_windows(packets: DataFrame, seconds: int = 3600) -> DataFrame:
+    """Adds window_id, counted from the first packet of all in widths of so many seconds; the first time is one row."""
+    start = packets.agg(F.min("ts").alias("_start"))
+    elapsed = (F.unix_micros("ts") - F.unix_micros("_start")) / (seconds * 1_000_000)
+    return packets.join(F.broadcast(start)).withColumn("window_id", F.floor(elapsed)).drop("_start")
+
+
+def ticks(packets: DataFrame, width: str = "1 hour", tick: int = 600) -> DataFrame:
+    """(node_id, window_start, tick, packets, bytes, sources) of the partial windows as they grow: what a node sees at the
+    end of each tick, of so many seconds, of a window in which it has packets.  A source counts from the tick that it is first seen in."""
+    rows = packets.select("node_id", F.window("ts", width).start.alias("window_start"), F.timestamp_seconds(F.floor(F.unix_seconds("ts") / tick) * tick).alias("tick"), "src_ip", "byte_len")
+    sums = rows.groupBy("node_id", "window_start", "tick").agg(F.count(F.lit(1)).alias("packets"), F.sum("byte_len").alias("bytes"))
+    first = rows.groupBy("node_id", "window_start", "src_ip").agg(F.min("tick").alias("tick"))
+    new = first.groupBy("node_id", "window_start", "tick").agg(F.count(F.lit(1)).alias("new"))
+    upto = Window.partitionBy("node_id", "window_start").orderBy("tick").rowsBetween(Window.unboundedPreceding, 0)
+    both = sums.join(new, ["node_id", "window_start", "tick"], "left").na.fill(0, ["new"])
+    return both.select("node_id", "window_start", "tick", *[F.sum(c).over(upto).alias(n) for c, n in (("packets", "packets"), ("bytes", "bytes"), ("new", "sources"))])

@@ -1,195 +1,324 @@
-"""Registered queries over the driver's tables and their independent SQL."""
+"""Registered queries over traffic, detection and evaluation, with their independent SQL; all other plans are merged in."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brookwatch.functions import sketch
-from brookwatch.operators import online, reports
+from brookwatch.functions.hashing import is_ipv4, is_ipv6
+from brookwatch.operators import aggregator, evaluate, online, reports
 from brookwatch.operators import windows as W
-from brookwatch.sources.packets import dotted, event_packets
+from brookwatch.operators.detectors import detector
+from brookwatch.plans import reports as report_plans
+from brookwatch.plans import sketches as sketch_plans
+from brookwatch.plans.common import HOUR, STATES, P, packets, scored, seconds, traffic
+from brookwatch.sources.packets import is_attack, quarantined
 
-
-def _packets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return event_packets(spark.read.parquet(f"{sf_dir}/events.parquet"))
+#: Resets of the aggregator in the correlation queries: the second day of the events, at noon.
+RESETS = (1704196800,)
 
 
 def packet_projection(spark, sf_dir):
-    return _packets(spark, sf_dir).select("node_id", "src_ip", "byte_len", "label")
+    return packets(spark, sf_dir).select("node_id", "src_ip", "byte_len", "label")
+
+
+def ip_validity(spark, sf_dir):
+    """Sources, some of them made wrong, by kind and by whether they are set aside."""
+    src = F.when(F.col("event_id") % 7 == 0, F.concat(F.lit("3"), F.substring("src_ip", 1, 2), F.lit(".1.1.1"))).when(F.col("event_id") % 7 == 1, F.concat(F.lit("fe80::"), F.hex("event_id"))).when(F.col("event_id") % 7 == 2, F.lit("nowhere")).otherwise(F.col("src_ip"))
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").filter("user_id IS NOT NULL").select("event_id", F.concat(F.lit("10.0.0."), (F.col("user_id") % 256).cast("string")).alias("src_ip"))
+    rows = events.withColumn("src_ip", src)
+    good, bad = quarantined(rows)
+    kind = F.when(is_ipv4(F.col("src_ip")), "v4").when(is_ipv6(F.col("src_ip")), "v6").otherwise("none")
+    return good.withColumn("kept", F.lit(True)).unionByName(bad.withColumn("kept", F.lit(False))).groupBy(kind.alias("kind"), "kept").agg(F.count(F.lit(1)).alias("n"))
+
+
+def label_predicate(spark, sf_dir):
+    """How event types count as labels."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.when(F.col("event_type") == "click", "BENIGN").when(F.col("event_type") == "view", "").otherwise(F.col("event_type")).alias("label"))
+    return rows.groupBy("label", is_attack(F.col("label")).alias("attack")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def window_traffic(spark, sf_dir):
-    return W.traffic(_packets(spark, sf_dir)).withColumn("window_start", F.unix_timestamp("window_start"))
+    return traffic(spark, sf_dir).withColumn("window_start", F.unix_timestamp("window_start"))
 
 
 def window_features(spark, sf_dir):
-    return W.features(W.traffic(_packets(spark, sf_dir))).select("node_id", F.unix_timestamp("window_start").alias("window_start"), "sources", "previous", F.round("ratio", 6).alias("ratio"), F.round("bytes_per_packet", 4).alias("bytes_per_packet"))
+    return W.features(traffic(spark, sf_dir)).select("node_id", seconds(), "sources", "previous", F.round("ratio", 6).alias("ratio"), F.round("bytes_per_packet", 4).alias("bytes_per_packet"))
 
 
-def _scored(spark, sf_dir):
-    return W.z_scores(W.traffic(_packets(spark, sf_dir)), threshold=1.5)
+def feature_vector(spark, sf_dir):
+    rows = W.vector(W.features(traffic(spark, sf_dir)))
+    return rows.select("node_id", seconds(), F.size("vector").alias("dimensions"), *[F.round(F.col("vector")[i], 4).alias(f"v{i}") for i in range(8)])
 
 
-def zscore_alerts(spark, sf_dir):
-    return _scored(spark, sf_dir).select("node_id", F.unix_timestamp("window_start").alias("window_start"), "sources", F.round("z", 4).alias("z"), "alert")
+def window_ticks(spark, sf_dir):
+    return W.ticks(packets(spark, sf_dir)).select("node_id", seconds(), F.unix_timestamp("tick").alias("tick"), "packets", "bytes", "sources")
 
 
-def ground_truth(spark, sf_dir):
-    return W.ground_truth(_packets(spark, sf_dir)).withColumn("window_start", F.unix_timestamp("window_start"))
+def threshold_alerts(spark, sf_dir):
+    rows = detector("threshold", threshold=3).alerts(traffic(spark, sf_dir))
+    return rows.select("node_id", seconds(), "sources")
 
 
-def node_correlation(spark, sf_dir):
-    return W.correlate(_scored(spark, sf_dir)).select(F.unix_timestamp("window_start").alias("window_start"), "total", "under_attack", F.round("max_z", 4).alias("max_z"), "activated")
+def zscore_alerts(spark, sf_dir):
+    return scored(spark, sf_dir).select("node_id", seconds(), "sources", F.round("z", 4).alias("z"), "alert")
 
 
-def threshold_confusion(spark, sf_dir):
-    packets = _packets(spark, sf_dir)
-    alerts = W.traffic(packets.withColumn("node_id", F.lit("all"))).select("window_start", (F.col("sources") > 13).alias("alert"))
-    return W.confusion(W.ground_truth(packets).join(alerts, "window_start", "left").withColumnRenamed("is_attack", "truth")).select("tp", "fp", "fn", "tn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+def ewma_alerts(spark, sf_dir):
+    rows = online.ewma_alerts(traffic(spark, sf_dir).select("node_id", "window_start", "sources"), deviation=0.5)
+    return rows.select("node_id", seconds(), "sources", F.round("ewma", 6).alias("ewma"), "alert")
 
 
-def attack_classes(spark, sf_dir):
-    f = W.features(W.traffic(_packets(spark, sf_dir)))
-    rows = W.classify(f.select("node_id", "window_start", (F.col("ratio") * 2).alias("card_spike"), F.col("ratio").alias("rate_spike"), "bytes_per_packet"))
-    return rows.groupBy("attack_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("confidence"), 4).alias("confidence"))
+def _states(spark, sf_dir) -> DataFrame:
+    rows = scored(spark, sf_dir).select("node_id", "window_start", F.col("z").alias("score"))
+    return online.states(rows, 0.4, 2, 3)
 
 
 def fsm_states(spark, sf_dir):
-    rows = W.state_machine(_scored(spark, sf_dir), "z", threshold=0.4, confirm=2, recover=3)
-    return rows.select("node_id", F.unix_timestamp("window_start").alias("window_start"), F.round("score", 4).alias("score"), "state")
+    return _states(spark, sf_dir).select("node_id", seconds(), F.round("score", 4).alias("score"), "state", W.state_name(F.col("state")).alias("name"))
 
 
-def exact_vs_estimate_error(spark, sf_dir):
-    packets = _packets(spark, sf_dir).withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
-    exact = packets.groupBy("day").agg(F.countDistinct("src_ip").alias("exact"))
-    est = sketch.estimates(sketch.registers(packets, ["day"], "src_ip"), ["day"])
-    return exact.join(est, "day").select("day", "exact", "estimate", F.round(F.abs(F.col("estimate") - F.col("exact")) / F.col("exact") * 100, 4).alias("error_pct"))
+def state_transitions_last10(spark, sf_dir):
+    return W.latest(W.transitions(_states(spark, sf_dir))).select("node_id", seconds(), "was", "state", "back")
 
 
-def sketch_union(spark, sf_dir):
-    """The union of the nodes' sketches against the sum of their estimates."""
-    regs = sketch.registers(_packets(spark, sf_dir), ["node_id"], "src_ip")
-    total = sketch.estimates(regs, ["node_id"]).agg(F.sum("estimate").alias("sum_of_nodes"))
-    return sketch.estimates(sketch.merge(regs, []), []).select(F.col("estimate").alias("union_estimate"), "n_registers").crossJoin(total)  # one row each
+def forced_states(spark, sf_dir):
+    """States of nodes that a command sets under attack in every 24th window."""
+    hour = F.unix_timestamp("window_start") / HOUR
+    rows = scored(spark, sf_dir).select("node_id", "window_start", F.lit(0.0).alias("score"), F.when(F.pmod(hour, F.lit(24)) == 0, 1).alias("forced"))
+    return online.states(rows, 0.4, 2, 3).select("node_id", seconds(), "state")
 
 
-def order_key_sketch(spark, sf_dir):
-    keys = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_returnflag", F.col("l_orderkey").cast("string").alias("k"))
-    return sketch.estimates(sketch.registers(keys, ["l_returnflag"], "k"), ["l_returnflag"])
+def _based(spark, sf_dir) -> DataFrame:
+    both = _states(spark, sf_dir).select("node_id", "window_start", "state").join(W.features(traffic(spark, sf_dir)), ["node_id", "window_start"])
+    return online.baselines(both, 50)
 
 
-def attack_sequences(spark, sf_dir):
-    on = W.edges(W.correlate(_scored(spark, sf_dir)), "activated")
-    return on.select(F.unix_timestamp("window_start").alias("window_start"), "was", "activated")
+def baseline_means(spark, sf_dir):
+    return _based(spark, sf_dir).select("node_id", seconds(), F.round("baseline_packets", 6).alias("baseline_packets"), F.round(F.col("baseline_bpp") + 1e-7, 3).alias("baseline_bpp"))
 
 
-def ewma_alerts(spark, sf_dir):
-    rows = online.ewma_alerts(W.traffic(_packets(spark, sf_dir)).select("node_id", "window_start", "sources"), deviation=0.5)
-    return rows.select("node_id", F.unix_timestamp("window_start").alias("window_start"), "sources", F.round("ewma", 6).alias("ewma"), "alert")
+def attack_features_classify(spark, sf_dir):
+    """The class of every window that is not normal."""
+    rows = W.classify(W.attack_features(_based(spark, sf_dir).filter("state <> 0")))
+    return rows.select("node_id", seconds(), F.round("card_spike", 6).alias("card_spike"), F.round("rate_spike", 6).alias("rate_spike"), "attack_type", F.round("confidence", 6).alias("confidence"))
+
+
+def loda_scores(spark, sf_dir):
+    rows = detector("loda").scored(W.vector(W.features(traffic(spark, sf_dir))))
+    return rows.select("node_id", seconds(), "score", "trained", "alert")
+
+
+def hst_scores(spark, sf_dir):
+    rows = detector("hst").scored(W.vector(W.features(traffic(spark, sf_dir))))
+    return rows.select("node_id", seconds(), "score", "trained", "alert")
 
 
 def ensemble_scores(spark, sf_dir):
-    rows = online.ensemble_scores(W.features(W.traffic(_packets(spark, sf_dir))))
-    return rows.select("node_id", F.unix_timestamp("window_start").alias("window_start"), "loda", "hst", "z", "residual", "score", "alert")
+    rows = detector("ensemble").scored(W.features(traffic(spark, sf_dir)))
+    return rows.select("node_id", seconds(), "loda", "hst", "z", "residual", "score", "alert")
+
+
+def device_detector(spark, sf_dir):
+    return online.device_scores(traffic(spark, sf_dir).select("node_id", "window_start", "sources"), sensitivity=1.0, deviation=0.5).select("node_id", seconds(), F.round("device_score", 5).alias("device_score"))
+
+
+def _timed(spark, sf_dir) -> DataFrame:
+    return packets(spark, sf_dir).select("node_id", "ts", (F.unix_micros("ts").cast("double") / 1e6).alias("seconds"), "src_ip")
 
 
 def rate_limited(spark, sf_dir):
-    rows = _packets(spark, sf_dir).select("node_id", F.unix_micros("ts").cast("double").alias("seconds"), "src_ip").withColumn("seconds", F.col("seconds") / 1e6)
-    return online.rate_limited(rows, rate=0.001, per_source=3, decay=86400.0)
+    return online.rate_limited(_timed(spark, sf_dir).drop("ts"), rate=0.001, per_source=3, decay=86400.0)
 
 
-def gap_filled_windows(spark, sf_dir):
-    rows = reports.filled(W.traffic(_packets(spark, sf_dir)))
-    return rows.select("node_id", F.unix_timestamp("window_start").alias("window_start"), "packets", "bytes", "sources")
+def mitigation_gate(spark, sf_dir):
+    """Packets through the gate, which the state of their window opens or closes."""
+    state = _states(spark, sf_dir).select("node_id", "window_start", "state")
+    rows = _timed(spark, sf_dir).withColumn("window_start", F.window("ts", "1 hour").start).join(state, ["node_id", "window_start"]).drop("ts", "window_start")
+    return online.mitigated(rows, rate=0.0001, per_source=2, decay=86400.0)
 
 
-def recent_spread(spark, sf_dir):
-    rows = reports.recent_spread(W.traffic(_packets(spark, sf_dir)))
-    return rows.select("node_id", F.unix_timestamp("window_start").alias("window_start"), F.round("recent_mean", 6).alias("recent_mean"), F.round("recent_variance", 6).alias("recent_variance"))
+def cms_counts(spark, sf_dir):
+    return online.count_min(packets(spark, sf_dir), ["node_id"])
 
 
-def attack_runs(spark, sf_dir):
-    rows = reports.attack_runs(_scored(spark, sf_dir).withColumn("high", F.col("z") > 0.4), "high")
-    return rows.select("node_id", F.unix_timestamp("first_window").alias("first_window"), F.unix_timestamp("last_window").alias("last_window"), "windows")
+def _reports(spark, sf_dir) -> DataFrame:
+    """Reports of nodes at every hour with packets: the score, and the state as anomaly state."""
+    z = F.greatest(F.col("score"), F.lit(0.0))
+    rows = _states(spark, sf_dir).select("node_id", F.unix_timestamp("window_start").alias("ts"), z.alias("ensemble_score"), (z / 2).alias("loda_score"), (z / 4).alias("hst_score"), F.col("state").alias("anomaly_state"))
+    return rows.withColumn("attack_type", F.when(F.col("anomaly_state") == 1, "SYN_FLOOD").otherwise("NONE"))
 
 
-def sources_curve(spark, sf_dir):
-    return reports.latency_curve(W.traffic(_packets(spark, sf_dir)), "node_id", "sources").withColumn("share", F.round("share", 6))
+def _correlated(spark, sf_dir) -> DataFrame:
+    return aggregator.correlated(_reports(spark, sf_dir).filter("ts % 10800 = 0 OR node_id < 'node-2'"), HOUR, RESETS)
 
 
-def classic_estimate(spark, sf_dir):
-    return sketch.classic_estimates(sketch.registers(_packets(spark, sf_dir), ["node_id"], "src_ip"), ["node_id"])
+def node_latest(spark, sf_dir):
+    return aggregator.node_latest(_reports(spark, sf_dir)).select("node_id", "ts", F.round("ensemble_score", 4).alias("ensemble_score"), "anomaly_state", "attack_type")
 
 
-def sparse_estimate(spark, sf_dir):
-    return sketch.sparse_estimates(_packets(spark, sf_dir), ["node_id"], "src_ip")
+def correlation_majority(spark, sf_dir):
+    scores = [F.round(c, 4).alias(c) for c in ("max_score", "max_loda", "max_hst")]
+    return _correlated(spark, sf_dir).select("tick", "total", "under_attack", *scores, "max_state", "in_grace", "activated", "reason")
 
 
-QUERIES = {f.__name__: f for f in (ewma_alerts, ensemble_scores, rate_limited, gap_filled_windows, recent_spread, attack_runs, sources_curve, classic_estimate, sparse_estimate, packet_projection, window_traffic, window_features, zscore_alerts, ground_truth, node_correlation, threshold_confusion, attack_classes, fsm_states, exact_vs_estimate_error, sketch_union, order_key_sketch, attack_sequences)}
+def defense_edges(spark, sf_dir):
+    return aggregator.defense_edges(_correlated(spark, sf_dir), HOUR)
 
-_P = """WITH RECURSIVE p AS (SELECT ts, 'node-' || (event_id % 4) AS node_id, '10.' || ((user_id >> 16) & 255) || '.' || ((user_id >> 8) & 255) || '.' || (user_id & 255) AS src_ip,
- greatest(64, CAST(floor(value * 10) AS BIGINT)) AS byte_len, CASE WHEN event_type = 'error' THEN 'attack' ELSE 'normal' END AS label, CAST(floor(epoch(ts) / 3600) AS BIGINT) * 3600 AS window_start FROM events WHERE user_id IS NOT NULL),
-w AS (SELECT node_id, window_start, count(*) AS packets, CAST(sum(byte_len) AS BIGINT) AS bytes, count(DISTINCT src_ip) AS sources FROM p GROUP BY ALL),
-f AS (SELECT *, lag(sources, 1, 0) OVER (PARTITION BY node_id ORDER BY window_start) AS previous, bytes / packets AS bytes_per_packet FROM w),
-r AS (SELECT *, CASE WHEN previous = 0 THEN 1.0 ELSE sources / previous END AS ratio FROM f),
-h AS (SELECT node_id, window_start, sources, count(*) OVER o AS n, avg(sources) OVER o AS mean, stddev_pop(sources) OVER o AS sd FROM w WINDOW o AS (PARTITION BY node_id ORDER BY window_start ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)),
-z AS (SELECT node_id, window_start, sources, CASE WHEN n < 5 THEN 0.0 WHEN sd < 1e-9 THEN CASE WHEN sources > mean THEN 5.0 ELSE 0.0 END ELSE (sources - mean) / sd END AS z FROM h),
-g AS (SELECT window_start, count(*) FILTER (WHERE label = 'attack') AS attacks, count(*) FILTER (WHERE label <> 'attack') AS normals FROM p GROUP BY ALL),
-t AS (SELECT *, CAST(attacks > normals // 2 AS INTEGER) AS is_attack FROM g),
-c AS (SELECT window_start, count(*) AS total, count(*) FILTER (WHERE z > 1.5) AS under_attack, max(z) AS max_z FROM z GROUP BY ALL)
-"""
 
+def defense_escalation(spark, sf_dir):
+    rows = aggregator.escalated(_reports(spark, sf_dir).select("node_id", "ts", F.col("anomaly_state").alias("state")), _correlated(spark, sf_dir), HOUR)
+    return rows.select("node_id", "ts", "state", "defense", "escalated")
 
-def _hll(source: str, keys: str) -> str:
-    by = f"{keys}," if keys else ""
-    return f"""b AS (SELECT {by} ('0x' || substr(sha256(v), 1, 16))::UBIGINT AS h FROM ({source})),
-i AS (SELECT {by} h >> 50 AS idx, h & 1125899906842623 AS low FROM b),
-k AS (SELECT {by} idx, max(CASE WHEN low = 0 THEN 51 ELSE 51 - length(bin(low)) END) AS rho FROM i GROUP BY ALL),
-s AS (SELECT {by} count(*) AS n_registers, sum(pow(2.0, -rho)) + (16384 - count(*)) AS s FROM k {"GROUP BY " + keys if keys else ""}),
-e AS (SELECT {by} n_registers, CAST(round(CASE WHEN n_registers < 16384 AND 16384 * ln(16384 / (16384 - n_registers)) <= 11500 THEN 16384 * ln(16384 / (16384 - n_registers)) ELSE 0.7213 / (1 + 1.079 / 16384) * 16384 * 16384 / s END) AS BIGINT) AS estimate FROM s)
-"""
 
+def defense_state(spark, sf_dir):
+    return aggregator.defense_state(_correlated(spark, sf_dir)).withColumn("global_score", F.round("global_score", 4))
+
+
+def attack_type_gauges(spark, sf_dir):
+    return aggregator.type_gauges(_reports(spark, sf_dir))
+
+
+def _labelled(spark, sf_dir) -> DataFrame:
+    """Packets with attack types, in windows that count from the first packet."""
+    kind = F.when(F.col("label") == "attack", F.when(F.col("byte_len") % 3 == 0, "").when(F.col("byte_len") % 3 == 1, "UDP_FLOOD").otherwise("SYN_FLOOD")).otherwise("")
+    rows = packets(spark, sf_dir).filter("byte_len % 5 < 2").withColumn("attack_type", kind)
+    return W.relative_windows(rows, HOUR)
+
+
+def ground_truth_windows(spark, sf_dir):
+    return evaluate.ground_truth(_labelled(spark, sf_dir), HOUR)
 
-ORACLES = {
-    "packet_projection": _P + "SELECT node_id, src_ip, byte_len, label FROM p",
-    "window_traffic": _P + "SELECT * FROM w",
-    "window_features": _P + "SELECT node_id, window_start, sources, previous, round(ratio, 6) AS ratio, round(bytes_per_packet, 4) AS bytes_per_packet FROM r",
-    "zscore_alerts": _P + "SELECT node_id, window_start, sources, round(z, 4) AS z, z > 1.5 AS alert FROM z",
-    "ground_truth": _P + "SELECT * FROM t",
-    "node_correlation": _P + "SELECT window_start, total, under_attack, round(max_z, 4) AS max_z, under_attack / total >= 0.5 AS activated FROM c",
-    "threshold_confusion": _P + """, a AS (SELECT window_start, count(DISTINCT src_ip) > 13 AS alert FROM p GROUP BY ALL),
-q AS (SELECT count(*) FILTER (WHERE is_attack = 1 AND alert) AS tp, count(*) FILTER (WHERE is_attack = 0 AND alert) AS fp, count(*) FILTER (WHERE is_attack = 1 AND NOT alert) AS fn, count(*) FILTER (WHERE is_attack = 0 AND NOT alert) AS tn FROM t JOIN a USING (window_start))
-SELECT tp, fp, fn, tn, round(CASE WHEN tp + fp = 0 THEN 0.0 ELSE tp / (tp + fp) END, 6) AS precision, round(CASE WHEN tp + fn = 0 THEN 0.0 ELSE tp / (tp + fn) END, 6) AS recall, round(CASE WHEN tp + fp + fn = 0 THEN 0.0 ELSE 2 * tp / (2 * tp + fp + fn) END, 6) AS f1 FROM q""",
-    "attack_classes": _P + """, x AS (SELECT 2 * ratio AS c, ratio AS q, bytes_per_packet AS b FROM r),
-y AS (SELECT c, q, CAST(c > 5 AS INT) + CAST(q > 5 AS INT) + CAST(b > 0 AND b < 100 AS INT) AS syn, CAST(c > 5 AS INT) + CAST(q > 5 AS INT) + CAST(b BETWEEN 100 AND 500 AS INT) AS udp,
- CAST(c > 2 AND c <= 10 AS INT) + CAST(q > 3 AS INT) + CAST(b > 500 AS INT) AS http, CAST(c > 2 AND c <= 10 AS INT) + CAST(q > 0.5 AND q <= 3 AS INT) + CAST(b > 0 AND b < 80 AS INT) AS scan FROM x),
-v AS (SELECT *, greatest(syn, udp, http, scan) AS best, c < 2 AND q < 2 AS calm FROM y)
-SELECT CASE WHEN calm THEN 'NONE' WHEN best < 1 THEN 'UNKNOWN' WHEN syn = best THEN 'SYN_FLOOD' WHEN udp = best THEN 'UDP_FLOOD' WHEN http = best THEN 'HTTP_FLOOD' ELSE 'PORT_SCAN' END AS attack_type, count(*) AS n, round(sum(CASE WHEN calm THEN 0.0 ELSE best / 3.0 END), 4) AS confidence FROM v GROUP BY 1""",
-    "fsm_states": _P + """, o AS (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY window_start) AS i FROM z),
-m AS (SELECT node_id, i, window_start, z, 0 AS state, CASE WHEN z > 0.4 THEN 1 ELSE 0 END AS n FROM o WHERE i = 1
- UNION ALL SELECT o.node_id, o.i, o.window_start, o.z,
-  CASE WHEN m.state = 0 THEN CASE WHEN o.z > 0.4 AND m.n + 1 >= 2 THEN 1 ELSE 0 END WHEN o.z > 0.4 THEN 1 WHEN m.state = 1 THEN 2 WHEN m.n + 1 >= 3 THEN 0 ELSE 2 END,
-  CASE WHEN m.state = 0 THEN CASE WHEN o.z > 0.4 AND m.n + 1 < 2 THEN m.n + 1 ELSE 0 END WHEN o.z > 0.4 THEN 0 WHEN m.state = 1 THEN 1 WHEN m.n + 1 >= 3 THEN 0 ELSE m.n + 1 END
-  FROM m JOIN o ON o.node_id = m.node_id AND o.i = m.i + 1)
-SELECT node_id, window_start, round(z, 4) AS score, state FROM m""",
-    "exact_vs_estimate_error": _P + ", " + _hll("SELECT strftime(ts, '%Y-%m-%d') AS day, src_ip AS v FROM p", "day") + ", x AS (SELECT strftime(ts, '%Y-%m-%d') AS day, count(DISTINCT src_ip) AS exact FROM p GROUP BY ALL) SELECT day, exact, estimate, round(abs(estimate - exact) / exact * 100, 4) AS error_pct FROM x JOIN e USING (day)",
-    "order_key_sketch": "WITH " + _hll("SELECT l_returnflag, CAST(l_orderkey AS VARCHAR) AS v FROM lineitem", "l_returnflag") + "SELECT * FROM e",
-    "attack_sequences": _P + ", d AS (SELECT window_start, under_attack / total >= 0.5 AS activated FROM c), u AS (SELECT *, lag(activated, 1, false) OVER (ORDER BY window_start) AS was FROM d) SELECT window_start, was, activated FROM u WHERE was <> activated",
-}
 
-ORACLES["ewma_alerts"] = _P + """, o AS (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY window_start) AS i FROM w),
+def primary_attack_type(spark, sf_dir):
+    return evaluate.ground_truth(_labelled(spark, sf_dir), HOUR).filter("primary_attack_type <> ''").select("window_id", "primary_attack_type", "attack_count")
+
+
+def _alerts(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(alerts, attack windows, the number of windows): an alert is a window of more than 6 sources, at its last packet."""
+    rows = _labelled(spark, sf_dir)
+    truth = evaluate.ground_truth(rows, HOUR)
+    seen = rows.groupBy("window_id").agg(F.countDistinct("src_ip").alias("sources"), F.max(F.unix_timestamp("ts").cast("double")).alias("at"))
+    return seen.filter("sources > 6").select("window_id", "at"), truth.filter("is_attack = 1").select("window_id"), truth.agg(F.count(F.lit(1)).alias("total"))
+
+
+def confusion_matrix(spark, sf_dir):
+    out = evaluate.event_confusion(*_alerts(spark, sf_dir))
+    return out.select("tp", "fp", "fn", "tn", *[F.round(c, 6).alias(c) for c in ("recall", "precision", "f1", "fpr")])
+
+
+def missed_windows(spark, sf_dir):
+    alerts, attacks, _ = _alerts(spark, sf_dir)
+    return evaluate.missed_windows(alerts, attacks)
+
+
+def time_to_detect(spark, sf_dir):
+    alerts, attacks, _ = _alerts(spark, sf_dir)
+    start = packets(spark, sf_dir).filter("byte_len % 5 < 2").agg(F.min(F.unix_micros("ts")).alias("us")).first()["us"] / 1e6
+    return evaluate.time_to_detect(alerts, attacks, F.lit(start), HOUR).select(F.round("time_to_detect", 3).alias("time_to_detect"))
+
+
+def threshold_confusion(spark, sf_dir):
+    rows = packets(spark, sf_dir)
+    alerts = W.traffic(rows.withColumn("node_id", F.lit("all"))).select("window_start", (F.col("sources") > 13).alias("alert"))
+    return W.confusion(W.ground_truth(rows).join(alerts, "window_start", "left").withColumnRenamed("is_attack", "truth")).select("tp", "fp", "fn", "tn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+
+
+def gap_filled_windows(spark, sf_dir):
+    return reports.filled(traffic(spark, sf_dir)).select("node_id", seconds(), "packets", "bytes", "sources")
+
+
+def recent_spread(spark, sf_dir):
+    rows = reports.recent_spread(traffic(spark, sf_dir))
+    return rows.select("node_id", seconds(), F.round("recent_mean", 6).alias("recent_mean"), F.round("recent_variance", 6).alias("recent_variance"))
+
+
+def attack_runs(spark, sf_dir):
+    rows = reports.attack_runs(scored(spark, sf_dir).withColumn("high", F.col("z") > 0.4), "high")
+    return rows.select("node_id", seconds("first_window"), seconds("last_window"), "windows")
+
+
+def sources_curve(spark, sf_dir):
+    return reports.latency_curve(traffic(spark, sf_dir), "node_id", "sources").withColumn("share", F.round("share", 6))
+
+
+_OWN = (
+    packet_projection, ip_validity, label_predicate, window_traffic, window_features, feature_vector, window_ticks, threshold_alerts, zscore_alerts, ewma_alerts,
+    fsm_states, state_transitions_last10, forced_states, baseline_means, attack_features_classify, loda_scores, hst_scores, ensemble_scores, device_detector, rate_limited,
+    mitigation_gate, cms_counts, node_latest, correlation_majority, defense_edges, defense_escalation, defense_state, attack_type_gauges, ground_truth_windows,
+    primary_attack_type, confusion_matrix, missed_windows, time_to_detect, threshold_confusion, gap_filled_windows, recent_spread, attack_runs, sources_curve,
+)
+QUERIES = {f.__name__: f for f in _OWN} | sketch_plans.QUERIES | report_plans.QUERIES
+
+_B = STATES + """, b AS (SELECT *, sum(CASE WHEN state = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY node_id ORDER BY window_start) AS k FROM m),
+c AS (SELECT *, avg(CASE WHEN state = 0 AND k <= 50 THEN packets END) OVER q AS baseline_packets, avg(CASE WHEN state = 0 AND k <= 50 THEN bytes / packets END) OVER q AS baseline_bpp FROM b WINDOW q AS (PARTITION BY node_id ORDER BY window_start))
+"""
+#: rep: reports; tk: ticks with the report that stands for each node.
+_R = STATES + f""", rep AS (SELECT node_id, window_start AS ts, greatest(z, 0) AS score, state FROM m),
+sub AS (SELECT * FROM rep WHERE ts % 10800 = 0 OR node_id < 'node-2'),
+hours AS (SELECT unnest(range((SELECT min(ts) FROM sub), (SELECT max(ts) FROM sub) + 7201, 3600)) AS tick),
+tk AS (SELECT * FROM (SELECT tick, node_id, ts, score, state, row_number() OVER (PARTITION BY tick, node_id ORDER BY ts DESC) AS k FROM hours JOIN sub ON ts <= tick) WHERE k = 1 AND tick - ts <= 7200 AND (tick < {RESETS[0]} OR ts >= {RESETS[0]})),
+cor AS (SELECT tick, count(*) AS total, count(*) FILTER (WHERE state = 1) AS under_attack, max(score) AS s, max(state) AS max_state, tick >= {RESETS[0]} AND tick - {RESETS[0]} < 70 AS in_grace FROM tk GROUP BY tick),
+act AS (SELECT *, NOT in_grace AND under_attack / total >= 0.5 AS activated FROM cor)
+"""
+_L = """, a AS (SELECT *, CASE WHEN label <> 'attack' THEN '' WHEN byte_len % 3 = 0 THEN 'attack' WHEN byte_len % 3 = 1 THEN 'UDP_FLOOD' ELSE 'SYN_FLOOD' END AS kind, CAST(floor((epoch_us(ts) - (SELECT min(epoch_us(ts)) FROM p WHERE byte_len % 5 < 2)) / 3600000000.0) AS BIGINT) AS window_id FROM p WHERE byte_len % 5 < 2),
+g AS (SELECT wid AS window_id, count(*) FILTER (WHERE label = 'attack') AS attack_count, count(*) FILTER (WHERE label = 'normal') AS normal_count FROM (SELECT unnest(range((SELECT max(window_id) + 1 FROM a))) AS wid) LEFT JOIN a ON window_id = wid GROUP BY wid),
+y AS (SELECT window_id, kind, row_number() OVER (PARTITION BY window_id ORDER BY count(*) DESC, kind) AS k FROM a WHERE kind <> '' GROUP BY window_id, kind),
+t AS (SELECT window_id, CAST(attack_count > normal_count // 2 AS INT) AS is_attack, attack_count, normal_count, coalesce(kind, '') AS primary_attack_type, 3600 AS window_duration_s FROM g LEFT JOIN (SELECT * FROM y WHERE k = 1) USING (window_id)),
+al AS (SELECT window_id, max(floor(epoch(ts))) AS seen FROM a GROUP BY window_id HAVING count(DISTINCT src_ip) > 6)
+"""
+_FNV = "list_reduce(list_concat([2166136261::BIGINT, {r}::BIGINT, 0::BIGINT], list_transform(string_split(src_ip, ''), lambda s: ascii(s)::BIGINT)), lambda a, b: (xor(a, b) * 16777619) % 4294967296) % 512"
+
+ORACLES = sketch_plans.ORACLES | report_plans.ORACLES | {
+    "packet_projection": P + "SELECT node_id, src_ip, byte_len, label FROM p",
+    "ip_validity": """SELECT CASE event_id % 7 WHEN 0 THEN 'none' WHEN 1 THEN 'v6' WHEN 2 THEN 'none' ELSE 'v4' END AS kind, event_id % 7 NOT IN (0, 2) AS kept, count(*) AS n FROM events WHERE user_id IS NOT NULL GROUP BY ALL""",
+    "label_predicate": """WITH l AS (SELECT CASE event_type WHEN 'click' THEN 'BENIGN' WHEN 'view' THEN '' ELSE event_type END AS label FROM events) SELECT label, label <> '' AND lower(label) NOT IN ('benign', 'normal', '0') AS attack, count(*) AS n FROM l GROUP BY ALL""",
+    "window_traffic": P + "SELECT * FROM w",
+    "window_features": P + "SELECT node_id, window_start, sources, previous, round(ratio, 6) AS ratio, round(bytes_per_packet, 4) AS bytes_per_packet FROM r",
+    "feature_vector": P + "SELECT node_id, window_start, 8 AS dimensions, round(sources::DOUBLE, 4) AS v0, round(previous::DOUBLE, 4) AS v1, round(ratio::DOUBLE, 4) AS v2, round(packets::DOUBLE, 4) AS v3, round(bytes::DOUBLE, 4) AS v4, round(bytes_per_packet::DOUBLE, 4) AS v5, 0.0 AS v6, 0.0 AS v7 FROM r",
+    "window_ticks": P + """, k AS (SELECT *, CAST(floor(epoch(ts) / 600) AS BIGINT) * 600 AS tick FROM p), d AS (SELECT DISTINCT node_id, window_start, tick FROM k)
+SELECT d.node_id, d.window_start, d.tick, count(*) AS packets, CAST(sum(byte_len) AS BIGINT) AS bytes, count(DISTINCT src_ip) AS sources FROM d JOIN k ON k.node_id = d.node_id AND k.window_start = d.window_start AND k.tick <= d.tick GROUP BY ALL""",
+    "threshold_alerts": P + "SELECT node_id, window_start, sources FROM w WHERE sources > 3",
+    "zscore_alerts": P + "SELECT node_id, window_start, sources, round(z, 4) AS z, z > 1.5 AS alert FROM z",
+    "ewma_alerts": P + """, o AS (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY window_start) AS i FROM w),
 m AS (SELECT node_id, i, window_start, sources, CAST(sources AS DOUBLE) AS ewma, false AS alert FROM o WHERE i = 1
  UNION ALL SELECT o.node_id, o.i, o.window_start, o.sources, 0.2 * o.sources + 0.8 * m.ewma, o.i > 5 AND m.ewma <> 0 AND o.sources > m.ewma * 1.5 FROM m JOIN o ON o.node_id = m.node_id AND o.i = m.i + 1)
-SELECT node_id, window_start, sources, round(ewma, 6) AS ewma, alert FROM m"""
-ORACLES["gap_filled_windows"] = _P + """, s AS (SELECT node_id, unnest(range(min(window_start), max(window_start) + 3600, 3600)) AS window_start FROM w GROUP BY node_id)
-SELECT node_id, window_start, coalesce(packets, 0) AS packets, coalesce(bytes, 0) AS bytes, coalesce(sources, 0) AS sources FROM s LEFT JOIN w USING (node_id, window_start)"""
-ORACLES["recent_spread"] = _P + """SELECT node_id, window_start, round(avg(sources) OVER k, 6) AS recent_mean, round(var_pop(sources) OVER k, 6) AS recent_variance
-FROM w WINDOW k AS (PARTITION BY node_id ORDER BY window_start ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)"""
-ORACLES["attack_runs"] = _P + """, n AS (SELECT node_id, window_start, z > 0.4 AS high, row_number() OVER (PARTITION BY node_id ORDER BY window_start) - row_number() OVER (PARTITION BY node_id, z > 0.4 ORDER BY window_start) AS run FROM z)
-SELECT node_id, min(window_start) AS first_window, max(window_start) AS last_window, count(*) AS windows FROM n WHERE high GROUP BY node_id, run"""
-ORACLES["sources_curve"] = _P + """SELECT DISTINCT node_id, sources, round(cume_dist() OVER (PARTITION BY node_id ORDER BY sources), 6) AS share FROM w"""
-ORACLES["classic_estimate"] = _P + ", " + _hll("SELECT node_id, src_ip AS v FROM p", "node_id") + """SELECT node_id, CAST(round(CASE WHEN r <= 40960 AND n_registers < 16384 THEN 16384 * ln(16384 / (16384 - n_registers)) ELSE r END) AS BIGINT) AS estimate
-FROM (SELECT *, 0.7213 / (1 + 1.079 / 16384) * 16384 * 16384 / s AS r FROM s)"""
-ORACLES["sparse_estimate"] = _P + """, y AS (SELECT node_id, count(DISTINCT ('0x' || substr(sha256(src_ip), 1, 16))::UBIGINT >> 39) AS n_slots FROM p GROUP BY node_id)
-SELECT node_id, n_slots, CAST(floor(33554432 * ln(33554432 / (33554432.0 - n_slots))) AS BIGINT) AS estimate FROM y"""
+SELECT node_id, window_start, sources, round(ewma, 6) AS ewma, alert FROM m""",
+    "fsm_states": P + STATES + "SELECT node_id, window_start, round(z, 4) AS score, state, ['NORMAL', 'UNDER_ATTACK', 'RECOVERY'][state + 1] AS name FROM m",
+    "state_transitions_last10": P + STATES + """, u AS (SELECT node_id, window_start, lag(state, 1, 0) OVER (PARTITION BY node_id ORDER BY window_start) AS was, state FROM m)
+SELECT node_id, window_start, was, state, row_number() OVER (PARTITION BY node_id ORDER BY window_start DESC) AS back FROM u WHERE was <> state QUALIFY back <= 10""",
+    "forced_states": P + """, o AS (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY window_start) AS i, (window_start // 3600) % 24 = 0 AS hit FROM z),
+v AS (SELECT *, max(CASE WHEN hit THEN i END) OVER (PARTITION BY node_id ORDER BY window_start) AS last FROM o)
+SELECT node_id, window_start, CASE WHEN last IS NULL THEN 0 WHEN i = last THEN 1 WHEN i - last < 3 THEN 2 ELSE 0 END AS state FROM v""",
+    "baseline_means": P + _B + "SELECT node_id, window_start, round(coalesce(baseline_packets, 0), 6) AS baseline_packets, round(coalesce(baseline_bpp, 0) + 1e-7, 3) AS baseline_bpp FROM c",
+    "attack_features_classify": P + _B + """, x AS (SELECT c.node_id, c.window_start, CASE WHEN previous > 0 THEN c.sources / previous ELSE 1.0 END AS c, CASE WHEN baseline_packets > 0 THEN c.packets / baseline_packets ELSE 1.0 END AS q, c.bytes / c.packets AS b FROM c JOIN f USING (node_id, window_start) WHERE state <> 0),
+y AS (SELECT *, CAST(c > 5 AS INT) + CAST(q > 5 AS INT) + CAST(b > 0 AND b < 100 AS INT) AS syn, CAST(c > 5 AS INT) + CAST(q > 5 AS INT) + CAST(b BETWEEN 100 AND 500 AS INT) AS udp,
+ CAST(c > 2 AND c <= 10 AS INT) + CAST(q > 3 AS INT) + CAST(b > 500 AS INT) AS http, CAST(c > 2 AND c <= 10 AS INT) + CAST(q > 0.5 AND q <= 3 AS INT) + CAST(b > 0 AND b < 80 AS INT) AS scan FROM x),
+v AS (SELECT *, greatest(syn, udp, http, scan) AS best, c < 2 AND q < 2 AS calm FROM y)
+SELECT node_id, window_start, round(c, 6) AS card_spike, round(q, 6) AS rate_spike, CASE WHEN calm THEN 'NONE' WHEN best < 1 THEN 'UNKNOWN' WHEN syn = best THEN 'SYN_FLOOD' WHEN udp = best THEN 'UDP_FLOOD' WHEN http = best THEN 'HTTP_FLOOD' ELSE 'PORT_SCAN' END AS attack_type, round(CASE WHEN calm THEN 0.0 ELSE best / 3.0 END, 6) AS confidence FROM v""",
+    "cms_counts": P + ", n AS (SELECT node_id, src_ip, count(*) AS n FROM p GROUP BY ALL), e AS (" + " UNION ALL ".join(f"SELECT node_id, src_ip, n, {r} AS r, {_FNV.format(r=r)} AS col FROM n" for r in range(4)) + "), k AS (SELECT node_id, r, col, sum(n) AS c FROM e GROUP BY ALL) SELECT node_id, src_ip, CAST(min(c) AS BIGINT) AS estimate FROM e JOIN k USING (node_id, r, col) GROUP BY ALL",
+    "node_latest": P + STATES + "SELECT node_id, window_start AS ts, round(greatest(z, 0), 4) AS ensemble_score, state AS anomaly_state, CASE WHEN state = 1 THEN 'SYN_FLOOD' ELSE 'NONE' END AS attack_type FROM m QUALIFY row_number() OVER (PARTITION BY node_id ORDER BY window_start DESC) = 1",
+    "correlation_majority": P + _R + "SELECT tick, total, under_attack, round(s, 4) AS max_score, round(s / 2, 4) AS max_loda, round(s / 4, 4) AS max_hst, max_state, in_grace, activated, CASE WHEN activated THEN 'majority_nodes_under_attack' ELSE '' END AS reason FROM act",
+    "defense_edges": P + _R + """, ed AS (SELECT tick, activated, coalesce(lag(activated) OVER (ORDER BY tick), false) AS was FROM (SELECT h.tick, coalesce(activated, false) AS activated FROM (SELECT tick FROM hours UNION SELECT max(tick) + 3600 FROM hours) h LEFT JOIN act USING (tick)))
+SELECT tick, was, activated, CASE WHEN activated THEN 'lockdown' ELSE 'unlock' END AS action FROM ed WHERE was <> activated""",
+    "defense_escalation": P + _R + "SELECT node_id, ts, state, coalesce(activated, false) AS defense, CASE WHEN activated AND state = 0 THEN 1 ELSE state END AS escalated FROM rep LEFT JOIN act ON tick = ts // 3600 * 3600",
+    "defense_state": P + _R + "SELECT activated, round(s, 4) AS global_score, CASE WHEN activated THEN 'majority_nodes_under_attack' ELSE '' END AS reason FROM act ORDER BY tick DESC LIMIT 1",
+    "attack_type_gauges": P + STATES + "SELECT node_id, CASE WHEN state = 1 THEN 'SYN_FLOOD' ELSE 'NONE' END AS attack_type, CAST(state = 1 AS INT) AS value FROM m QUALIFY row_number() OVER (PARTITION BY node_id ORDER BY window_start DESC) = 1",
+    "ground_truth_windows": P + _L + "SELECT * FROM t",
+    "primary_attack_type": P + _L + "SELECT window_id, primary_attack_type, attack_count FROM t WHERE primary_attack_type <> ''",
+    "confusion_matrix": P + _L + """, q AS (SELECT count(*) FILTER (WHERE is_attack = 1 AND seen IS NOT NULL) AS tp, count(*) FILTER (WHERE is_attack = 0 AND seen IS NOT NULL) AS fp, count(*) FILTER (WHERE is_attack = 1 AND seen IS NULL) AS fn, count(*) FILTER (WHERE is_attack = 0 AND seen IS NULL) AS tn FROM t LEFT JOIN al USING (window_id))
+SELECT tp, fp, fn, tn, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1, round(coalesce(fp / nullif(fp + tn, 0), 0), 6) AS fpr FROM q""",
+    "missed_windows": P + _L + "SELECT window_id FROM t WHERE is_attack = 1 AND window_id NOT IN (SELECT window_id FROM al)",
+    "time_to_detect": P + _L + "SELECT round(greatest(0, min(seen) - (SELECT min(epoch_us(ts)) / 1000000.0 FROM a) - 3600 * (SELECT min(window_id) FROM t WHERE is_attack = 1)), 3) AS time_to_detect FROM al JOIN t USING (window_id) WHERE is_attack = 1",
+    "threshold_confusion": P + """, g AS (SELECT window_start, count(*) FILTER (WHERE label = 'attack') AS attacks, count(*) FILTER (WHERE label <> 'attack') AS normals FROM p GROUP BY ALL),
+t AS (SELECT *, CAST(attacks > normals // 2 AS INTEGER) AS is_attack FROM g), a AS (SELECT window_start, count(DISTINCT src_ip) > 13 AS alert FROM p GROUP BY ALL),
+q AS (SELECT count(*) FILTER (WHERE is_attack = 1 AND alert) AS tp, count(*) FILTER (WHERE is_attack = 0 AND alert) AS fp, count(*) FILTER (WHERE is_attack = 1 AND NOT alert) AS fn, count(*) FILTER (WHERE is_attack = 0 AND NOT alert) AS tn FROM t JOIN a USING (window_start))
+SELECT tp, fp, fn, tn, round(CASE WHEN tp + fp = 0 THEN 0.0 ELSE tp / (tp + fp) END, 6) AS precision, round(CASE WHEN tp + fn = 0 THEN 0.0 ELSE tp / (tp + fn) END, 6) AS recall, round(CASE WHEN tp + fp + fn = 0 THEN 0.0 ELSE 2 * tp / (2 * tp + fp + fn) END, 6) AS f1 FROM q""",
+    "gap_filled_windows": P + """, s AS (SELECT node_id, unnest(range(min(window_start), max(window_start) + 3600, 3600)) AS window_start FROM w GROUP BY node_id)
+SELECT node_id, window_start, coalesce(packets, 0) AS packets, coalesce(bytes, 0) AS bytes, coalesce(sources, 0) AS sources FROM s LEFT JOIN w USING (node_id, window_start)""",
+    "recent_spread": P + """SELECT node_id, window_start, round(avg(sources) OVER k, 6) AS recent_mean, round(var_pop(sources) OVER k, 6) AS recent_variance
+FROM w WINDOW k AS (PARTITION BY node_id ORDER BY window_start ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)""",
+    "attack_runs": P + """, n AS (SELECT node_id, window_start, z > 0.4 AS high, row_number() OVER (PARTITION BY node_id ORDER BY window_start) - row_number() OVER (PARTITION BY node_id, z > 0.4 ORDER BY window_start) AS run FROM z)
+SELECT node_id, min(window_start) AS first_window, max(window_start) AS last_window, count(*) AS windows FROM n WHERE high GROUP BY node_id, run""",
+    "sources_curve": P + "SELECT DISTINCT node_id, sources, round(cume_dist() OVER (PARTITION BY node_id ORDER BY sources), 6) AS share FROM w",
+}
