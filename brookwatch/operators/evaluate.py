@@ -64,7 +64,8 @@ def time_to_detect(alerts: DataFrame, attacks: DataFrame, start: Column, seconds
     """
     begun = attacks.agg(F.min("window_id").alias("w"))
     seen = true_alerts(alerts.groupBy("window_id").agg(F.min("at").alias("at")), attacks).agg(F.min("at").alias("at"))
-    return seen.join(F.broadcast(begun)).select(F.greatest(F.lit(0.0), F.col("at") - (start + F.col("w") * seconds)).alias("time_to_detect"))
+    gap = F.col("at") - (start + F.col("w") * seconds)
+    return seen.join(F.broadcast(begun)).select(F.when(gap > 0, gap).when(gap.isNotNull(), 0.0).alias("time_to_detect"))
 
 
 def timeline_summary(timeline: DataFrame, resources: DataFrame | None = None, keys: list[str] | None = None) -> DataFrame:

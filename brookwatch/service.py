@@ -95,6 +95,7 @@ class Aggregator(SketchService):
         return aggregator.defense_state(aggregator.correlated(self.reports, self.seconds, self.resets)).first().asDict()
 
     def reset_at(self, ts: int) -> int:
-        """Forgets sketches and reports up to a time, and begins the grace after it."""
+        """Forgets sketches and reports at a time, and begins the grace after it."""
         self.resets.append(ts)
+        self.reports = None
         return self.reset()

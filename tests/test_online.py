@@ -2,7 +2,6 @@ import datetime as dt
 
 import numpy as np
 
-from brookwatch.functions import sketch
 from brookwatch.operators import online, reports
 
 
@@ -39,6 +38,36 @@ def test_rate_limit_and_hash():
     assert [limit.step(10.0, one) for _ in range(3)] == [(True, 1), (True, 2), (True, 3)] and limit.step(10.0, one) == (False, 4)
 
 
+def test_gate_follows_the_state():
+    gate, one = online.Gate(rate=1, per_source=2), np.zeros(4, int)
+    assert [gate.step(0.0, 0, one) for _ in range(5)] == [(True, False, 0)] * 5
+    assert [gate.step(1.0, 1, one)[:2] for _ in range(2)] == [(True, True), (False, True)]
+    assert gate.step(2.0, 2, one)[1:] == (True, 1) and gate.limit.dropped == 1
+    assert gate.step(3.0, 0, one) == (True, False, 1) and gate.limit.tokens == 2 and not gate.limit.counts.any()
+    reset = online.RateLimit(rate=10, per_source=5)
+    assert sum(reset.step(0.0, one)[0] for _ in range(20)) == 5
+
+
+def test_counts_decay_by_halves():
+    limit, one = online.RateLimit(rate=1000, per_source=5), np.zeros(4, int)
+    assert [limit.step(0.0, one)[1] for _ in range(8)] == list(range(1, 9))
+    assert limit.step(5.0, one) == (True, 5) and limit.step(10.0, one) == (True, 3)
+
+
+def test_device_detector():
+    d = online.DeviceDetector()
+    assert [d.step(100) for _ in range(9)] == [0.0] * 9
+    assert d.step(1000) == 0.5 * 1 + 0.5 * np.float32(4 / 6)
+    calm = online.DeviceDetector()
+    assert max(calm.step(x) for x in (100, 105, 95, 102, 98, 101, 99, 103)) == 0
+
+
+def test_baseline_stops_in_an_attack_and_after_enough():
+    b = online.Baseline(most=3)
+    assert b.step(10, 1000, 0) == (10, 100) and b.step(99, 99, 1) == (10, 100)
+    assert b.step(20, 400, 0) == (15, 60) and b.step(0, 0, 0) == (10, 60) and b.step(1000, 1, 0) == (10, 60)
+
+
 def _fnv(data):
     h = 2166136261
     for b in data:
@@ -60,13 +89,6 @@ def test_fold_restarts_each_key_and_streams(spark, tmp_path):
     assert [(r.node_id, r.ewma) for r in spark.table("folded").orderBy("node_id", "window_start").collect()] == [(r.node_id, r.ewma) for r in got]
 
 
-def test_wire_form():
-    rho = np.random.default_rng(3).integers(0, 52, 16384).tolist()
-    data = sketch.pack_registers(rho)
-    assert len(data) == 12288 and sketch.unpack_registers(data) == rho
-    assert sketch.pack_registers([63, 0, 0, 1]) == bytes([0b11111100, 0, 1])
-
-
 def test_summary_and_rate(spark):
     rows = spark.createDataFrame([(True, True, 2.0), (True, False, 0.0), (False, True, 0.0), (False, False, 0.0)], "truth boolean, alert boolean, latency double")
     r = reports.summary(rows).first()
