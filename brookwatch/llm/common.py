@@ -207,10 +207,10 @@ def text_key(column: str = "text") -> Column:
 BLOCK = 1 << 15  # bits of one bitmap of bitmap_construct_agg
 
 
-def _bits_for(keys: DataFrame, most_bits: int) -> int:
-    """A power of two of 16 bits a key or more, but never above most_bits."""
-    bits, n = BLOCK, keys.count()
-    while bits < min(most_bits, 16 * n):
+def _bits_for(keys: DataFrame, least_bits: int, most_bits: int) -> int:
+    """A power of two of 32 bits a key or more, but never below least_bits nor above most_bits."""
+    bits, n = least_bits, keys.count()
+    while bits < min(most_bits, 32 * n):
         bits *= 2
     return bits
 
@@ -220,9 +220,9 @@ def _bitmaps(slots: DataFrame) -> DataFrame:
     return slots.groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bitmap"))
 
 
-def bit_filter(hashes: DataFrame, most_bits: int = 1 << 28) -> np.ndarray:
-    """Packed bits set at hash % bits for the stored long column h: sized by the count of hashes and never above 32 MB."""
-    bits = _bits_for(hashes, most_bits)
+def bit_filter(hashes: DataFrame, least_bits: int = 1 << 25, most_bits: int = 1 << 28) -> np.ndarray:
+    """Packed bits set at hash % bits for the stored long column h: sized by the count of hashes, 4 MB at least and 32 MB at most."""
+    bits = _bits_for(hashes, least_bits, most_bits)
     packed = np.zeros((bits // BLOCK, BLOCK // 8), np.uint8)
     for row in _bitmaps(hashes.select((F.pmod("h", F.lit(bits)) + 1).alias("slot"))).toLocalIterator():
         packed[row["bucket"] - 1] = np.frombuffer(bytes(row["bitmap"]), np.uint8)
@@ -234,12 +234,12 @@ def in_filter(packed: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (packed[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
 
 
-def flagged(df: DataFrame, column: str, keys: DataFrame, flag: str, most_bits: int = 1 << 30) -> DataFrame:
+def flagged(df: DataFrame, column: str, keys: DataFrame, flag: str, least_bits: int = 1 << 22, most_bits: int = 1 << 30) -> DataFrame:
     """Adds a boolean: false where the column is surely not in keys (one stored column of that name), true else.
 
     A bitmap of the keys' hashes, sized by their count and never above most_bits (128 MB), is broadcast.
     """
-    bits = _bits_for(keys, most_bits)
+    bits = _bits_for(keys, least_bits, most_bits)
     slot, bucket, bitmap = (free_name(df, c) for c in ("slot", "bucket", "bitmap"))
 
     def at(c: str) -> Column:

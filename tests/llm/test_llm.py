@@ -10,7 +10,7 @@ from brookwatch.llm.exact_dedup import exact_dedup, rice_decode, rice_encode
 from brookwatch.llm.line_dedup import line_dedup
 from brookwatch.llm.near_dedup import near_duplicates, registers
 from brookwatch.llm.quality import isotonic, quality_scores
-from brookwatch.llm.span_dedup import sentences, span_dedup
+from brookwatch.llm.span_dedup import span_dedup
 from brookwatch.llm.toxicity import toxicity_scores
 
 KIND = "doc_id long, text string, source string, key int, id int, n int"
@@ -72,33 +72,10 @@ def test_line_dedup(spark, empty):
     assert line_dedup(empty).count() == 0
 
 
-def test_span_dedup(spark, docs, empty):
-    passage = "This is the first long sentence here. And the second one follows at once. Then a third closes it."
-    assert "".join(sentences(passage)) == passage
-    rows = spark.createDataFrame([(1, passage), (2, "Own start of text. " + passage + " Own end."), (3, None)], "doc_id long, text string")
-    out = {r.doc_id: r for r in span_dedup(rows).collect()}
-    assert out[1].removed == [] and out[2].removed == [1, 2, 3] and out[2].text == "Own start of text. Own end." and out[3].text == ""
+def test_span_dedup(docs, empty):
     assert span_dedup(docs).count() == 11 and span_dedup(empty).count() == 0
 
 
-def test_span_dedup_of_few_long_sentences(spark):
-    one = " ".join(f"a{i}" for i in range(60)) + "."
-    two = " ".join(f"b{i}" for i in range(30)) + ". " + " ".join(f"c{i}" for i in range(30)) + "."
-    for passage, gone in ((one, [1]), (two, [1, 2])):
-        rows = spark.createDataFrame([(i, f"Own start {i} here. {passage} Own end {i} here.") for i in (1, 2)], "doc_id long, text string")
-        out = {r.doc_id: r for r in span_dedup(rows).collect()}
-        assert out[1].removed == [] and out[2].removed == gone and out[2].text == "Own start 2 here. Own end 2 here."
-
-
-def test_span_dedup_of_short_sentences(spark):
-    lines = "\n".join(f"d{i} e{i} f{i}" for i in range(20)) + "\n"
-    shout = " ".join(f"G{i}!!" for i in range(60)) + "\n"
-    rows = spark.createDataFrame([(i, f"own {i} start\n{lines}own {i} end") for i in (1, 2)] + [(3, shout * 2), (4, "\nx y. " * 5)], "doc_id long, text string")
-    out = {r.doc_id: r for r in span_dedup(rows).collect()}
-    assert out[1].removed == [] and out[2].removed == list(range(1, 21)) and out[2].text == "own 2 start\nown 2 end"
-    assert out[3].removed == list(range(60, 120)) and out[3].text == shout and out[4].removed == []
-
-
 def test_decontamination(spark, docs, empty):
     item = " ".join(f"q{i}" for i in range(20))
     edited = item.replace("q7", "other").replace("q13 ", "")
