@@ -1,8 +1,8 @@
 """Sharding by balanced label propagation.
 
 Rows start dealt evenly over the shards (law `rows`: counts at most one apart).  Documents of equal
-text are linked.  In each round a join gives every linked row its group's counts by shard; rows
-propose to move to the shard that holds most of their group and that the group has not filled alone.
+text are linked.  In each round a join gives every linked row the shards that hold most of its group, as many as the group
+needs room for; rows elsewhere propose to move to one of these.
 Moves between two shards are accepted in equal numbers both ways, rows without links making up the
 difference, so the law holds after every round.  Ranks are distributed counts; only the matrix of
 moves between shards (shards squared) reaches the driver.  Groups' proposals are looked up from a broadcast table of checked
@@ -50,14 +50,6 @@ def _flows(movers: dict, singles: dict, shards: int) -> tuple[dict, dict]:
     return take, fill
 
 
-def _pick(column: Column, table: list[tuple[int, object]], kind: str) -> Column:
-    """A literal lookup table over shard numbers; its size is fixed by the shards."""
-    out = F.lit(None).cast(kind)
-    for k, v in table:
-        out = F.when(column == k, v).otherwise(out)
-    return out
-
-
 def balanced_shards(docs: DataFrame, shards: int = 8, rounds: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard, group_size) for every row of docs."""
     raw = text_of(text_col).cast("binary")
@@ -76,17 +68,17 @@ def balanced_shards(docs: DataFrame, shards: int = 8, rounds: int = 4, id_col: s
     state = looked_up(state, "gid", sizes).select("doc_id", "size", "text_crc32", "gid", F.coalesce("group_size", F.lit(1)).alias("group_size"), F.pmod(F.col("deal"), F.lit(shards)).cast("int").alias("shard"))
     state = stored(state)
     quota = {r["shard"]: r["n"] for r in state.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
-    full = _pick(F.col("shard"), list((k, F.lit(v)) for k, v in quota.items()), "long")
+    room = F.lit(0.9 * max(1, min(quota.values(), default=1)))
     for _ in range(rounds):
         held = state.filter("group_size > 1").groupBy("gid", "shard").agg(F.count(F.lit(1)).alias("n"))
-        held = held.withColumn("open", F.col("n") < full * 0.98)
-        best = held.groupBy("gid").agg(
-            F.max_by(F.when(F.col("open"), F.col("shard")), F.when(F.col("open"), F.struct("n", F.xxhash64("gid", "shard")))).alias("best"),
-            F.collect_set(F.when(~F.col("open"), F.col("shard"))).alias("closed"),
-        )
+        # A group gathers in the shards that hold most of it, as many as it needs; at most `shards` entries a group.
+        best = held.groupBy("gid").agg(F.sort_array(F.collect_list(F.struct("n", F.xxhash64("gid", "shard").alias("tie"), "shard")), asc=False).alias("s"), F.sum("n").alias("all"))
+        needed = F.least(F.lit(shards), F.ceil(F.col("all") / room)).cast("int")
+        best = best.select("gid", F.transform(F.slice("s", F.lit(1), F.least(F.size("s"), needed)), lambda x: x["shard"]).alias("targets"))
         seen = looked_up(state, "gid", stored(best))
-        to = F.when(F.col("best").isNotNull() & (F.col("best") != F.col("shard")) & ~F.array_contains("closed", F.col("shard")), F.col("best")).otherwise(F.when(F.col("group_size") == 1, F.lit(-1)).otherwise(F.lit(-2)))
-        seen = seen.withColumn("to", to.cast("int")).drop("best", "closed")
+        choice = F.get("targets", F.pmod(F.xxhash64("doc_id", "shard"), F.size("targets")).cast("int"))
+        to = F.when(F.col("group_size") == 1, F.lit(-1)).when(F.array_contains("targets", F.col("shard")), F.lit(-2)).otherwise(choice)
+        seen = seen.withColumn("to", to.cast("int")).drop("targets")
         ranked = stored(_ranked(seen, ["shard", "to"], part, order, "rank"))
         found = {(r["shard"], r["to"]): r["n"] for r in ranked.groupBy("shard", "to").agg(F.count(F.lit(1)).alias("n")).collect()}
         movers = {k: n for k, n in found.items() if k[1] >= 0}
