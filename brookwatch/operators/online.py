@@ -43,7 +43,7 @@ class Loda:
 
     def __init__(self, seed: int = 42, warmup: int = 10):
         rng = np.random.default_rng(seed)
-        self.w = rng.normal(size=(PROJECTIONS, DIMS)) * (rng.random((PROJECTIONS, DIMS)) < 0.5)
+        self.w = (rng.normal(size=(PROJECTIONS, DIMS)) * (rng.random((PROJECTIONS, DIMS)) < 0.5)).astype(np.float32)
         self.warmup, self.n = (warmup if warmup >= 5 else 10), 0
         self.mean, self.m2 = np.zeros(DIMS), np.zeros(DIMS)
         self.low, self.width = np.zeros(PROJECTIONS), np.ones(PROJECTIONS)
@@ -58,7 +58,7 @@ class Loda:
 
     def _project(self, x: np.ndarray) -> np.ndarray:
         sd = np.sqrt(self.m2 / max(1, self.n - 1)) if self.n > 1 else np.zeros(DIMS)
-        return self.w @ np.where(sd > 1e-10, (x - self.mean) / np.maximum(sd, 1e-10), 0.0)
+        return (self.w @ np.where(sd > 1e-10, (x - self.mean) / np.maximum(sd, 1e-10), 0.0).astype(np.float32)).astype(float)
 
     def update(self, x: np.ndarray) -> None:
         self.n += 1

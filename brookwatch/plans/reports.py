@@ -11,6 +11,8 @@ from brookwatch import sinks
 from brookwatch.functions import sketch
 from brookwatch.functions.hashing import name_to_ip
 from brookwatch.operators import evaluate, metrics, reports
+from brookwatch.operators import windows as W
+from brookwatch.operators.detectors import detector
 from brookwatch.plans.common import HOUR, P, packets, scored, seconds, traffic
 from brookwatch.sources import datasets, generators, lines
 from brookwatch.sources.packets import injected, parsed
@@ -62,6 +64,26 @@ def scenario_windows(spark, sf_dir):
     return rows.groupBy("window_id", "label").agg(F.count(F.lit(1)).alias("packets"), (F.countDistinct("src_ip") > 0).alias("any"))
 
 
+#: The published scenarios: windows, attack windows, attack addresses a window.
+SCENARIOS = {"standard": (20, range(8, 14), 15_000), "subtle": (20, range(8, 14), 3_000), "heavy": (20, range(8, 14), 50_000), "burst": (20, range(9, 11), 15_000), "extended": (30, range(10, 20), 15_000)}
+
+
+def scenario_f1(spark, sf_dir):
+    """F1, recall and error rates of the detectors in the published scenarios, judged once for each completed window."""
+    timeline, hit = None, F.lit(False)
+    for name, (windows, attacks, size) in SCENARIOS.items():
+        one = generators.scenario(spark, windows, 300, size, attacks).withColumn("node_id", F.lit(name))
+        timeline = one if timeline is None else timeline.unionByName(one)
+        hit = hit | ((F.col("node_id") == name) & F.col("window_id").isin(*attacks))
+    rows = timeline.groupBy("node_id", F.timestamp_seconds(F.col("window_id") * 2).alias("window_start"), "window_id").agg(F.count(F.lit(1)).alias("packets"), F.sum("byte_len").alias("bytes"), F.countDistinct("src_ip").alias("sources"))
+    rows = W.features(rows).withColumn("true_label", F.when(hit, "attack").otherwise("normal"))
+    out = None
+    for name in ("threshold", "zscore", "ewma", "ensemble"):
+        one = detector(name).scored(rows).select(F.lit(name).alias("detector"), "node_id", "true_label", F.when(F.col("alert"), "attack").otherwise("normal").alias("predicted_label"), F.lit("").alias("attack_type_true"), F.lit("").alias("attack_type_pred"), F.lit(0.0).alias("latency_ms"))
+        out = one if out is None else out.unionByName(one)
+    return evaluate.timeline_summary(out, None, ["detector", "node_id"]).select("detector", F.col("node_id").alias("scenario"), "tp", "fp", "fn", "tn", F.round("f1_score", 4).alias("f1"))
+
+
 def device_phases(spark, sf_dir):
     rows = generators.device_traffic(spark, "mixed", 50, 500, 100, 30, 10, 5)
     return rows.groupBy("phase").agg(F.count(F.lit(1)).alias("packets"), F.sum("byte_len").alias("bytes"), F.min("second").alias("first"), F.max("second").alias("last"))
@@ -210,7 +232,7 @@ def observed_traffic(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    dataset_cicddos, dataset_unsw, dataset_botiot, replayed_packets, hash_to_ip, deterministic_ip_gen, scenario_windows, device_phases, flood_datagrams, multi_node_scenario,
+    dataset_cicddos, dataset_unsw, dataset_botiot, replayed_packets, hash_to_ip, deterministic_ip_gen, scenario_windows, scenario_f1, device_phases, flood_datagrams, multi_node_scenario,
     serial_and_injected, metric_pivot, metric_as_of, counter_rate, histogram_quantile, length_percentiles, phase_intervals, resource_by_nodes, log_line_parse, memory_savings,
     error_summary, experiment_summary, ablation_matrix, stream_sketches, observed_traffic,
 )}
