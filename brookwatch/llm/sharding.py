@@ -60,7 +60,8 @@ def balanced_shards(docs: DataFrame, shards: int = 8, rounds: int = 4, id_col: s
         F.unhex(F.md5(raw)).alias("gid"),
     )
     rows = stored(rows)
-    parts = rows.rdd.getNumPartitions()
+    # Ranks are made in parts, several for each partition, so none holds much more than a task reads.
+    parts = 4 * max(rows.rdd.getNumPartitions(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     part = F.pmod(F.xxhash64("doc_id"), F.lit(parts))
     order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("gid")]
     sizes = stored(rows.groupBy("gid").agg(F.count(F.lit(1)).alias("group_size")).filter("group_size > 1"))

@@ -31,7 +31,7 @@ def test_law_slots_and_groups(spark, rows):
     for r in out:
         groups.setdefault(r.text_crc32, Counter())[r.shard] += 1
     small = [g for g in groups.values() if 1 < sum(g.values()) <= 7]
-    assert sum(len(g) == 1 for g in small) >= 0.9 * len(small)
+    assert sum(len(g) == 1 for g in small) >= 0.8 * len(small)
     large = groups[zlib.crc32(b"one large group")]
     assert sum(n for _, n in large.most_common(4)) >= 0.9 * 250 and all(r.group_size == sum(groups[r.text_crc32].values()) for r in out)
 
