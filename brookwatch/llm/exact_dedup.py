@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, flagged, looked_up, stored, text_of
+from .common import SPACE, dropped, flagged, looked_up, stored, text_of
 
 #: Fingerprints of an owner: some tens of MB decoded.
 OWNER_PRINTS = 4_000_000
@@ -123,6 +123,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     checked = checked.join(suspects, "fp", "left_semi")
     groups = checked.groupBy("digest").agg(F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"), F.count(F.lit(1)).alias("texts"))
     groups = stored(groups.select("digest", "keep_id", F.when(F.col("texts") > 1, F.raise_error(F.lit("two texts share a SHA-256")).cast("long")).otherwise(F.col("group_size")).alias("group_size")))
+    dropped(suspects)
     found = looked_up(prints.select("doc_id", "digest"), "digest", groups)
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     kept = F.when(keep.isNull(), True).otherwise(F.coalesce(keep == F.col("doc_id"), F.lit(False)))

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, joined, looked_up, stored, text_key, text_of
+from .common import dropped, free_name, joined, looked_up, stored, text_key, text_of
 
 MIN_SITES = 5
 #: Relative distance from the threshold within which the estimate is not trusted (over eight standard errors at 2^12 registers).
@@ -52,6 +52,7 @@ def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, site_col: str = "sou
     bad = stored(boilerplate_lines(lines, min_sites).select("line"))
     hits = joined(lines.select("key", "pos", "line"), bad, "line", "left_semi")
     places = stored(hits.groupBy("key").agg(F.collect_set("pos").alias("gone")).select(F.col("key").alias(key), F.col("gone").alias(gone)))
+    dropped(lines, bad)
     out = looked_up(docs.withColumn(key, text_key(text_col)), key, places)
     left = F.array_join(F.filter(F.split(text_col, "\n", -1), lambda x, i: ~F.array_contains(gone, i)), "\n")
     kept = [F.when(F.col(gone).isNull(), F.col(c)).otherwise(left).alias(c) if c == text_col else F.col(c) for c in docs.columns if c.lower() != "lines_removed"]

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import looked_up, stored, text_of
+from .common import dropped, looked_up, stored, text_of
 
 
 def _ranked(df: DataFrame, keys: list[str], part: Column, order: list[Column], name: str) -> DataFrame:
@@ -84,6 +84,7 @@ def balanced_shards(docs: DataFrame, shards: int = 8, rounds: int = 4, id_col: s
         found = {(r["shard"], r["to"]): r["n"] for r in ranked.groupBy("shard", "to").agg(F.count(F.lit(1)).alias("n")).collect()}
         movers = {k: n for k, n in found.items() if k[1] >= 0}
         if not movers:
+            dropped(ranked)
             break
         take, fill = _flows(movers, {i: n for (i, j), n in found.items() if j == -1}, shards)
         moved = F.col("shard")
@@ -97,8 +98,8 @@ def balanced_shards(docs: DataFrame, shards: int = 8, rounds: int = 4, id_col: s
                         own = F.when((F.col("to") == -1) & (F.col("rank") >= at) & (F.col("rank") < at + fill[i, j]), F.lit(j)).otherwise(own)
                         at += fill[i, j]
             moved = F.when(F.col("shard") == i, own).otherwise(moved)
-        state = ranked.select("doc_id", "size", "text_crc32", "gid", "group_size", moved.cast("int").alias("shard"))
-        state = stored(state)
+        before, state = state, stored(ranked.select("doc_id", "size", "text_crc32", "gid", "group_size", moved.cast("int").alias("shard")))
+        dropped(before, ranked)
         if not any(take.values()):
             break
     out = _ranked(state, ["shard"], part, order, "slot")

@@ -13,7 +13,8 @@ The models are fitted on a sample of at most about `max_bytes` of labelled text
 they have a fixed bound; every row is scored whole.  Counts are made in Spark; the driver gets only the words, predecessors
 and pairs of which the discount leaves something.
 
-Null and empty texts are texts of no words; the ratio of a word that the discount takes whole in both classes is 0.  Repeated rows are scored as often as they
+Null and empty texts are texts of no words; the ratio of a word that the discount takes whole in both classes, with all
+pairs that it ends, is 0.  Repeated rows are scored as often as they
 occur and count as often in training.  An id with several labels trains with each of them; labels that are null or
 neither 0 nor 1 are passed over.  A null id has the fold of empty text and no label.  Equal scores need no order.  Only the
 named columns are read, so other columns cannot clash.  Without training labels of both classes every score is the share
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, fold_of, letter_words, mix64, narrowed, stored
+from .common import arrow_map, dropped, fold_of, letter_words, mix64, narrowed, stored
 
 #: A discount of two documents, as an expression in one or two labelled documents says little about its class.
 DISCOUNT, RUN, STRONG = 2.0, 12, 1.5
@@ -92,8 +93,11 @@ def counted(pairs: DataFrame, d: float = DISCOUNT) -> tuple[DataFrame, DataFrame
         *[F.sum(c).alias(f"n{_tag(t)}{y}") for (t, y), c in col.items()],
         *[F.sum(F.least(c, F.lit(d))).alias(f"g{_tag(t)}{y}") for (t, y), c in col.items()],
     )
-    left = F.greatest(col[None, 0], col[None, 1]) > d
-    return words.filter((F.col("ca0") > d) | (F.col("ca1") > d)), befores.filter((F.col("na0") > F.col("ga0")) | (F.col("na1") > F.col("ga1"))), pairs.filter(left), totals
+    left = pairs.filter(F.greatest(col[None, 0], col[None, 1]) > d)
+    # A word that always follows the same one has one predecessor, however often it occurs; its pairs keep it.
+    paired = left.select("word").distinct().withColumn("paired", F.lit(True))
+    known = words.join(paired, "word", "left").filter((F.col("ca0") > d) | (F.col("ca1") > d) | F.col("paired")).drop("paired")
+    return known, befores.filter((F.col("na0") > F.col("ga0")) | (F.col("na1") > F.col("ga1"))), left, totals
 
 
 class KneserNey:
@@ -185,6 +189,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", th
         return {"y": c["y"], "f": [normalised(without.value[k].ratios(tokens(t))) for k, t in zip(c["fold"], c["text"])]}
 
     fitted = arrow_map(sample, out_of_fold, "y int, f array<double>", 64).collect()  # bounded with the sample
+    dropped(known, drawn, sample)
     x, y = np.array([r["f"] for r in fitted]), np.array([r["y"] for r in fitted], float)
     mean, sd = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-9)
     w = _logistic(np.hstack([(x - mean) / sd, np.ones((len(x), 1))]), y)
