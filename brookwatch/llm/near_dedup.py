@@ -10,8 +10,9 @@
    member of the hub's component, takes their place.  With D(x) the shingles that x and B do not share, two sets have
    |x ^ y| = |D(x) ^ D(y)|, and similarity t or more means |x ^ y| <= c (|x| + |y|) with c = (1 - t) / (1 + t).  If y is
    not that similar to B, |D(y)| > c (|y| + |B|), so x and y must share more than (|D(x)| + c (|B| - |x|)) / 2
-   elements: all but the rarest of those of D(x) that others have too may be left out of the join.  Members similar to
-   B are linked with it, and so in one component.
+   elements: all but the rarest of those of D(x) that others have too may be left out of the join, which also asks that
+   what follows a pair's first common element suffices for (|D(x)| - c |x| + |D(y)| - c |y|) / 2 of them.  Members
+   similar to B are linked with it, and so in one component.
 3. Pairs pass if their Jaccard similarity, estimated jointly from all registers by likelihood with the known set
    sizes, may reach the threshold; then full sets, made again from the candidates' texts alone, are compared.
 4. Components come from contraction rounds.
@@ -92,16 +93,18 @@ def _sets(shingle: int):
 
 
 def _differences(percent: int):
-    """For pairs (pivot a, member b): a row for each shingle of b's difference from a; need is how many must be shared."""
+    """For pairs (pivot a, member b): a row for each shingle of b's difference from a; need is how many must be shared with
+    any, and two members' excesses over 2 (100 + percent) how many with one another."""
 
     def rows(c):
-        out = {k: [] for k in ("a", "b", "comp", "n", "h", "far", "need")}
+        out = {k: [] for k in ("a", "b", "comp", "n", "h", "far", "need", "excess")}
         for a, b, comp, x, y in zip(c["a"], c["b"], c["comp"], c["s_a"], c["s_b"]):
             x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
             d = np.setxor1d(x, y, assume_unique=True).view(np.int64)
             far = (100 + percent) * len(d) > (100 - percent) * (len(x) + len(y))
             need = ((100 + percent) * len(d) + (100 - percent) * (len(x) - len(y))) // (2 * (100 + percent)) + 1
-            for k, v in zip(out, (a, b, comp, len(y), d, far, need)):
+            excess = (100 + percent) * len(d) - (100 - percent) * len(y)
+            for k, v in zip(out, (a, b, comp, len(y), d, far, need, excess)):
                 out[k].append(v if k == "h" else np.full(len(d), v))
         return {k: np.concatenate(v) for k, v in out.items()} if out["a"] else None
 
@@ -213,15 +216,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
         spokes = stored(placed.filter("a <> b").distinct())
         full = sets(stored(spokes.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
         whole = _with(_with(spokes, "a", full, {"shingles": "s_a"}), "b", full, {"shingles": "s_b"})
-        diff = stored(arrow_map(whole, _differences(percent), "a long, b long, comp long, n long, h long, far boolean, need long", 128))
+        diff = stored(arrow_map(whole, _differences(percent), "a long, b long, comp long, n long, h long, far boolean, need long, excess long", 128))
         dropped(spokes, full)
         held = stored(diff.groupBy("a", "h").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"))
         # Ranks run within one member of one pivot, whose rows are bounded by two texts.
         member = Window.partitionBy("a", "b")
         ranked = diff.join(held, ["a", "h"]).withColumn("c", F.count(F.lit(1)).over(member)).withColumn("rank", F.row_number().over(member.orderBy("df", "h")))
-        left = ranked.filter("rank <= c - need + 1").select("a", "h", F.col("b").alias("x"), F.col("comp").alias("c_x"), F.col("n").alias("n_a"))
-        right = diff.filter("far").select("a", "h", F.col("b").alias("y"), F.col("comp").alias("c_y"), F.col("n").alias("n_b"))
-        pairs = left.join(right, ["a", "h"]).filter("c_x <> c_y").select(F.col("x").alias("a"), F.col("y").alias("b"), "n_a", "n_b")
+        # What is still to come after the first common shingle of a pair must do for the overlap that it needs.
+        left, right = (rows.select("a", "h", F.col("b").alias(i), F.col("comp").alias(f"c_{i}"), F.col("n").alias(f"n_{j}"), F.col("excess").alias(f"e_{j}"), (F.col("c") - F.col("rank") + 1).alias(f"left_{j}")) for rows, i, j in ((ranked.filter("rank <= c - need + 1"), "x", "a"), (ranked.filter("far"), "y", "b")))
+        enough = 2 * (100 + percent) * F.least("left_a", "left_b") >= F.col("e_a") + F.col("e_b")
+        pairs = left.join(right, ["a", "h"]).filter((F.col("c_x") != F.col("c_y")) & enough).select(F.col("x").alias("a"), F.col("y").alias("b"), "n_a", "n_b")
         return pairs, stored(diff.filter("NOT far").select("a", "b").distinct())
 
     star = confirm(inside.filter("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b"), F.col("n").alias("n_a"), F.col("n_hub").alias("n_b")))
