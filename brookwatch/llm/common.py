@@ -174,6 +174,7 @@ def arrow_map(df: DataFrame, rows, schema: str, slice_rows: int = 512) -> DataFr
                 out = rows(batch.slice(at, slice_rows).to_pydict())
                 if out is not None:
                     yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
+        pa.default_memory_pool().release_unused()  # a worker waits for its next task with little
 
     return df.mapInArrow(run, schema)
 
