@@ -10,9 +10,9 @@
    member of the hub's component, takes their place.  With D(x) the shingles that x and B do not share, two sets have
    |x ^ y| = |D(x) ^ D(y)|, and similarity t or more means |x ^ y| <= c (|x| + |y|) with c = (1 - t) / (1 + t).  If y is
    not that similar to B, |D(y)| > c (|y| + |B|), so x and y must share more than (|D(x)| + c (|B| - |x|)) / 2
-   elements: all but the rarest of those of D(x) that others have too may be left out of the join, which also asks that
-   what follows a pair's first common element suffices for (|D(x)| - c |x| + |D(y)| - c |y|) / 2 of them.  Members
-   similar to B are linked with it, and so in one component.
+   elements.  In an order that puts what B lacks first, their first common element is then followed by that many in
+   D(x), which few elements are, and by (|D(x)| - c |x| + |D(y)| - c |y|) / 2 in both; edits of a member's own are left out.
+   Members similar to B are linked with it, and so in one component.
 3. Pairs pass if their Jaccard similarity, estimated jointly from all registers by likelihood with the known set
    sizes, may reach the threshold; then full sets, made again from the candidates' texts alone, are compared.
 4. Components come from contraction rounds.
@@ -93,19 +93,28 @@ def _sets(shingle: int):
 
 
 def _differences(percent: int):
-    """For pairs (pivot a, member b): a row for each shingle of b's difference from a; need is how many must be shared with
-    any, and two members' excesses over 2 (100 + percent) how many with one another."""
+    """For pairs (pivot a, member b): a row for each shingle h of b's difference from a.
+
+    What a lacks (added) goes before what b lacks in the common order.  `rest` counts, for the latter, the shingles that b
+    lacks from h on, and for the former all that b lacks; `need` is how many must be shared with any far member, and two
+    members' excesses over 2 (100 + percent) how many with one another.
+    """
+    names = ("a", "b", "comp", "n", "far", "need", "excess")
 
     def rows(c):
-        out = {k: [] for k in ("a", "b", "comp", "n", "h", "far", "need", "excess")}
+        out = {k: [] for k in (*names, "h", "added", "rest")}
         for a, b, comp, x, y in zip(c["a"], c["b"], c["comp"], c["s_a"], c["s_b"]):
             x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-            d = np.setxor1d(x, y, assume_unique=True).view(np.int64)
-            far = (100 + percent) * len(d) > (100 - percent) * (len(x) + len(y))
-            need = ((100 + percent) * len(d) + (100 - percent) * (len(x) - len(y))) // (2 * (100 + percent)) + 1
-            excess = (100 + percent) * len(d) - (100 - percent) * len(y)
-            for k, v in zip(out, (a, b, comp, len(y), d, far, need, excess)):
-                out[k].append(v if k == "h" else np.full(len(d), v))
+            added, lacks = (np.setdiff1d(*pair, assume_unique=True).view(np.int64) for pair in ((y, x), (x, y)))
+            n, lost = len(added) + len(lacks), len(lacks)
+            far = (100 + percent) * n > (100 - percent) * (len(x) + len(y))
+            need = ((100 + percent) * n + (100 - percent) * (len(x) - len(y))) // (2 * (100 + percent)) + 1
+            excess = (100 + percent) * n - (100 - percent) * len(y)
+            for k, v in zip(names, (a, b, comp, len(y), far, need, excess)):
+                out[k].append(np.full(n, v))
+            out["h"].append(np.concatenate([added, np.sort(lacks)]))
+            out["added"].append(np.arange(n) < len(added))
+            out["rest"].append(np.concatenate([np.full(len(added), lost), np.arange(lost, 0, -1)]))
         return {k: np.concatenate(v) for k, v in out.items()} if out["a"] else None
 
     return rows
@@ -206,8 +215,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
         return links
 
     def around_pivots(met: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Pairs (a, b, n_a, n_b) of different components around one pivot that share one of a's rarest differences from
-        it, and the links (a, b) with the pivots."""
+        """Pairs (a, b, n_a, n_b) of different components around one pivot that share a difference from it that
+        may be their first, and the links (a, b) with the pivots."""
         best = F.max(F.struct("central", (-F.col("id")).alias("low"))).alias("m")
         pivots = stored(central.join(found, "id").groupBy("comp").agg(best).select(F.col("comp").alias("home"), (-F.col("m.low")).alias("pivot")))
         hub_of = found.select(F.col("id").alias("hub"), F.col("comp").alias("home"))
@@ -216,15 +225,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
         spokes = stored(placed.filter("a <> b").distinct())
         full = sets(stored(spokes.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
         whole = _with(_with(spokes, "a", full, {"shingles": "s_a"}), "b", full, {"shingles": "s_b"})
-        diff = stored(arrow_map(whole, _differences(percent), "a long, b long, comp long, n long, h long, far boolean, need long, excess long", 128))
+        made = "a long, b long, comp long, n long, far boolean, need long, excess long, h long, added boolean, rest long"
+        diff = stored(arrow_map(whole, _differences(percent), made, 128))
         dropped(spokes, full)
-        held = stored(diff.groupBy("a", "h").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"))
-        # Ranks run within one member of one pivot, whose rows are bounded by two texts.
-        member = Window.partitionBy("a", "b")
-        ranked = diff.join(held, ["a", "h"]).withColumn("c", F.count(F.lit(1)).over(member)).withColumn("rank", F.row_number().over(member.orderBy("df", "h")))
-        # What is still to come after the first common shingle of a pair must do for the overlap that it needs.
-        left, right = (rows.select("a", "h", F.col("b").alias(i), F.col("comp").alias(f"c_{i}"), F.col("n").alias(f"n_{j}"), F.col("excess").alias(f"e_{j}"), (F.col("c") - F.col("rank") + 1).alias(f"left_{j}")) for rows, i, j in ((ranked.filter("rank <= c - need + 1"), "x", "a"), (ranked.filter("far"), "y", "b")))
-        enough = 2 * (100 + percent) * F.least("left_a", "left_b") >= F.col("e_a") + F.col("e_b")
+        # Added shingles that no other member has need not be looked at.  Ranks run within one member of one pivot.
+        held = stored(diff.filter("added").groupBy("a", "h").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").drop("df"))
+        later = F.count(F.lit(1)).over(Window.partitionBy("a", "b").orderBy(F.col("h").desc()))
+        added = diff.filter("added").join(held, ["a", "h"]).withColumn("rest", F.col("rest") + later)
+        common = diff.filter("NOT added").unionByName(added)
+        # From a pair's first common shingle on, both must have as many as their overlap needs.
+        left, right = (rows.select("a", "h", F.col("b").alias(i), F.col("comp").alias(f"c_{i}"), F.col("n").alias(f"n_{j}"), F.col("excess").alias(f"e_{j}"), F.col("rest").alias(f"rest_{j}")) for rows, i, j in ((common.filter("rest >= need"), "x", "a"), (common.filter("far"), "y", "b")))
+        enough = 2 * (100 + percent) * F.least("rest_a", "rest_b") >= F.col("e_a") + F.col("e_b")
         pairs = left.join(right, ["a", "h"]).filter((F.col("c_x") != F.col("c_y")) & enough).select(F.col("x").alias("a"), F.col("y").alias("b"), "n_a", "n_b")
         return pairs, stored(diff.filter("NOT far").select("a", "b").distinct())
 
