@@ -41,3 +41,12 @@ def test_union_sums_the_slots_of_dense_nodes(spark, tmp_path):
 def test_stream_counts_the_slots_of_dense_nodes(spark, tmp_path):
     got, wanted = both(spark, tmp_path, "stream_sketches", [event(4 * i, i) for i in range(4500)])
     assert got == wanted
+
+
+def test_time_to_detect_is_zero_without_an_attack_window(spark, tmp_path):
+    none, wanted = both(spark, tmp_path / "none", "time_to_detect", [event(i, i) for i in range(20)])
+    assert none == wanted == [(0.0,)]
+    empty, wanted = both(spark, tmp_path / "empty", "time_to_detect", [])
+    assert empty == wanted == [(0.0,)]
+    unseen, wanted = both(spark, tmp_path / "unseen", "time_to_detect", [event(i, i, "error") for i in range(3)])
+    assert unseen == wanted == [(0.0,)]
