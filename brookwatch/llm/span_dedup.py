@@ -13,7 +13,7 @@ the documents that hold some, and an exact join decides.  Texts without a cut ar
 Words are compared without the case of A-Z and white space is any run of space, tab, line feed, vertical tab, form feed and
 carriage return.  The first document is the one with the smallest doc_id; a null id is one document before all others.  Rows
 with one id are one document: what they share is no repeat.  Repeats within a document stay, unless `within` is
-set, when each later occurrence that does not overlap an earlier one goes too.  Null and empty texts have no sentences and become
+set, as op2_span_dedup does, when each later occurrence that does not overlap the first one goes too.  Null and empty texts have no sentences and become
 the empty text.  Only the two named columns are read, so other columns cannot clash.  An empty table gives an empty result.
 """
 
@@ -84,39 +84,42 @@ def _hashes(min_words: int):
     return rows
 
 
-def _held(packed, min_words: int):
-    """The runs that the filter of repeated ones lets through, with their places."""
+def _again(pos, end, h, g) -> np.ndarray:
+    """Which runs of a text repeat an earlier one of it, of those that are equal the first, that they do not overlap."""
+    dead = np.zeros(len(h), bool)
+    if len(np.unique(h)) < len(h):
+        first: dict = {}
+        for i, (a, z, *key) in enumerate(zip(*(x.tolist() for x in (pos, end, h, g)))):
+            dead[i] = first.setdefault(tuple(key), z) <= a
+    return dead
+
+
+def _held(packed, min_words: int, within: bool):
+    """The runs that the filter of repeated ones lets through, with their places; `own` are those that repeat within their text."""
 
     def rows(c):
-        out = {k: [] for k in ("doc", "key", "h", "g", "pos", "end")}
+        out = {k: [] for k in ("doc", "key", "h", "g", "pos", "end", "own")}
         for i, key, text in zip(c["doc"], c["key"], c["text"]):
             pos, end, h, g = Sentences(text.encode()).runs(min_words)
-            keep = in_filter(packed.value, h)
-            for k, v in zip(out, ([i] * int(keep.sum()), [key] * int(keep.sum()), h[keep], g[keep], pos[keep], end[keep])):
+            own = _again(pos, end, h, g) if within else np.zeros(len(h), bool)
+            keep = own | in_filter(packed.value, h)
+            for k, v in zip(out, ([i] * int(keep.sum()), [key] * int(keep.sum()), h[keep], g[keep], pos[keep], end[keep], own[keep])):
                 out[k].extend(v if isinstance(v, list) else v.tolist())
         return out
 
     return rows
 
 
-def _cut(min_words: int, within: bool):
-    def rows(c):
-        texts, gone = [], []
-        for text, cuts in zip(c["text"], c["cuts"]):
-            s = Sentences(text.encode())
-            dead = np.zeros(len(s.size), bool)
-            for r in cuts or ():
-                dead[r["pos"] : r["end"]] = True
-            if within:
-                first: dict = {}
-                for pos, end, *h in zip(*(x.tolist() for x in s.runs(min_words))):
-                    if first.setdefault(tuple(h), end) <= pos:
-                        dead[pos:end] = True
-            texts.append(s.without(dead) if dead.any() else text)
-            gone.append(np.flatnonzero(dead).tolist())
-        return {"doc_id": c["doc_id"], "text": texts, "removed": gone}
-
-    return rows
+def _cut(c):
+    texts, gone = [], []
+    for text, cuts in zip(c["text"], c["cuts"]):
+        s = Sentences(text.encode())
+        dead = np.zeros(len(s.size), bool)
+        for r in cuts or ():
+            dead[r["pos"] : r["end"]] = True
+        texts.append(s.without(dead) if dead.any() else text)
+        gone.append(np.flatnonzero(dead).tolist())
+    return {"doc_id": c["doc_id"], "text": texts, "removed": gone}
 
 
 def span_dedup(docs: DataFrame, min_words: int = MIN_WORDS, within: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -128,15 +131,12 @@ def span_dedup(docs: DataFrame, min_words: int = MIN_WORDS, within: bool = False
     again = stored(again)
     packed = docs.sparkSession.sparkContext.broadcast(bit_filter(again.select("h")))
     keyed = rows.select("doc", text_key("text").alias("key"), "text")
-    held = arrow_map(keyed, _held(packed, min_words), "doc long, key binary, h long, g int, pos int, end int", 64)
-    later = held.join(again, ["h", "g"]).filter("first < doc")
+    held = arrow_map(keyed, _held(packed, min_words, within), "doc long, key binary, h long, g int, pos int, end int, own boolean", 64)
+    later = held.join(again, ["h", "g"], "left").filter("own OR first < doc")
     cuts = stored(later.groupBy("doc", "key").agg(F.collect_set(F.struct("pos", "end")).alias("cuts")))
     dropped(again)
     made = "doc_id long, text string, removed array<int>"
-    if within:
-        every = rows.withColumn("key", text_key("text")).join(cuts, ["doc", "key"], "left")
-        return arrow_map(every.select("doc_id", "text", "cuts"), _cut(min_words, True), made, 64)
     marked = flagged(rows, "doc", stored(cuts.select("doc").distinct()), "maybe")
     whole = marked.filter("NOT maybe").select("doc_id", "text", F.array().cast("array<int>").alias("removed"))
     some = marked.filter("maybe").withColumn("key", text_key("text")).join(cuts, ["doc", "key"], "left")
-    return whole.unionByName(arrow_map(some.select("doc_id", "text", "cuts"), _cut(min_words, False), made, 64))
+    return whole.unionByName(arrow_map(some.select("doc_id", "text", "cuts"), _cut, made, 64))
