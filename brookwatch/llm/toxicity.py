@@ -6,12 +6,17 @@ discounted again, to continuation counts shared by both classes, so a rare expre
 one class lacks it.  A pair counts once for each document that holds it.  What is compared is the two models'
 log-likelihood of a text, word by word; since a toxic text is mostly ordinary words, the ratio is summed up length-normalised
 in four ways: per word, in the most toxic run of words, and as the sum of its strongly toxic words over the
-square root of the length and as a logarithm.  A logistic curve over these, fitted to rows scored by
+square root of the length and as a logarithm.
+
+A word that is inflected or compounded stands in too few documents for its own counts, and new endings in none.  So
+each word also has the ratio of its beginning: of its first 4 to 7 bytes, the most toxic of those that lean to toxic text
+by a factor of e or more, by the documents of each class that hold a word with that beginning; 0 without one.
+These ratios are summed up in the same four ways.  A logistic curve over all eight, fitted to rows scored by
 models that leave out their fold, makes the score a probability.
 
 The models are fitted on a sample of at most about `max_bytes` of labelled text a class, drawn by a hash of the id, so
 they have a fixed bound; every row is scored whole.  Counts are made in Spark; the driver gets only the words, predecessors
-and pairs of which the discount leaves something.
+and pairs of which the discount leaves something, and the beginnings that lean to toxic text.
 
 Null and empty texts are texts of no words; the ratio of a word that the discount takes whole in both classes, with all
 pairs that it ends, is 0.  Repeated rows are scored as often as they
@@ -28,13 +33,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, dropped, fold_of, letter_words, mix64, narrowed, stored
+from .common import arrow_map, byte_hashes, dropped, fold_of, letter_runs, letter_words, mix64, narrowed, stored
 
 #: A discount of two documents, as an expression in one or two labelled documents says little about its class.
 DISCOUNT, RUN, STRONG = 2.0, 12, 1.5
 #: Bytes of training text a class: about 4 million words, so at most 1.3 million entries of three documents or more.
 MAX_BYTES = 24 << 20
 FOLDS = (0, 1, 3)
+#: Bytes of a word's beginnings; documents added to what each class has and would have of one if classes were alike; the
+#: documents that must hold it; and the least log ratio of one that counts.
+FIRST, ADDED, HELD, LEAN = (4, 5, 6, 7), 4.0, 8, 1.0
 
 
 def tokens(text: str | None) -> np.ndarray:
@@ -42,6 +50,15 @@ def tokens(text: str | None) -> np.ndarray:
     return letter_words(text, digits=False)
 
 
+def spelled(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens, and for each the hashes of its beginnings of FIRST bytes (0 where it has fewer)."""
+    b, start, end = letter_runs(text, digits=False)
+    cut, end = start[:, None] + np.array(FIRST), end[:, None]
+    to = np.hstack([end, np.minimum(cut, end)])
+    h = byte_hashes(b, np.repeat(start, to.shape[1]), to.ravel()).reshape(to.shape)
+    return h[:, 0], np.where(cut <= end, h[:, 1:], np.uint64(0))
+
+
 def bigrams(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each word's predecessor (0 at the start) and the hash of the pair."""
     before = np.concatenate([np.zeros(min(1, len(h)), np.uint64), h[:-1]])
@@ -133,6 +150,54 @@ class KneserNey:
         return np.where(u[:, 0] < 0, 0.0, np.log(p[:, 1]) - np.log(p[:, 0]))
 
 
+def _lean(n, total, log):
+    """The log ratio of n documents (ordinary, toxic) of the classes' totals, drawn to 0 by ADDED."""
+    both = n[0] + n[1]
+    ratio = [log((n[y] + ADDED) / (both * (total[y] / max(1, total[0] + total[1])) + ADDED)) for y in (0, 1)]
+    return ratio[1] - ratio[0]
+
+
+def _totals(totals: dict, without: int | None) -> list[int]:
+    return [sum(totals[f"k{f}{y}"] or 0 for f in FOLDS if f != without) for y in (0, 1)]
+
+
+def counted_beginnings(held: DataFrame) -> tuple[DataFrame, dict]:
+    """From rows (fold, y, piece, n), n documents of the fold and class with the beginning: the table of those that lean
+    to toxic text in all folds or without one of them, and the totals."""
+    cells = [(f, y) for f in FOLDS for y in (0, 1)]
+    held = stored(held.groupBy("piece").agg(*[F.sum(F.when((F.col("fold") == f) & (F.col("y") == y), F.col("n")).otherwise(0)).alias(f"k{f}{y}") for f, y in cells]))
+    totals = held.agg(*[F.sum(f"k{f}{y}").alias(f"k{f}{y}") for f, y in cells]).first().asDict()
+    leans = F.lit(False)
+    for t in (None, *FOLDS):
+        n = [sum((F.col(f"k{f}{y}") for f in FOLDS if f != t), F.lit(0)) for y in (0, 1)]
+        leans = leans | ((n[0] + n[1] >= HELD) & (_lean(n, _totals(totals, t), F.log) >= LEAN))
+    return held.filter(leans), totals
+
+
+class Beginnings:
+    """The ratios of words' beginnings from a table that `counted_beginnings` makes; `without` leaves out a fold."""
+
+    def __init__(self, table: pa.Table, totals: dict, without: int | None = None):
+        n = [sum((table[f"k{f}{y}"].to_numpy() for f in FOLDS if f != without), np.zeros(len(table), np.int64)) for y in (0, 1)]
+        ratio = _lean(n, _totals(totals, without), np.log)
+        strong = (n[0] + n[1] >= HELD) & (ratio >= LEAN)
+        self.ratio = _Map(_hashes(table["piece"])[strong], ratio[strong, None], 0.0)
+
+    def ratios(self, pieces: np.ndarray) -> np.ndarray:
+        return self.ratio(pieces.ravel()).reshape(pieces.shape).max(axis=1) if len(pieces) else np.zeros(0)
+
+
+class Models:
+    """The statistics of a text by words and by their beginnings."""
+
+    def __init__(self, words: KneserNey, first: Beginnings):
+        self.words, self.first = words, first
+
+    def __call__(self, text: str | None) -> list[float]:
+        h, pieces = spelled(text)
+        return normalised(self.words.ratios(h)) + normalised(self.first.ratios(pieces))
+
+
 def normalised(r: np.ndarray) -> list[float]:
     if not len(r):
         return [0.0, 0.0, 0.0, 0.0]
@@ -179,14 +244,31 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", th
         sizes, both = [len(x) for x in found], np.concatenate(found)
         return {"fold": np.repeat(c["fold"], sizes), "y": np.repeat(c["y"], sizes), "before": both[:, 0], "word": both[:, 1]}
 
+    def first(c):
+        found = {}
+        for fold, y, t in zip(c["fold"], c["y"], c["text"]):
+            found.setdefault((fold, y), []).append(np.setdiff1d(spelled(t)[1], np.zeros(1, np.uint64)))
+        if not found:
+            return None
+        met = {k: np.unique(np.concatenate(v), return_counts=True) for k, v in found.items()}
+        sizes = [len(n) for _, n in met.values()]
+        out = {k: np.repeat([of[i] for of in met], sizes) for i, k in enumerate(("fold", "y"))}
+        return out | {"piece": np.concatenate([p for p, _ in met.values()]).view(np.int64), "n": np.concatenate([n for _, n in met.values()])}
+
     *tables, sums = counted(arrow_map(sample, pairs, "fold int, y int, before long, word long", 64))
     tables, sums = [t.toArrow() for t in tables], sums.first().asDict()  # bounded with the sample
-    whole = spark.sparkContext.broadcast(KneserNey(*tables, sums))
-    without = spark.sparkContext.broadcast({f: KneserNey(*tables, sums, f) for f in FOLDS})
+    starts, begun = counted_beginnings(arrow_map(sample, first, "fold int, y int, piece long, n long", 256))
+    starts = starts.toArrow()  # bounded with the sample
+
+    def models(without: int | None = None) -> Models:
+        return Models(KneserNey(*tables, sums, without), Beginnings(starts, begun, without))
+
+    whole = spark.sparkContext.broadcast(models())
+    without = spark.sparkContext.broadcast({f: models(f) for f in FOLDS})
     del tables
 
     def out_of_fold(c):
-        return {"y": c["y"], "f": [normalised(without.value[k].ratios(tokens(t))) for k, t in zip(c["fold"], c["text"])]}
+        return {"y": c["y"], "f": [without.value[k](t) for k, t in zip(c["fold"], c["text"])]}
 
     fitted = arrow_map(sample, out_of_fold, "y int, f array<double>", 64).collect()  # bounded with the sample
     dropped(known, drawn, sample)
@@ -196,7 +278,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", th
     w[-1] += np.log(prior / (1 - prior)) - np.log(y.mean() / (1 - y.mean())) if 0 < y.mean() < 1 else 0.0
 
     def score(c):
-        f = np.array([normalised(whole.value.ratios(tokens(t))) for t in c["text"]]).reshape(-1, 4)
+        f = np.array([whole.value(t) for t in c["text"]]).reshape(-1, len(mean))
         z = np.hstack([(f - mean) / sd, np.ones((len(f), 1))]) @ w
         return {"doc_id": c["doc_id"], "score": 1 / (1 + np.exp(-np.clip(z, -30, 30)))}
 
