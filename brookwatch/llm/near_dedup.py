@@ -6,12 +6,14 @@
 2. Bands of registers are hashed into buckets.  A bucket first links its members to its hub, the member that shares
    its buckets with most others (a star, so a group of copies costs one row for each member).  After these links are
    confirmed, members of different components of one bucket meet too, but for pairs inside its largest component.
-   Where such pairs would be more than `WIDE` in a bucket, an exact prefix filter around a pivot B, the most central
-   member of the hub's component, takes their place.  With D(x) the shingles that x and B do not share, two sets have
+   Where such pairs would be more than `WIDE` in a bucket, and in all such buckets of a hub more than half of its members'
+   shingles, which is about what would be looked at instead, an exact prefix filter around a pivot B, the most central
+   member of the hub's component, takes their place.  So a hub never makes more rows than its members have shingles.  With D(x) the shingles that x and B do not share, two sets have
    |x ^ y| = |D(x) ^ D(y)|, and similarity t or more means |x ^ y| <= c (|x| + |y|) with c = (1 - t) / (1 + t).  If y is
    not that similar to B, |D(y)| > c (|y| + |B|), so x and y must share more than (|D(x)| + c (|B| - |x|)) / 2
    elements.  In an order that puts what B lacks first, their first common element is then followed by that many in
    D(x), which few elements are, and by (|D(x)| - c |x| + |D(y)| - c |y|) / 2 in both; edits of a member's own are left out.
+   As |x ^ y| <= (1 - t) / t |x|, all but so many of D(x) are shared too, so what is nearer to its end is not looked at.
    Members similar to B are linked with it, and so in one component.
 3. Pairs pass if their Jaccard similarity, estimated jointly from all registers by likelihood with the known set
    sizes, may reach the threshold; then full sets, made again from the candidates' texts alone, are compared.
@@ -35,7 +37,7 @@ BANDS, ROWS = 28, 5  # at similarity 0.8 all bands miss with probability (1 - 0.
 BASE, RATE, TOP = 1.001, 20.0, 65534
 #: Pairs are dropped before the full comparison if the threshold is exp(this) times less likely than the best estimate.
 DOUBT = 12.0
-#: Pairs of different components in one bucket beyond which its members meet by their rarest differences from a pivot.  Changes speed only.
+#: Pairs of different components in one bucket beyond which its members meet by their rarest differences from a pivot, where these are fewer.  Changes speed only.
 WIDE = 256
 
 
@@ -97,7 +99,8 @@ def _differences(percent: int):
 
     What a lacks (added) goes before what b lacks in the common order.  `rest` counts, for the latter, the shingles that b
     lacks from h on, and for the former all that b lacks; `need` is how many must be shared with any far member, and two
-    members' excesses over 2 (100 + percent) how many with one another.
+    members' excesses over 2 (100 + percent) how many with one another.  Shingles that b lacks with fewer from them on than
+    must be shared are left out, but for b's first difference, which tells that b is there.
     """
     names = ("a", "b", "comp", "n", "far", "need", "excess")
 
@@ -110,11 +113,17 @@ def _differences(percent: int):
             far = (100 + percent) * n > (100 - percent) * (len(x) + len(y))
             need = ((100 + percent) * n + (100 - percent) * (len(x) - len(y))) // (2 * (100 + percent)) + 1
             excess = (100 + percent) * n - (100 - percent) * len(y)
+            least = n - (100 - percent) * len(y) // percent
+            rest = np.arange(lost, 0, -1)
+            looked = rest >= (least if far else max(least, need))
+            if lost and not len(added):
+                looked[0] = True
+            h, rest = np.concatenate([added, np.sort(lacks)[looked]]), np.concatenate([np.full(len(added), lost), rest[looked]])
             for k, v in zip(names, (a, b, comp, len(y), far, need, excess)):
-                out[k].append(np.full(n, v))
-            out["h"].append(np.concatenate([added, np.sort(lacks)]))
-            out["added"].append(np.arange(n) < len(added))
-            out["rest"].append(np.concatenate([np.full(len(added), lost), np.arange(lost, 0, -1)]))
+                out[k].append(np.full(len(h), v))
+            out["h"].append(h)
+            out["added"].append(np.arange(len(h)) < len(added))
+            out["rest"].append(rest)
         return {k: np.concatenate(v) for k, v in out.items()} if out["a"] else None
 
     return rows
@@ -168,14 +177,20 @@ def _with(pairs: DataFrame, side: str, table: DataFrame, columns: dict[str, str]
 
 
 def _met(groups: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows (bucket, id, n, ...) of buckets with several components: adds comp, the bucket's largest and its count of pairs to compare."""
+    """The rows (bucket, id, n, ...) of buckets with several components: adds comp, the bucket's largest, how many are not in it and the count of pairs to compare."""
     comp = groups.join(found, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     sizes = comp.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("k"))
     mixed = sizes.groupBy("bucket").agg(F.max_by("comp", F.struct("k", "comp")).alias("largest"), F.sum("k").alias("k"), F.max("k").alias("top"), F.count(F.lit(1)).alias("comps"))
-    mixed = mixed.filter("comps > 1").select("bucket", "largest", (F.col("k") * (F.col("k") - F.col("top"))).alias("cost"))
+    mixed = mixed.filter("comps > 1").select("bucket", "largest", (F.col("k") - F.col("top")).alias("others"), (F.col("k") * (F.col("k") - F.col("top"))).alias("cost"))
     return comp.join(mixed, "bucket")
 
 
+def _crowded(met: DataFrame, wide: int) -> DataFrame:
+    """The hubs (hub) whose buckets of more than `wide` pairs have more of them together than half of their members' shingles."""
+    each = met.filter(F.col("cost") > wide).groupBy("hub", "id").agg(F.sum("others").alias("pairs"), F.max("n").alias("n"))
+    return each.groupBy("hub").agg(F.sum("pairs").alias("pairs"), F.sum("n").alias("n")).filter("2 * pairs > n").select("hub")
+
+
 def _cross(met: DataFrame) -> DataFrame:
     """Pairs of one bucket from different components, each once."""
     left, right = (met.select("bucket", F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.col("comp").alias(f"c_{s}"), "largest") for s in ("a", "b"))
@@ -243,8 +258,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     found = components(star).select("id", F.col("component").alias("comp"))
     met = stored(_met(inside.select("bucket", "id", "n", "hub"), found))
     dropped(inside)
-    pairs, links = _cross(met.filter(F.col("cost") <= wide)), star
-    many = met.filter(F.col("cost") > wide)
+    crowded = stored(_crowded(met, wide))
+    over = met.filter(F.col("cost") > wide)
+    few, many = joined(over, crowded, "hub", "left_anti"), joined(over, crowded, "hub", "left_semi")
+    pairs, links = _cross(met.filter(F.col("cost") <= wide).unionByName(few.select(*met.columns))), star
     if not many.isEmpty():
         more, near = around_pivots(many)
         pairs, links = pairs.unionByName(more), star.unionByName(near)

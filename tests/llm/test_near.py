@@ -1,8 +1,10 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from brookwatch.llm import near_dedup as N
 from brookwatch.llm.near_dedup import near_duplicates
 
 
@@ -81,3 +83,21 @@ def test_rows_without_an_id(spark):
     out = sorted(((r.component_id, r.kept) for r in near_duplicates(docs).collect()), key=str)
     assert out == [(4, False), (4, True), (None, True), (None, True)]
     assert near_duplicates(docs.filter(F.lit(False))).count() == 0
+
+
+def test_few_unlike_members_meet_in_pairs(spark):
+    """40 members of 400 shingles have fewer pairs than differences; 900 of them, or 40 of 20 shingles, have more."""
+    rows = [(bucket, i, n, hub, k - 1, k * (k - 1)) for bucket, hub, k, n in ((1, 1, 40, 400), (2, 2, 900, 400), (3, 3, 40, 20), (4, 4, 16, 20)) for i in range(k)]
+    met = spark.createDataFrame(rows, "bucket long, id long, n long, hub long, others long, cost long")
+    assert sorted(r.hub for r in N._crowded(met, N.WIDE).collect()) == [2, 3]
+    assert sorted(r.hub for r in N._crowded(met, 0).collect()) == [2, 3, 4]
+
+
+def test_differences_that_can_count():
+    """A row for each added shingle, and for those lacked that at least as many follow as must be shared; each member is there."""
+    x = np.arange(100, dtype="<u8")
+    members = [np.arange(10, 130, dtype="<u8"), np.arange(60, 130, dtype="<u8"), np.arange(1, 100, dtype="<u8")]
+    out = N._differences(80)({"a": [0] * 3, "b": [1, 2, 3], "comp": [1, 2, 3], "s_a": [x.tobytes()] * 3, "s_b": [y.tobytes() for y in members]})
+    got = {b: [(bool(added), int(rest)) for i, added, rest in zip(out["b"], out["added"], out["rest"]) if i == b] for b in (1, 2, 3)}
+    # 40 differences of 120: at least 10 are shared; 90 of 70: 73 of them, and the 60 that it lacks come last; 1 of 99.
+    assert got == {1: [(True, 10)] * 30 + [(False, 10)], 2: [(True, 60)] * 30, 3: [(False, 1)]}
