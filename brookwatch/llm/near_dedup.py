@@ -6,7 +6,7 @@
 2. Bands of registers are hashed into buckets.  A bucket first links its members to its hub, the member that shares
    its buckets with most others (a star, so a group of copies costs one row for each member).  After these links are
    confirmed, members of different components of one bucket meet too, but for pairs inside its largest component.
-   Where such pairs would be more than `WIDE` in a bucket, and in all such buckets of a hub more than half of its members'
+   Where such pairs would be more than `WIDE` in a bucket, and in all such buckets of a hub more than a sixth of its members'
    shingles, which is about what would be looked at instead, an exact prefix filter around a pivot B, the most central
    member of the hub's component, takes their place.  So a hub never makes more rows than its members have shingles.  With D(x) the shingles that x and B do not share, two sets have
    |x ^ y| = |D(x) ^ D(y)|, and similarity t or more means |x ^ y| <= c (|x| + |y|) with c = (1 - t) / (1 + t).  If y is
@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, components, dropped, joined, looked_up, mix64, narrowed, shingle_hashes, space_words, stored
+from .common import FEW, arrow_map, components, dropped, joined, looked_up, mix64, narrowed, shingle_hashes, space_words, stored
 
 BANDS, ROWS = 28, 5  # at similarity 0.8 all bands miss with probability (1 - 0.8^5)^28 = 1.5e-5
 BASE, RATE, TOP = 1.001, 20.0, 65534
@@ -165,15 +165,20 @@ def _confirmed(percent: int):
     return rows
 
 
-def _with(pairs: DataFrame, side: str, table: DataFrame, columns: dict[str, str], share: int = 128) -> DataFrame:
-    """Joins columns of table (id, ...) to one side of pairs; a hub's row is repeated once for each `share` of its pairs."""
-    other = "b" if side == "a" else "a"
-    copies = stored(pairs.groupBy(side).agg(F.ceil(F.count(F.lit(1)) / share).cast("int").alias("copies")).filter("copies > 1"))
-    table = table.select(F.col("id").alias(side), *[F.col(k).alias(v) for k, v in columns.items()])
+def _both(pairs: DataFrame, table: DataFrame, columns: dict[str, str], share: int = 128) -> DataFrame:
+    """Joins columns of table (id, ...), named with _a and _b, to the sides of stored pairs (a, b); of more than FEW pairs, a hub's row is repeated once for each `share` of its pairs."""
+    sides = {side: table.select(F.col("id").alias(side), *[F.col(k).alias(f"{v}_{side}") for k, v in columns.items()]) for side in ("a", "b")}
+    if pairs.count() <= FEW:
+        return pairs.join(sides["a"], "a").join(sides["b"], "b")
+    ends = pairs.select(F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("end")) for s in ("a", "b")])).alias("at"))
+    copies = stored(ends.groupBy("at.side", "at.end").agg(F.ceil(F.count(F.lit(1)) / share).cast("int").alias("copies")).filter("copies > 1"))
     n = F.coalesce("copies", F.lit(1))
-    table = table.join(copies, side, "left").select("*", F.explode(F.sequence(F.lit(0), n - 1)).alias("salt")).drop("copies")
-    salted = pairs.join(copies, side, "left").withColumn("salt", F.pmod(F.xxhash64(other), n).cast("int")).drop("copies")
-    return salted.join(table, [side, "salt"]).drop("salt")
+    for side, other in (("a", "b"), ("b", "a")):
+        of_side = copies.filter(F.col("side") == side).select(F.col("end").alias(side), "copies")
+        rows = sides[side].join(of_side, side, "left").select("*", F.explode(F.sequence(F.lit(0), n - 1)).alias("salt")).drop("copies")
+        salted = pairs.join(of_side, side, "left").withColumn("salt", F.pmod(F.xxhash64(other), n).cast("int")).drop("copies")
+        pairs = salted.join(rows, [side, "salt"]).drop("salt")
+    return pairs
 
 
 def _met(groups: DataFrame, found: DataFrame) -> DataFrame:
@@ -186,9 +191,9 @@ def _met(groups: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _crowded(met: DataFrame, wide: int) -> DataFrame:
-    """The hubs (hub) whose buckets of more than `wide` pairs have more of them together than half of their members' shingles."""
+    """The hubs (hub) whose buckets of more than `wide` pairs have more of them together than a sixth of their members' shingles."""
     each = met.filter(F.col("cost") > wide).groupBy("hub", "id").agg(F.sum("others").alias("pairs"), F.max("n").alias("n"))
-    return each.groupBy("hub").agg(F.sum("pairs").alias("pairs"), F.sum("n").alias("n")).filter("2 * pairs > n").select("hub")
+    return each.groupBy("hub").agg(F.sum("pairs").alias("pairs"), F.sum("n").alias("n")).filter("6 * pairs > n").select("hub")
 
 
 def _cross(met: DataFrame) -> DataFrame:
@@ -204,27 +209,27 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     named = member.filter("n > 0 AND doc_id IS NOT NULL")
     nodes = stored(named.groupBy("cls").agg(F.min(F.struct("doc_id", "n", "regs")).alias("m")).select("cls", F.col("m.doc_id").alias("id"), "m.n", "m.regs"))
     bands = arrow_map(nodes.select("id", "n", "regs"), _band, "id long, n long, bucket long")
-    sizes = stored(bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).filter("k > 1"))
+    sizes = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
     shared = stored(bands.join(sizes, "bucket"))
-    central = shared.groupBy("id").agg(F.sum("k").alias("central"))
-    central = stored(central)
+    central = stored(shared.groupBy("id").agg(F.sum("k").alias("central")))
     hubs = shared.join(central, "id").groupBy("bucket").agg(F.max(F.struct("central", (-F.col("id")).alias("low"), "n")).alias("m"))
-    hubs = stored(hubs.select("bucket", (-F.col("m.low")).alias("hub"), F.col("m.n").alias("n_hub")))
+    hubs = hubs.select("bucket", (-F.col("m.low")).alias("hub"), F.col("m.n").alias("n_hub"))
     inside = stored(shared.select("bucket", "id", "n").join(hubs, "bucket"))
-    dropped(sizes, shared, hubs)
+    dropped(shared)
     fits = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
 
     def sets(ids: DataFrame) -> DataFrame:
         """(id, shingles) of the ids in the stored column id, made from the texts."""
-        texts = narrowed(rows.withColumnRenamed("doc_id", "id"), "id", ids).distinct()
+        named_rows = rows.withColumnRenamed("doc_id", "id")
+        texts = (named_rows.join(F.broadcast(ids), "id", "left_semi") if ids.count() <= FEW else narrowed(named_rows, "id", ids)).distinct()
         return stored(arrow_map(texts, _sets(shingle), "id long, shingles binary", 128))
 
     def confirm(pairs: DataFrame) -> DataFrame:
         pairs = stored(pairs.filter(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct())
-        seen = _with(_with(pairs, "a", nodes, {"regs": "regs_a", "n": "n_a"}), "b", nodes, {"regs": "regs_b", "n": "n_b"})
+        seen = _both(pairs, nodes, {"regs": "regs", "n": "n"})
         likely_pairs = stored(arrow_map(seen, _possible(percent / 100), "a long, b long").distinct())
         full = sets(stored(likely_pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
-        whole = _with(_with(likely_pairs, "a", full, {"shingles": "s_a"}), "b", full, {"shingles": "s_b"})
+        whole = _both(likely_pairs, full, {"shingles": "s"})
         links = stored(arrow_map(whole, _confirmed(percent), "a long, b long", 64))
         dropped(pairs, likely_pairs, full)
         return links
@@ -239,7 +244,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
         placed = joined(met, homes, "hub", "left").select(F.coalesce("pivot", "hub").alias("a"), F.col("id").alias("b"), "comp")
         spokes = stored(placed.filter("a <> b").distinct())
         full = sets(stored(spokes.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
-        whole = _with(_with(spokes, "a", full, {"shingles": "s_a"}), "b", full, {"shingles": "s_b"})
+        whole = _both(spokes, full, {"shingles": "s"})
         made = "a long, b long, comp long, n long, far boolean, need long, excess long, h long, added boolean, rest long"
         diff = stored(arrow_map(whole, _differences(percent), made, 128))
         dropped(spokes, full)
@@ -267,10 +272,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
         pairs, links = pairs.unionByName(more), star.unionByName(near)
     # A repeated id may stand in several classes; they are one document.
     of_class = nodes.select("cls", F.col("id").alias("node"))
-    ids = named.select("doc_id", "cls").join(of_class, "cls").select("doc_id", "node")
-    several = ids.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a < z").select("doc_id", "a")
-    same = ids.join(stored(several), "doc_id").filter("a <> node").select("a", F.col("node").alias("b")).distinct()
-    edges = links.unionByName(confirm(pairs)).unionByName(same)
+    several = stored(named.groupBy("doc_id").agg(F.min("cls").alias("a"), F.max("cls").alias("z")).filter("a < z").select("doc_id"))
+    edges = links.unionByName(confirm(pairs))
+    if not several.isEmpty():
+        ids = stored(joined(named.select("doc_id", "cls"), several, "doc_id").join(of_class, "cls").select("doc_id", "node"))
+        first = ids.groupBy("doc_id").agg(F.min("node").alias("a"))
+        edges = edges.unionByName(stored(ids.join(first, "doc_id").filter("a <> node").select("a", F.col("node").alias("b")).distinct()))
     linked = components(edges).select(F.col("id").alias("node"), "component")
     by_class = stored(of_class.join(linked, "node", "left").select("cls", F.coalesce("component", "node").alias("least")))
     out = looked_up(member.select("doc_id", "n", "cls"), "cls", by_class)

@@ -33,6 +33,15 @@ def test_components_of_a_shuffled_chain_and_a_random_graph(spark):
     assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_components_on_the_driver_and_in_tables(spark, monkeypatch, few):
+    monkeypatch.setattr(common, "FEW", few)
+    r = random.Random(5)
+    edges = [(r.randrange(-300, 300) * 2**53, r.randrange(300)) for _ in range(250)] + [(2**62 + 1, 2**62 + 2), (2**62 + 2, 2**62 + 3)]
+    got = {x.id: x.component for x in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == least(edges)
+
+
 def test_narrowed_is_exact(spark):
     keys = common.stored(spark.createDataFrame([(i * 7,) for i in range(100)], "k long"))
     rows = spark.range(1000).select(F.col("id").alias("k"), F.lit(1).alias("bucket"), F.lit(2).alias("flag"), F.lit(3).alias("slot"), F.lit(4).alias("bitmap"))
